@@ -1,4 +1,6 @@
-"""The registered queries of the engine and their SQL."""
+"""All registered queries; importing the modules registers them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from palisade.plans import code_queries, document_queries, event_queries, table_queries  # noqa: F401
+from palisade.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
