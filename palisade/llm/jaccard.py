@@ -14,11 +14,14 @@ How it runs, and why it holds at scale:
 3. Equal sets become one representative by their digest; then 1 and 2 run again, over representatives only.
 4. Members have one global order, frequent first. A set's last places (its prefix in the rare-first order) must hold
    a member common with every partner. Those places are the postings that candidates come from.
-5. Candidates are verified in a trie over the sets in global order: a traversal shares the partial overlap of common
-   beginnings and prunes a subtree when what remains of it and of the probe can't reach the required overlap.
-6. Components need no all-pairs work inside a group of copies: some rounds link each posting's documents to one pivot
-   (linear in the postings), and then every remaining candidate pair between different components is verified. So no
-   link between components is lost, and no pair inside a component needs to be written.
+5. Documents are dealt to tries of bounded size by their smallest pivot (a posting's pivot is its smallest document),
+   so a group of copies shares tries. A trie keeps its sets in global order: a traversal shares the partial overlap of
+   common beginnings and prunes a subtree when what remains of it and of the probe can't reach the required overlap.
+   All links inside a trie are resolved there.
+6. Links between tries: first two documents of each component found so far probe the other tries that hold one of their
+   postings, which joins the parts of a large group; then every document that isn't in the largest component of one of
+   its postings probes them. Of two documents with a common posting and different components one is such a document, so
+   no link between components is lost. Probes are (document, trie) rows; pairs of documents are never rows.
 
 Defined cases: a null or wordless text has an empty set and no links; fewer words than n give the whole sequence as
 the one n-gram; repeated rows are documents of their own and link to each other; a null id stays null and counts as
@@ -36,11 +39,11 @@ from palisade.llm.common import components, cut, ship, shuffle_width
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: Members that one packed batch holds at most, unless a single document has more.
-BATCH = 3_000_000
+BATCH = 1_500_000
 #: Words whose hashes a worker remembers.
 KNOWN = 400_000
-#: Sets that one trie holds at most.
-TRIE = 512
+#: Sets that one trie is meant to hold, and probes that one task puts to it.
+TRIE, PROBES = 512, 1024
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -81,11 +84,11 @@ def _pack(batch: int, docs: list, sets: list, ranges: int):
     sizes = np.array([len(s) for s in sets], np.int64)
     all_ = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    part = ((all_ >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-    order = np.lexsort((owner, part)) if len(all_) else np.empty(0, np.int64)
+    part = ((all_ >> np.uint64(32)) % np.uint64(ranges)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")  # owners ascend already
     low = (all_ & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
     part, owner = part[order], owner[order].astype(np.uint32)
-    ends = np.searchsorted(part, np.arange(ranges + 1))
+    ends = np.searchsorted(part, np.arange(ranges + 1).astype(np.int64))
     rows = [(batch, int(batch % ranges), 0, docs, b"")]
     for r in range(ranges):
         a, b = ends[r], ends[r + 1]
@@ -249,85 +252,152 @@ def _posted(num: int, den: int):
 
 
 class _Trie:
-    """Sets in global order, common beginnings stored once."""
+    """Sets in global order, common beginnings stored once. Members are numbered by their order."""
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.rows, self.sets, self.sizes = order, [sets[i] for i in order], [sizes[i] for i in order]
-        self.common = [0] * len(order)
-        for i in range(1, len(order)):
-            a, b = self.sets[i - 1], self.sets[i]
-            k = min(len(a), len(b))
-            differ = np.flatnonzero(a[:k] != b[:k])
-            self.common[i] = int(differ[0]) if len(differ) else k
-
-    def search(self, probe: np.ndarray, n: int, num: int, den: int) -> list[tuple[int, int]]:
-        """(row, overlap) of the sets whose similarity with the probe reaches num / den."""
-        found, stack = [], [(0, len(self.sets), 0, 0)] if self.sets else []
+        self.members = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+        rows = [np.searchsorted(self.members, s).astype(np.int32) for s in sets]
+        order = sorted(range(len(sets)), key=lambda i: rows[i].astype(">i4").tobytes())
+        rows = [rows[i] for i in order]
+        common = [0] * len(rows)
+        for i in range(1, len(rows)):
+            k = min(len(rows[i - 1]), len(rows[i]))
+            differ = np.flatnonzero(rows[i - 1][:k] != rows[i][:k])
+            common[i] = int(differ[0]) if len(differ) else k
+        #: (edge, its last member, smallest set below, longest way below, sets that end here, first child, next sibling)
+        self.nodes: list[tuple] = []
+        self.kids: list[list[int]] = []
+        stack = [(0, len(rows), 0, -1)] if rows else []
         while stack:
-            lo, hi, depth, overlap = stack.pop()
-            end = min(self.common[lo + 1 : hi]) if hi - lo > 1 else len(self.sets[lo])
-            edge = self.sets[lo][depth:end]
-            if len(edge):
-                at = np.searchsorted(probe, edge)
-                overlap += int((probe[np.minimum(at, len(probe) - 1)] == edge).sum()) if len(probe) else 0
-                left = len(probe) - int(np.searchsorted(probe, edge[-1], "right"))
-            else:
-                left = len(probe) - (int(np.searchsorted(probe, self.sets[lo][depth - 1], "right")) if depth else 0)
-            smallest = min(self.sizes[lo:hi])
-            longest = max(len(s) for s in self.sets[lo:hi]) - end
-            if (overlap + min(left, longest)) * (num + den) < num * (n + smallest):
-                continue
-            while lo < hi and len(self.sets[lo]) == end:  # sets that end at this node
-                if overlap * (num + den) >= num * (n + self.sizes[lo]):
-                    found.append((self.rows[lo], overlap))
+            lo, hi, depth, parent = stack.pop()
+            end = min(common[lo + 1 : hi]) if hi - lo > 1 else len(rows[lo])
+            edge = rows[lo][depth:end]
+            number = len(self.nodes)
+            if parent >= 0:
+                self.kids[parent].append(number)
+            smallest, longest = min(sizes[order[i]] for i in range(lo, hi)), max(len(rows[i]) for i in range(lo, hi)) - end
+            ends = []
+            while lo < hi and len(rows[lo]) == end:
+                ends.append((order[lo], sizes[order[lo]]))
                 lo += 1
+            self.nodes.append((edge, int(edge[-1]) if len(edge) else -1, smallest, longest, ends))
+            self.kids.append([])
             start = lo
             for i in range(lo + 1, hi + 1):
-                if i == hi or self.common[i] <= end:
+                if i == hi or common[i] <= end:
                     if start < i:
-                        stack.append((start, i, end, overlap))
+                        stack.append((start, i, end, number))
                     start = i
+
+    def search(self, probe: np.ndarray, n: int, num: int, den: int) -> list[tuple[int, int]]:
+        """(row, overlap) of the sets whose similarity with the probe reaches num / den."""
+        if not self.nodes:
+            return []
+        at = np.searchsorted(self.members, probe)
+        at = at[(at < len(self.members)) & (self.members[np.minimum(at, len(self.members) - 1)] == probe)]
+        held = np.zeros(len(self.members), np.int32)
+        held[at] = 1
+        upto = np.cumsum(held)
+        total, both, found, stack = len(at), num + den, [], [(0, 0)]
+        while stack:
+            number, overlap = stack.pop()
+            edge, last, smallest, longest, ends = self.nodes[number]
+            if len(edge):
+                overlap += int(held[edge].sum())
+            left = total - (int(upto[last]) if last >= 0 else 0)
+            if (overlap + (left if left < longest else longest)) * both < num * (n + smallest):
+                continue
+            for row, size in ends:
+                if overlap * both >= num * (n + size):
+                    found.append((row, overlap))
+            for kid in self.kids[number]:
+                stack.append((kid, overlap))
         return found
 
 
-def _verified(num: int, den: int):
+def _inside(num: int, den: int):
+    """One trie's documents: (node, root), the components that the links inside it form."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        probe = next(r for r in rows if r["key"] == r["probe"])
-        others = [r for r in rows if r["key"] != r["probe"]]
-        trie = _Trie([np.frombuffer(r["members"], np.uint64) for r in others], [r["n"] for r in others])
-        hits = trie.search(np.frombuffer(probe["members"], np.uint64), probe["n"], num, den)
-        return pa.table(
-            {
-                "a": pa.array([probe["key"]] * len(hits), pa.int64()),
-                "b": pa.array([others[i]["key"] for i, _ in hits], pa.int64()),
-            }
-        )
+        rows = sorted(table.select(["key", "n", "members"]).to_pylist(), key=lambda r: r["key"])
+        keys, sizes = [r["key"] for r in rows], [r["n"] for r in rows]
+        sets = [np.frombuffer(r["members"], np.uint64) for r in rows]
+        root = list(range(len(rows)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        if len(rows) > 1:
+            trie = _Trie(sets, sizes)
+
+            def probe(i: int) -> None:
+                for j, _ in trie.search(sets[i], sizes[i], num, den):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+
+            # whatever ends in the anchor's component needs no probe of its own: the other side of a pair has one
+            first = range(0, len(rows), max(1, len(rows) // 8))
+            for i in first:
+                probe(i)
+            size = np.bincount([find(i) for i in range(len(rows))])
+            anchor = int(size.argmax())
+            for i in range(len(rows)):
+                if i not in first and find(i) != find(anchor):
+                    probe(i)
+        return pa.table({"node": pa.array(keys, pa.int64()), "root": pa.array([keys[find(i)] for i in range(len(rows))], pa.int64())})
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (probe, other) that reach the threshold; a probe's others are dealt over tries of bounded size."""
-    tries = pairs.groupBy("probe").agg(F.ceil(F.count("*") / TRIE).cast("int").alias("tries"))
-    dealt = pairs.join(tries, "probe").select("probe", "other", F.pmod(F.xxhash64("other"), "tries").cast("int").alias("trie"))
-    probes = tries.select("probe", F.col("probe").alias("other"), F.explode(F.sequence(F.lit(0), F.col("tries") - 1)).alias("trie"))
-    full = dealt.unionByName(probes).join(sets.select(F.col("key").alias("other"), "n", "members"), "other")
-    return (
-        full.select("probe", "trie", F.col("other").alias("key"), "n", "members")
-        .groupBy("probe", "trie")
-        .applyInArrow(_verified(num, den), "a long, b long")
+def _between(num: int, den: int):
+    """Probes against one trie: (a, b), pairs of components that a link joins."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["key", "root", "n", "members", "asks"]).to_pylist()
+        held, asked = [r for r in rows if not r["asks"]], [r for r in rows if r["asks"]]
+        trie = _Trie([np.frombuffer(r["members"], np.uint64) for r in held], [r["n"] for r in held])
+        links = set()
+        for r in asked:
+            for i, _ in trie.search(np.frombuffer(r["members"], np.uint64), r["n"], num, den):
+                if held[i]["root"] != r["root"]:
+                    links.add((r["root"], held[i]["root"]))
+        links = sorted(links)
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return run
+
+
+def _probed(asked: DataFrame, posted: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components that the documents `asked` (key) find in the tries that hold their postings.
+
+    posted: member, key, root, trie; sets: key, n, members, root, trie.
+    """
+    held = posted.groupBy("member", "trie").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mine = posted.join(asked, "key", "left_semi").select("member", "key", "root")
+    routes = cut(
+        mine.join(held, "member").where((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).select("key", F.col("trie").alias("to")).distinct()
     )
+    tasks = cut(routes.groupBy("to").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts")))
+    probes = (
+        routes.join(tasks, "to").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+        .join(sets.drop("trie"), "key").select("to", "part", "key", "root", "n", "members", F.lit(True).alias("asks"))
+    )
+    kept = sets.join(tasks.withColumnRenamed("to", "trie"), "trie").select(
+        F.col("trie").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "root", "n", "members", F.lit(False).alias("asks")
+    )
+    return probes.unionByName(kept).groupBy("to", "part").applyInArrow(_between(num, den), "a long, b long").distinct()
 
 
 def jaccard_components(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, rounds: int = 3
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_class) for each row of documents.
 
     component_id is the smallest id that links of similarity num / den or more reach; n_class counts the rows with
-    the same set. rounds: of linking to pivots, before the remaining candidate pairs are verified.
+    the same set.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -346,38 +416,32 @@ def jaccard_components(
     sets = cut(_pruned(single.mapInArrow(_again(ranges), _PACKED), num, den).where("members IS NOT NULL").select("key", "n", "members"))
     posted = cut(sets.mapInArrow(_posted(num, den), "member long, key long, n long"))
 
-    links, labels = None, None
-    for k in range(rounds + 1):
-        at = posted
-        if labels is not None:
-            at = posted.join(labels, posted["key"] == labels["node"], "left").select("member", "key", "n", F.coalesce("root", "key").alias("root"))
-            mixed = at.groupBy("member").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("member")
-            at = at.join(mixed, "member", "left_semi")
-        else:
-            at = posted.withColumn("root", F.col("key"))
-        if k < rounds:
-            # one pivot for each posting: any of its documents, another one in each round
-            turn = F.struct((F.xxhash64("key", F.lit(k)) if k else F.col("n")).alias("turn"), "key", "n", "root")
-            pivots = at.groupBy("member").agg(F.min(turn).alias("p")).select("member", F.col("p.key").alias("probe"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
-            pairs = at.join(pivots, "member").where(F.col("root") != F.col("proot"))
-            pairs = pairs.where((F.least("n", "pn") * den >= F.greatest("n", "pn") * num)).select("probe", F.col("key").alias("other")).distinct()
+    pivots = posted.groupBy("member").agg(F.min(F.struct("n", "key")).alias("pivot"), F.count("*").alias("held"))
+    # a member that only one set holds in its prefix can't lead to a partner
+    near = posted.join(pivots.where("held > 1").select("member", "pivot"), "member").groupBy("key").agg(F.min("pivot").alias("pivot"))
+    homes = near.select("key", F.col("pivot.key").alias("home"))
+    tries = homes.groupBy("home").agg(F.ceil(F.count("*") / TRIE).cast("int").alias("tries"))
+    placed = cut(homes.join(tries, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("tries"))).alias("trie")))
+    full = cut(sets.join(placed, "key"))
+    labels = cut(full.groupBy("trie").applyInArrow(_inside(num, den), "node long, root long"))
+    for last in (False, True):
+        known = labels.select(F.col("node").alias("key"), "root")
+        at = posted.select("member", "key").join(placed, "key").join(known, "key")
+        mixed = at.groupBy("member").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("member")
+        at = cut(at.join(mixed, "member", "left_semi"))
+        if last:
+            # the largest component of each posting need not ask
+            sizes = at.groupBy("member", "root").agg(F.count("*").alias("c"))
+            main = sizes.groupBy("member").agg(F.max(F.struct("c", "root")).alias("m")).select("member", F.col("m.root").alias("main"))
+            asked = at.join(main, "member").where("root <> main").select("key").distinct()
         else:
-            # every candidate pair between different components that is left
-            left = at.select("member", F.col("key").alias("probe"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-            right = at.select("member", F.col("key").alias("other"), F.col("n").alias("on"), F.col("root").alias("oroot"))
-            pairs = left.join(right, "member").where(
-                (F.col("proot") != F.col("oroot"))
-                & ((F.col("pn") < F.col("on")) | ((F.col("pn") == F.col("on")) & (F.col("probe") < F.col("other"))))
-                & (F.col("pn") * den >= F.col("on") * num)
-            ).select("probe", "other").distinct()
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        new = cut(_links(pairs, sets, num, den))
-        links = new if links is None else links.unionByName(new)
-        labels = components(links if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    if labels is None:
-        labels = spark.createDataFrame([], "node long, root long")
+            turn = F.xxhash64("key")
+            asked = at.select("key", "root", "trie").distinct().groupBy("root", "trie").agg(F.min(F.struct(turn, "key")).alias("x"), F.max(F.struct(turn, "key")).alias("y"))
+            asked = asked.select(F.explode(F.array("x.key", "y.key")).alias("key")).distinct()
+        found = cut(_probed(asked, at, full.join(known, "key"), num, den))
+        if not found.isEmpty():
+            joined = components(found).select(F.col("node").alias("was"), F.col("root").alias("now"))
+            labels = cut(labels.join(joined, labels["root"] == joined["was"], "left").select("node", F.coalesce("now", "root").alias("root")))
     # a component's smallest id, over its representatives; each stands for its class
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", "n_class", "rep_doc", F.coalesce("root", "rep").alias("root"))
     least = named.groupBy("root").agg(F.min("rep_doc").alias("component"))
