@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from palisade.llm.vectors import against, blocks
 
 SAMPLE, CENTERS, SUB, STEPS, SWEEPS, SEED = 8192, 16, 2, 8, 2, 11
-THRESHOLD, SHORT = 0.2, 160
+THRESHOLD, SHORT = 0.2, 256
 
 
 class Quantiser:

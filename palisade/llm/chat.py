@@ -30,8 +30,8 @@ TURN = r"(?s)<\|(.*?)\|>\n(.*?)<\|end\|>\n"
 
 
 def escape(text: Column) -> Column:
-    doubled = F.regexp_replace(text, r"\\", r"\\\\\\\\")
-    return F.regexp_replace(doubled, rf"(?=({CONTROL}))(.)", r"$2\\\\.")
+    doubled = F.regexp_replace(text, r"\\", r"\\\\")
+    return F.regexp_replace(doubled, rf"(?=({CONTROL}))(.)", r"$2\\.")
 
 
 def unescape(text: Column) -> Column:

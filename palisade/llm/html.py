@@ -3,7 +3,7 @@
 A page is a stream of tokens: text blocks, each with the path of its containers. Pages of one host are aligned one after
 another with the host's wrapper. Where they agree, the wrapper keeps a field; a run of blocks of one path becomes a
 repeated group; blocks that only some pages have become optional groups; a text that differs becomes a slot, one that
-is the same on all pages stays constant. The finished wrapper is applied to the pages it was inferred from: a field is
+all pages share stays constant. The finished wrapper is applied to the pages it was inferred from: a field is
 main text or not for all of them.
 
 A field is main text if it lies in the article (the page's main or article container, or else the container that holds
@@ -118,7 +118,7 @@ def parse(page: str) -> list[tuple]:
         bad = name in OUT or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and not whole & GOOD and bool((words | whole) & BAD))
         if name in ("html", "body"):
             bad = main = False
-        stack.append((name, name + "".join(f".{v}" for k, v in names if k == "class"), bad, main))
+        stack.append((name, name + "".join(("." if k == "class" else "#") + v for k, v in names if k in ("class", "id")), bad, main))
     flush()
     return out
 
@@ -127,12 +127,12 @@ class Field:
     __slots__ = ("path", "pages", "texts", "chars", "linked", "repeated", "optional")
 
     def __init__(self, path: str):
-        self.path, self.pages, self.texts, self.chars, self.linked = path, 0, None, 0, 0
+        self.path, self.pages, self.texts, self.chars, self.linked = path, 0, set(), 0, 0
         self.repeated = self.optional = False
 
     def take(self, blocks: list[tuple]) -> None:
-        now = tuple(b[1] for b in blocks)
-        self.texts = now if self.pages == 0 else (now if self.texts == now else ())
+        now = {b[1] for b in blocks}
+        self.texts = now if self.pages == 0 else self.texts & now
         self.pages += 1
         self.repeated |= len(blocks) > 1
         self.chars += sum(len(b[1]) for b in blocks)
@@ -180,7 +180,7 @@ class Wrapper:
         return taken
 
     def expression(self) -> str:
-        body = lambda f: f"<{f.path}>" + (" ".join(f.texts) if f.texts and f.pages > 1 else "#TEXT")
+        body = lambda f: f"<{f.path}>" + (" ".join(f.texts) if f.texts and f.pages > 1 and not f.repeated else "#TEXT")
         return " ".join(f"({body(f)}){'+' if f.repeated else ''}{'?' if f.optional else ''}" for f in self.fields)
 
 
@@ -198,8 +198,9 @@ def extract(pages: list[str]) -> list[str]:
             weight: dict[str, int] = {}
             usable = []
             for (path, blocks), f in zip(page, taken):
-                constant = different > 2 and f.pages > 2 and bool(f.texts)
-                if any(b[4] for b in blocks) or constant or f.linked * 2 > f.chars:
+                same = f.texts if different > 2 and f.pages > 2 else ()
+                blocks = [b for b in blocks if not b[4] and b[1] not in same]
+                if not blocks or f.linked * 2 > f.chars:
                     continue
                 usable.append((path, blocks))
                 parent = path.rpartition("/")[0]

@@ -1,0 +1,61 @@
+import re
+
+from pyspark.sql import functions as F
+
+from palisade.llm import pii
+from tests.llm.common import TEXTS, documents, empty
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+EXTRA = [
+    "mail a@b.c%d@e.f and x@y", "1.2.3.4.5.6.7.8 300.1.1.1 007.1.2.3", "4111 1111 1111 1111, 4111111111111112", "+1 (743) 555-3824 +12 +1 2",
+    "a\x01b q@w.er \x01", "é😀 +1 234 567 8901", "1" * 3000, "z" * 2000 + "@a.b", "call (555) 123-4567 now", "order 555-123-4567",
+]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda m=m: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda d=digits: 13 <= len(d) <= 19 and luhn(d), "phone": lambda d=digits: 9 <= len(d) <= 15}[kind]()
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_base_equals_brute_force_and_stays(spark):
+    rows = [(i, t) for i, t in enumerate([t for _, t in TEXTS] + EXTRA)]
+    found = pii.find(documents(spark, rows)).select("doc_id", pii.listed(F.col("base")).alias("base"), pii.listed(F.col("spans")).alias("spans")).collect()
+    texts = dict(rows)
+    for r in found:
+        assert r.base == brute(texts[r.doc_id] or ""), texts[r.doc_id]
+        assert set(filter(None, r.base.split(","))) <= set(filter(None, r.spans.split(",")))
+    spans = {r.doc_id: r.spans for r in found}
+    assert spans[len(TEXTS) + 8] == "phone:5:19" and spans[len(TEXTS) + 9] == ""
+    assert pii.find(empty(spark)).count() == 0
+
+
+def test_redact(spark):
+    df = documents(spark, [(1, "to a@b.co, é 1.2.3.4"), (2, None), (3, ""), (4, "nothing")])
+    rows = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert rows[1].text == "to [EMAIL], é [IP]" and rows[1].n_chars == len(rows[1].text)
+    assert rows[2].text is None and rows[3].text == "" and rows[4].text == "nothing"
+    assert pii.redact(df).columns == df.columns
+
+
+def test_no_python_runs_on_the_executors(spark):
+    plan = pii.find(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
