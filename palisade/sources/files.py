@@ -76,13 +76,28 @@ def excluded(path: Column, patterns: Sequence[str]) -> Column:
     return out
 
 
+def _cp949(content: Column) -> Column:
+    """Spark decodes no Korean charset itself; Arrow batches of the few files that aren't UTF-8 do."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def decode(batch: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                return None if raw is None else bytes(raw).decode("cp949")
+            except UnicodeDecodeError:
+                return None
+
+        return batch.map(one)
+
+    return decode(content)
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 with or without a mark, else CP949, else UTF-8 with replacement characters."""
     plain = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 2147483647)).otherwise(content)
     utf8 = F.try_validate_utf8(plain.cast("string"))
-    # CP949: lead bytes 0x81 to 0xFE before 0x41 to 0xFE, everything else ASCII
-    korean = F.hex(plain).rlike("^(?:[0-7][0-9A-F]|(?:8[1-9A-F]|[9A-E][0-9A-F]|F[0-9A-E])(?:[4-9A-E][0-9A-F]|F[0-9A-E]))*$")
-    return F.coalesce(utf8, F.when(korean, F.decode(plain, "x-windows-949")), F.make_valid_utf8(plain.cast("string")))
+    return F.coalesce(utf8, _cp949(F.when(utf8.isNull(), plain)), F.make_valid_utf8(plain.cast("string")))
 
 
 def minified(text: Column) -> Column:
