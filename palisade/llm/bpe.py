@@ -50,11 +50,14 @@ class Cache(dict):
         value = self.elder.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.elder = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 class Automaton:
@@ -137,7 +140,9 @@ class Codec:
         self.label = self.automaton.label | {i: s.encode() for s, i in self.special.items()}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._words = regex.compile(self.SPLIT).findall
-        self._spaced = regex.compile(r" \s").search
+        # a space before white space, of which texts of ASCII alone can hold only some
+        spaces = [chr(c) for c in range(0x3001) if regex.match(r"\s", chr(c))]
+        self._spaced = [" " + c for c in spaces if c.isascii()], [" " + c for c in spaces]
         self._ids = Cache(lambda w: tuple(self.automaton.encode(w.encode("utf-8", "surrogatepass"))), words)
         self._chunk = Cache(self._make, chunks)
 
@@ -157,7 +162,7 @@ class Codec:
                 i = self.special[piece]
                 out.append((str(i), self.label[i]))
             elif piece:
-                if self._spaced(piece) or piece[-1] == " ":
+                if piece[-1] == " " or any(x in piece for x in self._spaced[not piece.isascii()]):
                     chunks = regex.split(r"(?= \S)", piece)
                 else:
                     chunks = piece.split(" ")
