@@ -15,7 +15,9 @@ repeated rows are documents of their own; other columns are ignored; an empty ta
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -35,7 +37,7 @@ class WordIds:
     """Token ids of whole texts by a vocabulary file whose words can't cross white space.
 
     Pieces between white space are encoded by the tokenizers library once and remembered; the ids of a text are the
-    ids of its pieces. A text with characters about which the library and Python disagree (information separators are
+    ids of its pieces, and a piece of Latin text is its words, split by the file's own pattern. A text with characters about which the library and Python disagree (information separators are
     white space to Python alone), or with a control string, is given to the library whole.
     """
 
@@ -46,16 +48,56 @@ class WordIds:
         self.library.no_truncation()
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("|".join(["[\x1c-\x1f]", *map(regex.escape, special)])).search
-        self.pieces = Cache(self._encode, most)
+        self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", *special)
+        self.pieces, self.words = Cache(self._piece, most), Cache(self._encode, most // 2)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.split = regex.compile(split["pattern"]["Regex"]).findall if split.get("invert") and split["behavior"] == "Removed" else None
+        self.closing = spec["model"]["end_of_word_suffix"] or ""
+        self.closes = {i for t, i in spec["model"]["vocab"].items() if self.closing and t.endswith(self.closing)}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, piece: str) -> bool:
+        """Latin letters and marks below U+0250 are composed already and lower-case one by one."""
+        return bool(self.split) and max(piece) < "\u0250" and "<" not in piece
+
+    def _split(self, piece: str) -> list[str]:
+        low = piece.lower()
+        return [low] if low.isalpha() else self.split(low)
+
+    def _piece(self, piece: str) -> bytes:
+        if self._plain(piece):
+            return b"".join(map(self.words.__getitem__, self._split(piece)))
+        return self._encode(piece)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode the words that the pieces need in one call; each word ends with a token that closes a word."""
+        split = {p: self._split(p) for p in pieces if self._plain(p)}
+        held, elder = self.words, self.words.elder
+        words = list({w for ws in split.values() for w in ws if w not in held and w not in elder})
+        if words and self.closes:
+            ids = self.library.encode(" ".join(words), add_special_tokens=False).ids
+            ends = [i + 1 for i, t in enumerate(ids) if t in self.closes]
+            if len(ends) == len(words):  # else each is encoded on its own
+                data, start = array("I", ids).tobytes(), 0
+                for w, end in zip(words, ends):
+                    held.put(w, data[4 * start : 4 * end])
+                    start = end
+        for p, ws in split.items():
+            self.pieces.put(p, b"".join(map(held.__getitem__, ws)))
 
     def __call__(self, text: str) -> bytes:
-        if self.odd(text):
+        if any(x in text for x in self.odd):
             return self._encode(text)
-        return b"".join(map(self.pieces.__getitem__, text.split()))
+        pieces = text.split()
+        held, elder = self.pieces, self.pieces.elder
+        new = {p for p in pieces if p not in held and p not in elder}
+        if new:
+            self._learn(new)
+        return b"".join(map(held.__getitem__, pieces))
 
 
 _WORDS: dict[str, WordIds] = {}
