@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Fixed values of the scan: size cap, bytes looked at for a NUL, and what makes a text minified.
@@ -78,7 +79,6 @@ def excluded(path: Column, patterns: Sequence[str]) -> Column:
 
 def _cp949(content: Column) -> Column:
     """Spark decodes no Korean charset itself; Arrow batches of the few files that aren't UTF-8 do."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
