@@ -129,5 +129,63 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    # every pair of documents that shares a shingle, then reachability
+    "op7_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' ')))) AS g
+  FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l
+), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), c AS (SELECT x, min(y) AS least FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.x = w.doc_id
+""",
+    "op5_chat": """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]')) + 4 AS tokens,
+    length(role) + length(text) + length(text) - length(replace(text, '\\', '')) + 2 * len(regexp_extract_all(text, '</?s>|\\[/?INST\\]|<</?SYS>>|<\\||\\|>')) + 13 AS chars
+  FROM c
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+    (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - tokens) // 1024 AS win
+  FROM t
+), spans AS (
+  SELECT conv_id, win, max(place) AS last, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM p GROUP BY conv_id, win
+), systems AS (SELECT conv_id, min(place) AS place FROM p WHERE role = 'system' GROUP BY conv_id
+), again AS (
+  SELECT p.conv_id, spans.next AS win, p.place, p.chars FROM p JOIN spans ON spans.conv_id = p.conv_id AND spans.win = p.win WHERE spans.next IS NOT NULL AND p.place > spans.last - 2
+  UNION
+  SELECT spans.conv_id, spans.win, p.place, p.chars FROM spans JOIN systems ON systems.conv_id = spans.conv_id JOIN p ON p.conv_id = systems.conv_id AND p.place = systems.place WHERE spans.win > p.win
+), f AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, chars FROM p UNION ALL SELECT conv_id, chars FROM again) GROUP BY conv_id
+), d AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS target
+  FROM p GROUP BY conv_id
+)
+SELECT d.conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256, CAST(f.chars AS BIGINT) AS formatted_chars
+FROM d JOIN f ON f.conv_id = d.conv_id
+""",
+    # what an article container holds, for pages as these tables have them
+    "op9_html": """
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1) AS body FROM pages
+), t AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*(?:>|$)', ' ', 'g') AS body FROM a
+), u AS (
+  SELECT page_id, url, trim(regexp_replace(replace(regexp_replace(replace(replace(body, '&lt;', '<'), '&quot;', '"'), '&amp(;|$)', '&', 'g'), chr(160), ' '), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM t
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM u
 """,
 }
