@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from palisade.llm.vectors import against, blocks
 
 LEAF, SHRINK, SPREAD = 128, 0.7, 24
+#: Rows of leaves that a query leaf is scored against at a time.
+BATCH = 1024
 
 
 class Node:
@@ -34,11 +36,12 @@ class Node:
         if len(points) <= LEAF or self.radius == 0:
             return
         # farthest first, until all points lie within the shrunken radius of a child's centre
-        owner, near = np.zeros(len(points), np.int64), distance.copy()
+        own, owner, near = data[points], np.zeros(len(points), np.int64), distance.copy()
         centers = [center]
         while near.max() > SHRINK * self.radius and len(centers) < SPREAD:
-            centers.append(data[points[int(near.argmax())]])
-            d = np.sqrt(np.maximum(((data[points] - centers[-1]) ** 2).sum(axis=1), 0))
+            centers.append(own[int(near.argmax())])
+            apart = own - centers[-1]
+            d = np.sqrt(np.einsum("ij,ij->i", apart, apart))
             closer = d < near
             owner[closer], near[closer] = len(centers) - 1, d[closer]
         if len(centers) > 1:
@@ -65,31 +68,37 @@ def dual_tree(k: int):
         # by id, so that a row's place settles ties
         order = np.argsort(data.ids, kind="stable")
         values, own = data.values[order], data.numbers[order]
-        worst = np.full(len(queries), -np.inf)
-        kept: list = [(np.empty(0, np.int64), np.empty(0)) for _ in range(len(queries))]
-
-        def leaf(q: Node, r: Node) -> None:
-            scores = queries[q.points] @ values[r.points].T
-            scores[numbers[q.points][:, None] == own[r.points][None, :]] = -np.inf
-            for i, at in enumerate(q.points):
-                better = np.flatnonzero((scores[i] >= worst[at]) & (scores[i] > -np.inf))
-                if not len(better):
-                    continue
-                rows = np.concatenate([kept[at][0], r.points[better]])
-                found = np.concatenate([kept[at][1], scores[i][better]])
-                if len(rows) > k:
-                    best = np.lexsort((rows, -found))[:k]
-                    rows, found = rows[best], found[best]
-                kept[at] = (rows, found)
-                if len(rows) == k:
-                    worst[at] = found.min()
+        # each query's best so far, in order; places that are still free are -inf
+        best_rows = np.zeros((len(queries), k), np.int64)
+        best = np.full((len(queries), k), -np.inf)
+
+        def score(q: Node, rows: np.ndarray) -> None:
+            """Score a query leaf against some rows at once and keep the k best of each query."""
+            at = q.points
+            scores = queries[at] @ values[rows].T
+            scores[numbers[at][:, None] == own[rows][None, :]] = -np.inf
+            some = (scores >= best[at, -1:]).any(axis=0) & (scores > -np.inf).any(axis=0)
+            if not some.any():
+                return
+            rows = rows[some]
+            all_ = np.hstack([best[at], scores[:, some]])
+            edge = -np.partition(-all_, k - 1, axis=1)[:, k - 1 : k]
+            i, c = np.nonzero((all_ >= edge) & (all_ > -np.inf))
+            row = np.where(c < k, best_rows[at[i], np.minimum(c, k - 1)], rows[np.maximum(c - k, 0)])
+            order = np.lexsort((row, -all_[i, c], i))
+            i, c, row = i[order], c[order], row[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < k
+            best[at] = -np.inf
+            best[at[i[keep]], place[keep]] = all_[i[keep], c[keep]]
+            best_rows[at[i[keep]], place[keep]] = row[keep]
 
         root = tree(values)
         count = 0
         stack = [(tree(queries), [root])]
         while stack:
             q, nodes = stack.pop()
-            floor = worst[q.points].min()
+            floor = best[q.points, -1].min()
             nodes = [r for r in nodes if bound(q, r) >= floor]
             if q.children:
                 wider = [c for r in nodes for c in (r.children or [r])]
@@ -99,20 +108,26 @@ def dual_tree(k: int):
             for r in nodes:
                 heapq.heappush(heap, (-bound(q, r), count, r))
                 count += 1
-            while heap:
-                best, _, r = heapq.heappop(heap)
-                if -best < worst[q.points].min():
-                    break
-                if not r.children:
-                    leaf(q, r)
-                for c in r.children:
-                    b = bound(q, c)
-                    if b >= worst[q.points].min():
-                        heapq.heappush(heap, (-b, count, c))
-                        count += 1
-        q = np.repeat(np.arange(len(queries)), [len(x[0]) for x in kept])
-        rows = np.concatenate([x[0] for x in kept])
-        return q, order[rows], np.concatenate([x[1] for x in kept])
+            taken, held = [], 0
+            while heap or taken:
+                floor = best[q.points, -1].min()
+                if heap and -heap[0][0] >= floor:
+                    r = heapq.heappop(heap)[2]
+                    if not r.children:
+                        taken.append(r.points)
+                        held += len(r.points)
+                    for c in r.children:
+                        b = bound(q, c)
+                        if b >= floor:
+                            heapq.heappush(heap, (-b, count, c))
+                            count += 1
+                else:
+                    heap = []  # every other bound is below the worst kth score
+                if taken and (held >= BATCH or not heap):
+                    score(q, np.concatenate(taken))
+                    taken, held = [], 0
+        q, place = np.nonzero(best > -np.inf)
+        return q, order[best_rows[q, place]], best[q, place]
 
     return search
 

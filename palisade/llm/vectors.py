@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from palisade.llm.common import cut, ship
 
-DATA_ROWS, QUERY_ROWS = 8192, 2048
+DATA_ROWS, QUERY_ROWS = 8192, 4096
 _BLOCK = "block long, dim int, rows long, asked long, ids binary, numbers binary, values binary, extra binary"
 FOUND = "query long, query_id long, vec_id long, score double"
 
