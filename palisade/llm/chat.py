@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.llm.common import cut
+
 BUDGET, HISTORY, BLOCK = 1024, 2, 64
 #: Tokens of a text, by rule: runs of letters, runs of digits and single other marks; and those that mark a turn.
 TOKEN, TURN_TOKENS = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]", 4
@@ -63,6 +65,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         .join(offsets, F.col("conv").eqNullSafe(F.col("conv0")) & (F.col("block") == F.col("block0")))
         .select("conv", "role", "text", (F.col("n0") + F.col("place")).alias("place"), F.floor((F.col("t0") + F.col("at")) / budget).alias("window"))
     )
+    placed = cut(placed)  # read four times below
     spans = placed.groupBy("conv", "window").agg(F.max("place").alias("last"))
     after = Window.partitionBy("conv").orderBy("window")
     spans = spans.withColumn("next", F.lead("window").over(after))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from palisade.llm import ann, bpe, chat, html, jaccard, packing, pii, sharding, topk, toxicity
+from palisade.llm.common import cut
 
 
 def _path(name: str) -> str:
@@ -56,7 +57,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
     read = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    formatted = chat.windows(read.unionByName(own))
+    formatted = cut(chat.windows(read.unionByName(own)))  # turns and loss are read back from it
     each = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     turns = (
         chat.read_turns(formatted).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "place", "role", "text"))).alias("t"))
