@@ -249,8 +249,9 @@ def redact(documents: DataFrame, text_col: str = "text", chars_col: str | None =
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate(ordered, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"])))
-    out = documents.withColumn("__spans", _kept(spans(F.coalesce(text, F.lit("")))))
-    out = out.withColumn(text_col, F.when(F.size("__spans") > 0, whole).otherwise(text)).drop("__spans")
+    # a column of its own, so that matching runs once however often its result is read
+    out = documents.withColumn("__found", spans(F.coalesce(text, F.lit("")))).withColumn("__spans", _kept(F.col("__found")))
+    out = out.withColumn(text_col, F.when(F.size("__spans") > 0, whole).otherwise(text)).drop("__spans", "__found")
     if chars_col and chars_col in documents.columns:
         out = out.withColumn(chars_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
     return out.select(*documents.columns)
