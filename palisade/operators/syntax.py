@@ -53,11 +53,35 @@ def dotted(node: ast.AST) -> str:
     return ""
 
 
+DEPTH = 4
+
+
 class _Taint:
-    """May-taint of names within one function; one context at a time."""
+    """May-taint of names within one function; one context at a time.
 
-    def __init__(self, context: str, seeds: set[str]):
+    Calls of functions of the same file are followed DEPTH levels down: their results are tainted if a return is, given
+    the arguments, and sinks that an argument reaches inside are hits of the caller.
+    """
+
+    def __init__(self, context: str, seeds: set[str], helpers: dict | None = None, depth: int = DEPTH, active: tuple = ()):
         self.context, self.names, self.hits = context, set(seeds), []
+        self.helpers, self.depth, self.active, self.returns = helpers or {}, depth, active, False
+        self.known: dict = {}
+
+    def follow(self, call: ast.Call) -> "_Taint | None":
+        """The flow of a helper that is called with tainted arguments."""
+        f = self.helpers.get(dotted(call.func))
+        if f is None or not self.depth or f.name in self.active:
+            return None
+        names = [a.arg for a in f.args.posonlyargs + f.args.args]
+        seeds = {n for n, a in zip(names, call.args) if self.tainted(a)} | {k.arg for k in call.keywords if k.arg and self.tainted(k.value)}
+        if not seeds and not any(isinstance(n, ast.Return) and n.value is not None for n in ast.walk(f)):
+            return None
+        key = (f.name, frozenset(seeds))
+        if key not in self.known:
+            self.known[key] = inner = _Taint(self.context, seeds, self.helpers, self.depth - 1, (*self.active, f.name))
+            inner.run(f.body)
+        return self.known[key]
 
     def tainted(self, e: ast.AST | None) -> bool:
         if e is None or isinstance(e, ast.Constant):
@@ -68,6 +92,10 @@ class _Taint:
                 return False
             if SOURCES.match(name):
                 return True
+            if name in self.helpers:
+                flow = self.follow(e)
+                if flow is not None:
+                    return flow.returns
             inner = [*e.args, *(k.value for k in e.keywords)]
             return any(map(self.tainted, inner)) or (isinstance(e.func, ast.Attribute) and self.tainted(e.func.value))
         name = dotted(e)
@@ -87,6 +115,9 @@ class _Taint:
     def look(self, statement: ast.AST) -> None:
         for n in ast.walk(statement):
             if isinstance(n, ast.Call):
+                flow = self.follow(n)
+                if flow is not None:
+                    self.hits += [h for h in flow.hits if h[1]]
                 self.hits.append((n, any(map(self.tainted, n.args[:1])) or any(self.tainted(k.value) for k in n.keywords if k.arg in ("url", "args", "file", "sql"))))
 
     def run(self, body: list[ast.stmt]) -> None:
@@ -136,6 +167,8 @@ class _Taint:
                 self.run(s.orelse)
                 self.run(s.finalbody)
             else:
+                if isinstance(s, ast.Return):
+                    self.returns |= self.tainted(s.value)
                 self.look(s)
 
 
@@ -242,7 +275,7 @@ def findings_of(text: str, is_test: bool) -> list[tuple[str, str, int, str]]:
     scopes = [(tree.body, set())] + [(f.body, set()) for f in functions]
     for context in SANITIZERS:
         for body, seeds in scopes:
-            flow = _Taint(context, seeds)
+            flow = _Taint(context, seeds, helpers)
             flow.run(body)
             for call, dirty in flow.hits:
                 name = dotted(call.func)
