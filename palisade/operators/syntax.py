@@ -307,3 +307,68 @@ def python_findings(files: DataFrame) -> DataFrame:
 
     wanted = files.where((F.col("language") == "python") & F.col("skipped").isNull() & F.col("text").isNotNull())
     return wanted.select("path", "text", "is_test").mapInArrow(run, "path string, rule_id string, severity string, line int, note string")
+
+
+FAMILIES = {"IL-501": "sql", "IL-502": "path", "IL-504": "command"}
+
+
+def points_of(text: str) -> list[tuple[str, int, int, str, str, str]]:
+    """(family, line, column, callee, state, evidence) of every call that a family's sink names.
+
+    evidence_met: tainted (a finding), closed (only literals reach it) or sanitized (a cleaning call makes it);
+    unresolved: whatever else is dynamic. Nothing that isn't understood counts as clean.
+    """
+    tree = ast.parse(text)
+    functions = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    helpers = {f.name: f for f in functions}
+    out = []
+    for rule, context, _, pattern in SINKS:
+        family = FAMILIES.get(rule)
+        if not family:
+            continue
+        dirty: dict[tuple[int, int], bool] = {}
+        for body in [tree.body, *(f.body for f in functions)]:
+            flow = _Taint(context, set(), helpers)
+            flow.run(body)
+            for call, hit in flow.hits:
+                at = (call.lineno, call.col_offset)
+                dirty[at] = dirty.get(at, False) or hit
+        for call in (n for n in ast.walk(tree) if isinstance(n, ast.Call) and pattern.search(dotted(n.func)) and dotted(n.func) not in helpers):
+            first = call.args[0] if call.args else None
+            leaves = [n for n in ast.walk(first) if isinstance(n, ast.expr)] if first is not None else []
+            if dirty.get((call.lineno, call.col_offset)):
+                state, evidence = "evidence_met", "finding"
+            elif first is None or all(isinstance(n, ast.Constant | ast.List | ast.Tuple | ast.JoinedStr | ast.BinOp) for n in leaves):
+                state, evidence = "evidence_met", "closed_value"
+            elif isinstance(first, ast.Call) and SANITIZERS[context].search(dotted(first.func)):
+                state, evidence = "evidence_met", "declared_sanitizer"
+            else:
+                state, evidence = "unresolved", ""
+            out.append((family, call.lineno, call.col_offset, dotted(call.func), state, evidence))
+    return sorted(out)
+
+
+def python_points(files: DataFrame) -> DataFrame:
+    """(id, path, family, line, column, callee, state, evidence, in_scope): the interest points of Python files.
+
+    A file that can't be parsed has one unsupported point a family.
+    """
+    from palisade.functions.scalars import digest
+
+    ship(files.sparkSession)
+
+    def run(batches):
+        for got in batches:
+            rows = []
+            for path, text, test in zip(*(c.to_pylist() for c in got.columns)):
+                try:
+                    rows += [(path, *p, not test) for p in points_of(text)]
+                except (SyntaxError, ValueError, RecursionError):
+                    rows += [(path, f, 1, 0, "", "unsupported", "", not test) for f in FAMILIES.values()]
+            names = ["path", "family", "line", "column", "callee", "state", "evidence", "in_scope"]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    wanted = files.where((F.col("language") == "python") & F.col("skipped").isNull() & F.col("text").isNotNull())
+    points = wanted.select("path", "text", "is_test").mapInArrow(run, "path string, family string, line int, column int, callee string, state string, evidence string, in_scope boolean")
+    return points.withColumn("id", digest(12, "family", "path", "line", "column", "callee"))

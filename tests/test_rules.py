@@ -73,3 +73,16 @@ def test_tests_need_assertions(spark):
     text = "def test_x():\n    run()\n\ndef helper():\n    assert 1\n\ndef test_y():\n    helper()\n"
     files = spark.createDataFrame([("tests/test_a.py", text)], "path string, text string")
     assert [(r.rule_id, r.line) for r in syntax.python_findings(src.from_table(files, "path", "text")).collect()] == [("IL-306", 1)]
+
+
+def test_interest_points_and_their_ledger(spark):
+    from palisade.operators import governance
+
+    text = "def h(n):\n    cur.execute('select 1')\n    cur.execute('select ' + n)\n    cur.execute('select ' + request.args['q'])\n    open('x')\n"
+    files = spark.createDataFrame([("a.py", text), ("b.py", "def broken(:")], "path string, text string")
+    points = syntax.python_points(src.from_table(files, "path", "text"))
+    got = {(r.path, r.family, r.line): (r.state, r.evidence) for r in points.collect()}
+    assert got[("a.py", "sql", 2)] == ("evidence_met", "closed_value") and got[("a.py", "sql", 3)] == ("unresolved", "") and got[("a.py", "sql", 4)] == ("evidence_met", "finding")
+    assert got[("b.py", "command", 1)] == ("unsupported", "")
+    ledger = {r.family: (r.total, r.gaps, r.status) for r in governance.ledger(points).collect()}
+    assert ledger == {"sql": (4, 2, "unmet"), "path": (2, 1, "unmet"), "command": (1, 1, "unmet")}
