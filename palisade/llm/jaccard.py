@@ -39,9 +39,9 @@ from palisade.llm.common import components, cut, ship, shuffle_width
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 #: Members that one packed batch holds at most, unless a single document has more.
-BATCH = 1_500_000
+BATCH = 1_000_000
 #: Words whose hashes a worker remembers.
-KNOWN = 400_000
+KNOWN = 150_000
 #: Sets that one trie is meant to hold, and probes that one task puts to it.
 TRIE, PROBES = 512, 1024
 
