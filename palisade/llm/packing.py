@@ -100,13 +100,6 @@ class WordIds:
         return b"".join(map(held.__getitem__, pieces))
 
 
-    def forget(self) -> None:
-        """At a task's end: the worker that held the words goes on to other stages."""
-        for cache in (self.pieces, self.words):
-            cache.clear()
-            cache.elder = {}
-
-
 _WORDS: dict[str, WordIds] = {}
 
 
@@ -250,7 +243,6 @@ def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 if packer.held >= BUFFER:
                     yield rows(False)
         yield rows(True)
-        ids_of.forget()
 
     read = documents.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return read.mapInArrow(run, _PIECES).withColumnRenamed("__id", id_col)
