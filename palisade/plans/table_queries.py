@@ -20,9 +20,22 @@ _NEXT = """e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lin
   WHERE a.l_quantity >= 46 AND b.l_quantity >= 46 AND a.l_suppkey <> b.l_suppkey)"""
 
 
+_NEXT_ALL = """e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_suppkey <> b.l_suppkey)"""
+
+
 def _edges(tables):
-    """Suppliers of neighbouring lines of an order, both of them large."""
-    rows = tables("lineitem").where("l_quantity >= 46").select("l_orderkey", "l_linenumber", "l_suppkey")
+    """Suppliers of neighbouring lines of an order, both of them large: a cut of about 1% that keeps the recursive SQL small."""
+    return _next(tables("lineitem").where("l_quantity >= 46"))
+
+
+def _all_edges(tables):
+    """Suppliers of neighbouring lines of an order, over all lines."""
+    return _next(tables("lineitem"))
+
+
+def _next(lines):
+    rows = lines.select("l_orderkey", "l_linenumber", "l_suppkey")
     a = rows.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_suppkey").alias("src"))
     return a.join(rows.withColumnRenamed("l_suppkey", "dst"), ["l_orderkey", "l_linenumber"]).select("src", "dst").where("src <> dst").distinct()
 
@@ -59,6 +72,34 @@ def layer_direction(spark, tables):
     return graphs.layer_violations(e, layers, skips=True)
 
 
+@query(f"WITH {_NEXT_ALL}, d AS (SELECT src AS node, NULL AS i, dst AS o FROM e UNION ALL SELECT dst, src, NULL FROM e), g AS (SELECT node, count(DISTINCT i) AS fan_in, count(DISTINCT o) AS fan_out FROM d GROUP BY node) SELECT *, fan_in * fan_out AS product FROM g ORDER BY product DESC, node LIMIT 5")
+def hubs_all(spark, tables):
+    return graphs.hubs(_all_edges(tables))
+
+
+@query()
+def module_cycles_all(spark, tables):
+    """Strongly connected components over all lines; the closure in SQL is too large, so a test holds it against brute force."""
+    return graphs.strong_components(_all_edges(tables))
+
+
+@query(
+    f"""WITH RECURSIVE {_NEXT_ALL}, r(start, node, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
+SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node"""
+)
+def reach_depth3_all(spark, tables):
+    """What every supplier reaches in three steps."""
+    e = _all_edges(tables)
+    return graphs.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
+
+
+@query(f"WITH {_NEXT_ALL} SELECT src, dst, CAST(src % 4 AS INTEGER) AS src_rank, CAST(dst % 4 AS INTEGER) AS dst_rank, CASE WHEN src % 4 > dst % 4 THEN 'upward' ELSE 'skips' END AS kind FROM e WHERE src % 4 > dst % 4 OR dst % 4 - src % 4 > 1")
+def layer_direction_all(spark, tables):
+    """Edges against the order of layers, or over one, over all lines."""
+    layers = tables("supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).cast("int").alias("rank"))
+    return graphs.layer_violations(_all_edges(tables), layers, skips=True)
+
+
 @query("SELECT o_custkey, count(DISTINCT o_orderkey) AS changes, count(*) AS lines, count(DISTINCT o_orderkey) * count(*) AS heat FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey ORDER BY heat DESC, o_custkey LIMIT 10")
 def hotspots(spark, tables):
     """Changes times size, the ten largest; lines are counted per order before the join."""
