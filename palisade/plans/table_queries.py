@@ -150,9 +150,21 @@ def version_policy(spark, tables):
 SELECT p_partkey, count(*) AS advisories, min(CASE WHEN NOT open THEN fixed END) AS first_fix FROM p JOIN r ON p.name = r.name AND r.introduced <= p.v AND (open OR p.v < r.fixed) GROUP BY p_partkey"""
 )
 def version_interval_join(spark, tables):
-    """Half-open affected ranges, some without a fix; the join is by name with the range as its residue."""
-    p = tables("part")
-    r = p.where("p_partkey % 25 = 0").select(F.col("p_brand").alias("name"), (F.col("p_partkey") % 40).cast("int").alias("introduced"), (F.col("p_partkey") % 40 + 5).cast("int").alias("fixed"), (F.col("p_partkey") % 7 == 0).alias("open")).distinct()
+    """Half-open affected ranges, some without a fix; the join is by name with the range as its residue. Ranges of one part in 25."""
+    return _affected(tables("part"), tables("part").where("p_partkey % 25 = 0"))
+
+
+@query(
+    """WITH p AS (SELECT p_brand AS name, p_partkey, p_size AS v FROM part), r AS (SELECT DISTINCT p_brand AS name, CAST(p_partkey % 40 AS INTEGER) AS introduced, CAST(p_partkey % 40 + 5 AS INTEGER) AS fixed, p_partkey % 7 = 0 AS open FROM part)
+SELECT p_partkey, count(*) AS advisories, min(CASE WHEN NOT open THEN fixed END) AS first_fix FROM p JOIN r ON p.name = r.name AND r.introduced <= p.v AND (open OR p.v < r.fixed) GROUP BY p_partkey"""
+)
+def version_interval_join_all(spark, tables):
+    """The same with the ranges of all parts."""
+    return _affected(tables("part"), tables("part"))
+
+
+def _affected(p, advisories):
+    r = advisories.select(F.col("p_brand").alias("name"), (F.col("p_partkey") % 40).cast("int").alias("introduced"), (F.col("p_partkey") % 40 + 5).cast("int").alias("fixed"), (F.col("p_partkey") % 7 == 0).alias("open")).distinct()
     hit = p.join(r, (F.col("p_brand") == F.col("name")) & (F.col("introduced") <= F.col("p_size")) & (F.col("open") | (F.col("p_size") < F.col("fixed"))))
     return hit.groupBy("p_partkey").agg(F.count("*").alias("advisories"), F.min(F.when(~F.col("open"), F.col("fixed"))).alias("first_fix"))
 
@@ -199,8 +211,21 @@ def check_then_use(spark, tables):
 SELECT a AS advisory, min(a) OVER (PARTITION BY b) AS "group" FROM l"""
 )
 def merged_aliases(spark, tables):
-    """Advisories that share an alias are one group, named by its least member."""
-    a = tables("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("v"), "p_partkey").alias("advisory"), F.array(F.concat(F.lit("~b"), "p_brand", F.lit("/"), "p_size")).alias("aliases"))
+    """Advisories that share an alias are one group, named by its least member; a third of the parts."""
+    return _aliases(tables("part").where("p_partkey % 3 = 0"))
+
+
+@query(
+    """WITH l AS (SELECT 'v' || p_partkey AS a, 'b' || p_brand || '/' || p_size AS b FROM part)
+SELECT a AS advisory, min(a) OVER (PARTITION BY b) AS "group" FROM l"""
+)
+def merged_aliases_all(spark, tables):
+    """The same over all parts."""
+    return _aliases(tables("part"))
+
+
+def _aliases(parts):
+    a = parts.select(F.concat(F.lit("v"), "p_partkey").alias("advisory"), F.array(F.concat(F.lit("~b"), "p_brand", F.lit("/"), "p_size")).alias("aliases"))
     return packages.merged_aliases(a)
 
 
@@ -227,8 +252,21 @@ d AS (SELECT k AS l_suppkey, list_sort(list_filter(coalesce(b.v, []), lambda x:
 SELECT * FROM d WHERE len(added) + len(removed) > 0"""
 )
 def premise_differences(spark, tables):
-    """Recorded and current sets of dependencies: what came and what went."""
-    rows = tables("lineitem").where("l_quantity < 3")
+    """Recorded and current sets of dependencies: what came and what went. Only lines of a quantity below 3."""
+    return _differences(tables("lineitem").where("l_quantity < 3"))
+
+
+@query(
+    """WITH a AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS v FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1),
+d AS (SELECT k AS l_suppkey, list_sort(list_filter(coalesce(b.v, []), lambda x: NOT list_contains(coalesce(a.v, []), x))) AS added, list_sort(list_filter(coalesce(a.v, []), lambda x: NOT list_contains(coalesce(b.v, []), x))) AS removed FROM a FULL JOIN b USING (k))
+SELECT * FROM d WHERE len(added) + len(removed) > 0"""
+)
+def premise_differences_all(spark, tables):
+    """The same over all lines."""
+    return _differences(tables("lineitem"))
+
+
+def _differences(rows):
     part = lambda cond: rows.where(cond).groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("v"))
     return governance.set_differences(part("l_linenumber <= 2"), part("l_linenumber >= 2"), "l_suppkey", "v")
 

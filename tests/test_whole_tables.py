@@ -35,3 +35,19 @@ def test_graph_queries_take_all_lines(spark, tmp_path):
     product = {n: sum(b == n for _, b in edges) * sum(a == n for a, _ in edges) for e in edges for n in e}
     got = [(r.product, r.node) for r in whole(spark, tmp_path, "hubs_all", **tables)]
     assert sorted(got) == sorted(sorted(((p, n) for n, p in product.items()), key=lambda x: (-x[0], x[1]))[:5])
+
+
+def test_table_queries_take_all_rows(spark, tmp_path):
+    # no part key that 3 or 25 divides, no quantity below 3: the filtered queries have no advisory, range or premise at all
+    parts = [(k, f"Brand#{k % 2}", k % 4 + 30) for k in (31, 32, 34, 37, 38, 49, 52, 77)]
+    tables = {"part": (parts, "p_partkey long, p_brand string, p_size int")}
+    got = {r.advisory: r.group for r in whole(spark, tmp_path, "merged_aliases_all", **tables)}
+    assert got == {f"v{k}": min(f"v{x}" for x, b, s in parts if (b, s) == (brand, size)) for k, brand, size in parts}
+    ranges = {(b, k % 40, k % 40 + 5, k % 7 == 0) for k, b, _ in parts}
+    hits = {k: [(f, o) for b, i, f, o in ranges if b == brand and i <= size and (o or size < f)] for k, brand, size in parts}
+    got = {r.p_partkey: (r.advisories, r.first_fix) for r in whole(spark, tmp_path, "version_interval_join_all", **tables)}
+    assert got == {k: (len(h), min((f for f, o in h if not o), default=None)) for k, h in hits.items() if h} and got
+    lines = [(1, n, s, p, 40.0) for s, given in ((1, {1: 5, 2: 6, 3: 7}), (2, {2: 8}), (3, {1: 9})) for n, p in given.items()]
+    tables = {"lineitem": (lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double")}
+    got = {r.l_suppkey: (r.added, r.removed) for r in whole(spark, tmp_path, "premise_differences_all", **tables)}
+    assert got == {1: ([7], [5]), 3: ([], [9])}
