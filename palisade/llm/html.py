@@ -3,17 +3,19 @@
 A page is a stream of tokens: text blocks, each with the path of its containers. Pages of one host are aligned one after
 another with the host's wrapper. Where they agree, the wrapper keeps a field; a run of blocks of one path becomes a
 repeated group; blocks that only some pages have become optional groups; a text that differs becomes a slot, one that
-all pages share stays constant. The finished wrapper is applied to the pages it was inferred from: a field is
-main text or not for all of them.
+all pages share stays constant. A task infers a wrapper from `PAGES` pages at a time; what these wrappers say of a path
+is merged over the whole host and then applied to all its pages, however they were dealt. A text is constant only if
+every wrapper with its path has it as constant, and three pages or more that hold it differ in text that could be main
+text: pages that differ only in a script, a comment, an advert or links are copies, and take nothing from each other.
 
 A field is main text if it lies in the article (the page's main or article container, or else the container that holds
 most unlinked text) and in no menu, header, footer, sidebar, notice, advert, form, script, style or comment section;
-where a host's pages have no article container, constant fields and fields that are mostly links aren't main text.
+on a page without an article container, constant texts and runs that are mostly links, on the page as on the host,
+aren't main text.
 
 Pages are dealt by host. Hosts with more than a quarter of a task's fair share of the pages are spread over as many
 tasks as they need; there are at most four such hosts a task, which bounds the only side that is broadcast. A task
-takes its pages in host order and infers a wrapper from `PAGES` pages at a time, so its memory is bounded as well. Every
-page takes part.
+takes its pages in host order, `PAGES` at a time, and keeps hashes of what they have in common. Every page takes part.
 
 Defined cases: a null or empty html has an empty text; a null url or one without a host belongs to the host ''; an
 unclosed tag, comment or script ends with the page; repeated rows stay; other columns are ignored.
@@ -21,6 +23,7 @@ unclosed tag, comment or script ends with the page; repeated rows stay; other co
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from difflib import SequenceMatcher
@@ -31,6 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from palisade.llm.common import ship, shuffle_width
 
 PAGES = 64
+#: So many pages that differ make a text that all of them hold a constant.
+DIFFERENT = 3
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b.*?(?:</\1\s*>|\Z)"
     r"|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<",
@@ -124,19 +129,32 @@ def parse(page: str) -> list[tuple]:
 
 
 class Field:
-    __slots__ = ("path", "pages", "texts", "chars", "linked", "repeated", "optional")
+    __slots__ = ("path", "pages", "texts", "seen", "repeated", "optional")
 
     def __init__(self, path: str):
-        self.path, self.pages, self.texts, self.chars, self.linked = path, 0, set(), 0, 0
+        self.path, self.pages, self.texts, self.seen = path, 0, set(), []
         self.repeated = self.optional = False
 
-    def take(self, blocks: list[tuple]) -> None:
+    def take(self, blocks: list[tuple], mark: int) -> None:
         now = {b[1] for b in blocks}
         self.texts = now if self.pages == 0 else self.texts & now
         self.pages += 1
+        self.seen = least(self.seen, [mark])
         self.repeated |= len(blocks) > 1
-        self.chars += sum(len(b[1]) for b in blocks)
-        self.linked += sum(b[2] for b in blocks)
+
+
+def number(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def least(a: list[int], b: list[int]) -> list[int]:
+    """The DIFFERENT least of both; enough to know whether there are that many, in any order of merging."""
+    return sorted({*a, *b})[:DIFFERENT]
+
+
+def mark(page: list[tuple[str, list[tuple]]]) -> int:
+    """A number for what could be main text of a page: pages with the same are copies."""
+    return number(*(b[1] for _, blocks in page for b in blocks if not b[4] and b[2] * 2 <= len(b[1])))
 
 
 def runs(blocks: list[tuple]) -> list[tuple[str, list[tuple]]]:
@@ -158,12 +176,12 @@ class Wrapper:
 
     def learn(self, page: list[tuple[str, list[tuple]]]) -> list[Field]:
         """The field of each of the page's runs."""
-        fields, taken = [], []
+        fields, taken, own = [], [], mark(page)
         steps = SequenceMatcher(None, [f.path for f in self.fields], [p for p, _ in page], autojunk=False).get_opcodes()
         for kind, a0, a1, b0, b1 in steps:
             if kind == "equal":
                 for f, (_, blocks) in zip(self.fields[a0:a1], page[b0:b1]):
-                    f.take(blocks)
+                    f.take(blocks, own)
                     fields.append(f)
                     taken.append(f)
                 continue
@@ -173,7 +191,7 @@ class Wrapper:
             for path, blocks in page[b0:b1]:
                 f = Field(path)
                 f.optional = self.pages > 0
-                f.take(blocks)
+                f.take(blocks, own)
                 fields.append(f)
                 taken.append(f)
         self.fields, self.pages = fields, self.pages + 1
@@ -184,31 +202,86 @@ class Wrapper:
         return " ".join(f"({body(f)}){'+' if f.repeated else ''}{'?' if f.optional else ''}" for f in self.fields)
 
 
+def ordered(page: list[tuple[str, list[tuple]]]):
+    """(path, how many runs of the path came before on the page, blocks)."""
+    before: dict[str, int] = {}
+    for path, blocks in page:
+        yield path, before.get(path, 0), blocks
+        before[path] = before.get(path, 0) + 1
+
+
+def container(page: list[tuple[str, list[tuple]]]) -> list[str]:
+    return [b[1] for _, blocks in page for b in blocks if b[3] and not b[4]]
+
+
+class Host:
+    """What the wrappers of a host's pages, or of a part of them, have in common: numbers only."""
+
+    def __init__(self):
+        self.texts: dict[int, dict[int, list[int]]] = {}  # path: constant text: marks of its pages
+        self.links: dict[int, list[int]] = {}  # path and place: characters, those in links
+        self.needed = False
+
+    def learn(self, pages: list[str]) -> None:
+        wrapper, plain = Wrapper(), {}
+        for p in pages:
+            page = runs(parse(p)) if p else []
+            wrapper.learn(page)
+            self.needed |= not container(page)
+            for path, place, blocks in ordered(page):
+                sums = self.links.setdefault(number(path, str(place)), [0, 0])
+                sums[0] += sum(len(b[1]) for b in blocks)
+                sums[1] += sum(b[2] for b in blocks)
+        for f in wrapper.fields:
+            constant = plain.setdefault(number(f.path), {})
+            for t in f.texts:
+                k = number(f.path, "", t)
+                constant[k] = least(constant.get(k, []), f.seen)
+        for path, constant in plain.items():
+            had = self.texts.get(path)
+            self.texts[path] = constant if had is None else {k: least(had[k], m) for k, m in constant.items() if k in had}
+
+    def rows(self):
+        """(path, item, marks, characters, linked): the path itself, its constants, and its places as paths of their own."""
+        for path, constant in self.texts.items():
+            yield path, None, [], 0, 0
+            for k, marks in constant.items():
+                yield path, k, marks, 0, 0
+        for k, (chars, linked) in self.links.items():
+            yield k, k, [], chars, linked
+
+    def model(self) -> tuple[set[int], set[int]]:
+        constant = {k for c in self.texts.values() for k, marks in c.items() if len(marks) == DIFFERENT}
+        return constant, {k for k, (chars, linked) in self.links.items() if linked * 2 > chars}
+
+
+def apply(page: str, constant: set[int], links: set[int]) -> str:
+    """The main text of a page by its host's model."""
+    parsed = runs(parse(page)) if page else []
+    kept = container(parsed)
+    if not kept:
+        weight: dict[str, int] = {}
+        usable = []
+        for path, place, blocks in ordered(parsed):
+            if sum(b[2] for b in blocks) * 2 > sum(len(b[1]) for b in blocks) and number(path, str(place)) in links:
+                continue
+            blocks = [b for b in blocks if not b[4] and number(path, "", b[1]) not in constant]
+            if not blocks:
+                continue
+            usable.append((path, blocks))
+            parent = path.rpartition("/")[0]
+            weight[parent] = weight.get(parent, 0) + sum(len(b[1]) - b[2] for b in blocks)
+        best = max(weight, key=lambda k: (weight[k], -len(k)), default="")
+        kept = [b[1] for path, blocks in usable for b in blocks if (path.rpartition("/")[0] + "/").startswith(best + "/") or path == best]
+    return " ".join(kept)
+
+
 def extract(pages: list[str]) -> list[str]:
     """The main texts of pages of one host."""
-    parsed = [runs(parse(p)) if p else [] for p in pages]
-    wrapper = Wrapper()
-    different = len(set(pages))
-    fields = [wrapper.learn(p) for p in parsed]
-    out = []
-    for page, taken in zip(parsed, fields):
-        if any(b[3] and not b[4] for _, blocks in page for b in blocks):
-            kept = [b[1] for _, blocks in page for b in blocks if b[3] and not b[4]]
-        else:
-            weight: dict[str, int] = {}
-            usable = []
-            for (path, blocks), f in zip(page, taken):
-                same = f.texts if different > 2 and f.pages > 2 else ()
-                blocks = [b for b in blocks if not b[4] and b[1] not in same]
-                if not blocks or f.linked * 2 > f.chars:
-                    continue
-                usable.append((path, blocks))
-                parent = path.rpartition("/")[0]
-                weight[parent] = weight.get(parent, 0) + sum(len(b[1]) - b[2] for b in blocks)
-            best = max(weight, key=lambda k: (weight[k], -len(k)), default="")
-            kept = [b[1] for path, blocks in usable for b in blocks if (path.rpartition("/")[0] + "/").startswith(best + "/") or path == best]
-        out.append(" ".join(kept))
-    return out
+    host = Host()
+    host.learn(pages)
+    model = host.model()
+    return [apply(p, *model) for p in pages]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", batch: int = PAGES) -> DataFrame:
@@ -226,31 +299,58 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     dealt = read.join(F.broadcast(large), "__host", "left").withColumn(
         "__salt", F.coalesce(F.pmod(F.xxhash64("__id", "__url"), F.col("parts")), F.lit(0))
     )
-    dealt = dealt.repartition(width, "__host", "__salt").sortWithinPartitions("__host", "__id").select("__id", "__url", "__html", "__host")
+    dealt = dealt.withColumn("__parts", F.coalesce("parts", F.lit(1)).cast("long")).select("__id", "__url", "__html", "__host", "__salt", "__parts").repartition(width, "__host", "__salt")
+
+    def learn(batches):
+        def summary(name, parts, host):
+            # a host that lies in one task and has containers on all pages needs no model
+            found = list(host.rows()) if host.needed or parts > 1 else []
+            columns = list(zip(*found)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            arrays = [pa.array([name] * len(found), pa.string()), pa.array([parts] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types)), pa.array([host.needed] * len(found), pa.bool_())]
+            return pa.RecordBatch.from_arrays(arrays, names=["h", "parts", "path", "item", "marks", "chars", "linked", "needed"])
+
+        last = host = None
+        held: list[str] = []
+        for got in batches:
+            for h, name, parts in zip(*(got.column(k).to_pylist() for k in ("__html", "__host", "__parts"))):
+                if host is not None and name != last[0]:
+                    host.learn(held)
+                    yield summary(*last, host)
+                    host, held = None, []
+                elif len(held) >= batch:
+                    host.learn(held)
+                    held = []
+                host, last = host or Host(), (name, parts)
+                held.append(h or "")
+        if host is not None:
+            host.learn(held)
+            yield summary(*last, host)
+
+    # a task's part of a host is one row a path and text, so no group has more than a row a task
+    partial = dealt.sortWithinPartitions("__host", "__id").mapInArrow(learn, "h string, parts long, path long, item long, marks array<long>, chars long, linked long, needed boolean")
+    items = partial.groupBy("h", "parts", "path", "item").agg(
+        F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("needed").alias("needed")
+    )
+    paths = items.groupBy("h", "parts", "path").agg(F.max(F.when(F.col("item").isNull(), F.col("n"))).alias("of"), F.collect_list(F.struct("item", "n", "marks", "chars", "linked")).alias("items"), F.max("needed").alias("needed"))
+    chosen = lambda c: F.transform(F.filter("items", c), lambda x: x["item"])
+    paths = paths.select(
+        "h", "parts", "needed", chosen(lambda x: x["item"].isNotNull() & (x["n"] == F.col("of")) & (x["marks"] >= DIFFERENT)).alias("constant"),
+        chosen(lambda x: x["linked"] * 2 > x["chars"]).alias("links"),
+    )
+    models = paths.groupBy("h", "parts").agg(F.flatten(F.collect_list("constant")).alias("__constant"), F.flatten(F.collect_list("links")).alias("__links"), F.max("needed").alias("needed")).where("needed")
+    models = models.select(F.col("h").alias("__host"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("__salt"), "__constant", "__links")
 
     def run(batches):
-        held: list = []
-        last = None
-
-        def texts():
-            found = extract([h or "" for _, _, h in held])
-            return pa.RecordBatch.from_arrays(
+        for got in batches:
+            ids, urls, pages_, constant, links = (got.column(k) for k in ("__id", "__url", "__html", "__constant", "__links"))
+            found = [apply(p.as_py() or "", set(c.as_py() or ()), set(l.as_py() or ())) for p, c, l in zip(pages_, constant, links)]
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()),
-                    pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64()),
+                    ids.cast(pa.int64()), urls.cast(pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64()),
                 ],
                 names=["__id", "__url", "text", "n_chars"],
             )
 
-        for got in batches:
-            for i, u, h, host_ in zip(*(c.to_pylist() for c in got.columns)):
-                if held and (host_ != last or len(held) >= batch):
-                    yield texts()
-                    held = []
-                last = host_
-                held.append((i, u, h))
-        if held:
-            yield texts()
-
-    out = dealt.mapInArrow(run, "__id long, __url string, text string, n_chars long")
+    out = dealt.join(models, ["__host", "__salt"], "left").mapInArrow(run, "__id long, __url string, text string, n_chars long")
     return out.withColumnRenamed("__id", id_col).withColumnRenamed("__url", url_col)

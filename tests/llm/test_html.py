@@ -46,3 +46,24 @@ def test_table_edges(spark):
 def test_one_host_in_many_batches(spark):
     rows = [(i, "http://hot.example/", f"<article><p>page {i}</p></article>") for i in range(500)]
     assert {r.page_id: r.text for r in html.main_text(table(spark, rows), batch=16).collect()} == {i: f"page {i}" for i in range(500)}
+
+
+def copied(i, story):
+    return f"<body><div id='top'><p>Welcome to our site</p></div><div class='ad'>Buy {i}</div><script>n={i}</script><!-- {i} --><div id='c'><p>{story}</p></div></body>"
+
+
+def test_copies_are_no_constants():
+    pages = [copied(i, "One story that all copies hold.") for i in range(5)]
+    assert html.extract(pages) == ["One story that all copies hold."] * 5
+    mixed = pages + [f"<body><div id='top'><p>Welcome to our site</p></div><div id='d'><p>Another story, number {i}.</p></div></body>" for i in range(4)]
+    assert html.extract(mixed) == ["One story that all copies hold."] * 5 + [f"Another story, number {i}." for i in range(4)]
+
+
+def test_constants_are_judged_over_the_host(spark):
+    """Batches of copies, of one page, and a host in many parts: the same texts as over all pages at once."""
+    stories = ["One story that all copies hold."] * 40 + [f"Story {i} has its own words, number {i}." for i in range(25)]
+    rows = [(i, "http://hot.example/", copied(i, t)) for i, t in enumerate(stories)] + [(100 + i, f"http://h{i}.example/", copied(i, "Alone on its host, with words enough for a story.")) for i in range(3)]
+    for batch in (1, 4, 64):
+        got = {r.page_id: r.text for r in html.main_text(table(spark, rows), batch=batch).collect()}
+        assert {i: got[i] for i in range(len(stories))} == dict(enumerate(stories))
+        assert all(got[100 + i] == "Alone on its host, with words enough for a story." for i in range(3)) and len(got) == len(rows)
