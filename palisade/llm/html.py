@@ -10,8 +10,8 @@ text: pages that differ only in a script, a comment, an advert or links are copi
 
 A field is main text if it lies in the article (the page's main or article container, or else the container that holds
 most unlinked text) and in no menu, header, footer, sidebar, notice, advert, form, script, style or comment section;
-on a page without an article container, constant texts and runs that are mostly links, on the page as on the host,
-aren't main text.
+constant texts aren't main text, in an article container or not. On a page without one, runs that are mostly links, on
+the page as on the host, aren't main text either.
 
 Pages are dealt by host. Hosts with more than a quarter of a task's fair share of the pages are spread over as many
 tasks as they need; there are at most four such hosts a task, which bounds the only side that is broadcast. A task
@@ -143,6 +143,10 @@ class Field:
         self.repeated |= len(blocks) > 1
 
 
+def container(page: list[tuple[str, list[tuple]]]) -> list[str]:
+    return [b[1] for _, blocks in page for b in blocks if b[3] and not b[4]]
+
+
 def number(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -154,7 +158,7 @@ def least(a: list[int], b: list[int]) -> list[int]:
 
 def mark(page: list[tuple[str, list[tuple]]]) -> int:
     """A number for what could be main text of a page: pages with the same are copies."""
-    return number(*(b[1] for _, blocks in page for b in blocks if not b[4] and b[2] * 2 <= len(b[1])))
+    return number(*(container(page) or [b[1] for _, blocks in page for b in blocks if not b[4] and b[2] * 2 <= len(b[1])]))
 
 
 def runs(blocks: list[tuple]) -> list[tuple[str, list[tuple]]]:
@@ -210,24 +214,18 @@ def ordered(page: list[tuple[str, list[tuple]]]):
         before[path] = before.get(path, 0) + 1
 
 
-def container(page: list[tuple[str, list[tuple]]]) -> list[str]:
-    return [b[1] for _, blocks in page for b in blocks if b[3] and not b[4]]
-
-
 class Host:
     """What the wrappers of a host's pages, or of a part of them, have in common: numbers only."""
 
     def __init__(self):
         self.texts: dict[int, dict[int, list[int]]] = {}  # path: constant text: marks of its pages
         self.links: dict[int, list[int]] = {}  # path and place: characters, those in links
-        self.needed = False
 
     def learn(self, pages: list[str]) -> None:
         wrapper, plain = Wrapper(), {}
         for p in pages:
             page = runs(parse(p)) if p else []
             wrapper.learn(page)
-            self.needed |= not container(page)
             for path, place, blocks in ordered(page):
                 sums = self.links.setdefault(number(path, str(place)), [0, 0])
                 sums[0] += sum(len(b[1]) for b in blocks)
@@ -258,8 +256,8 @@ class Host:
 def apply(page: str, constant: set[int], links: set[int]) -> str:
     """The main text of a page by its host's model."""
     parsed = runs(parse(page)) if page else []
-    kept = container(parsed)
-    if not kept:
+    kept = [b[1] for path, blocks in parsed for b in blocks if b[3] and not b[4] and number(path, "", b[1]) not in constant]
+    if not container(parsed):
         weight: dict[str, int] = {}
         usable = []
         for path, place, blocks in ordered(parsed):
@@ -303,12 +301,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def learn(batches):
         def summary(name, parts, host):
-            # a host that lies in one task and has containers on all pages needs no model
-            found = list(host.rows()) if host.needed or parts > 1 else []
+            found = list(host.rows())
             columns = list(zip(*found)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            arrays = [pa.array([name] * len(found), pa.string()), pa.array([parts] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types)), pa.array([host.needed] * len(found), pa.bool_())]
-            return pa.RecordBatch.from_arrays(arrays, names=["h", "parts", "path", "item", "marks", "chars", "linked", "needed"])
+            arrays = [pa.array([name] * len(found), pa.string()), pa.array([parts] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))]
+            return pa.RecordBatch.from_arrays(arrays, names=["h", "parts", "path", "item", "marks", "chars", "linked"])
 
         last = host = None
         held: list[str] = []
@@ -328,17 +325,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield summary(*last, host)
 
     # a task's part of a host is one row a path and text, so no group has more than a row a task
-    partial = dealt.sortWithinPartitions("__host", "__id").mapInArrow(learn, "h string, parts long, path long, item long, marks array<long>, chars long, linked long, needed boolean")
+    partial = dealt.sortWithinPartitions("__host", "__id").mapInArrow(learn, "h string, parts long, path long, item long, marks array<long>, chars long, linked long")
     items = partial.groupBy("h", "parts", "path", "item").agg(
-        F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("needed").alias("needed")
+        F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
     )
-    paths = items.groupBy("h", "parts", "path").agg(F.max(F.when(F.col("item").isNull(), F.col("n"))).alias("of"), F.collect_list(F.struct("item", "n", "marks", "chars", "linked")).alias("items"), F.max("needed").alias("needed"))
+    paths = items.groupBy("h", "parts", "path").agg(F.max(F.when(F.col("item").isNull(), F.col("n"))).alias("of"), F.collect_list(F.struct("item", "n", "marks", "chars", "linked")).alias("items"))
     chosen = lambda c: F.transform(F.filter("items", c), lambda x: x["item"])
     paths = paths.select(
-        "h", "parts", "needed", chosen(lambda x: x["item"].isNotNull() & (x["n"] == F.col("of")) & (x["marks"] >= DIFFERENT)).alias("constant"),
+        "h", "parts", chosen(lambda x: x["item"].isNotNull() & (x["n"] == F.col("of")) & (x["marks"] >= DIFFERENT)).alias("constant"),
         chosen(lambda x: x["linked"] * 2 > x["chars"]).alias("links"),
     )
-    models = paths.groupBy("h", "parts").agg(F.flatten(F.collect_list("constant")).alias("__constant"), F.flatten(F.collect_list("links")).alias("__links"), F.max("needed").alias("needed")).where("needed")
+    models = paths.groupBy("h", "parts").agg(F.flatten(F.collect_list("constant")).alias("__constant"), F.flatten(F.collect_list("links")).alias("__links"))
     models = models.select(F.col("h").alias("__host"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("__salt"), "__constant", "__links")
 
     def run(batches):

@@ -67,3 +67,14 @@ def test_constants_are_judged_over_the_host(spark):
         got = {r.page_id: r.text for r in html.main_text(table(spark, rows), batch=batch).collect()}
         assert {i: got[i] for i in range(len(stories))} == dict(enumerate(stories))
         assert all(got[100 + i] == "Alone on its host, with words enough for a story." for i in range(3)) and len(got) == len(rows)
+
+
+def test_the_wrapper_decides_inside_the_container():
+    def page(i, extra=""):
+        return f"<body><p>Visit {i}</p><article><p>Story {i} has its own words.</p><div class='x'><p>All rights are with the house.</p></div>{extra}</article></body>"
+
+    assert html.extract([page(i) for i in range(4)]) == [f"Story {i} has its own words." for i in range(4)]
+    assert html.extract([page(0), page(1)]) == [f"Story {i} has its own words. All rights are with the house." for i in range(2)]
+    # copies of an article take nothing from each other, whatever lies around it
+    same = [f"<body><p>Visit {i}</p><article><p>One story.</p></article></body>" for i in range(5)]
+    assert html.extract(same) == ["One story."] * 5
