@@ -289,7 +289,8 @@ def findings_of(text: str, is_test: bool) -> list[tuple[str, str, int, str]]:
 
 
 def python_findings(files: DataFrame) -> DataFrame:
-    """(path, rule_id, severity, line, note) of Python files; rule_id PARSE is the diagnostic of one that can't be read."""
+    """(path, rule_id, severity, line, note) of Python files; rule_id PARSE is the diagnostic of one that can't be parsed,
+    SKIPPED that of one that isn't analysed, with the reason as its note."""
 
     ship(files.sparkSession)
 
@@ -299,14 +300,16 @@ def python_findings(files: DataFrame) -> DataFrame:
             for path, text, test in zip(*(c.to_pylist() for c in got.columns)):
                 try:
                     rows += [(path, *f) for f in findings_of(text, test)]
-                except (SyntaxError, ValueError, RecursionError) as e:
+                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:  # the parser's stack overflows as a MemoryError
                     rows.append((path, "PARSE", "LOW", getattr(e, "lineno", None) or 1, type(e).__name__))
             names = ["path", "rule_id", "severity", "line", "note"]
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    wanted = files.where((F.col("language") == "python") & F.col("skipped").isNull() & F.col("text").isNotNull())
-    return wanted.select("path", "text", "is_test").mapInArrow(run, "path string, rule_id string, severity string, line int, note string")
+    python = files.where(F.col("language") == "python").withColumn("skipped", F.when(F.col("text").isNull(), "unreadable").otherwise(F.col("skipped")))
+    found = python.where(F.col("skipped").isNull()).select("path", "text", "is_test").mapInArrow(run, "path string, rule_id string, severity string, line int, note string")
+    skipped = python.where(F.col("skipped").isNotNull())
+    return found.unionByName(skipped.select("path", F.lit("SKIPPED").alias("rule_id"), F.lit("LOW").alias("severity"), F.lit(1).alias("line"), F.col("skipped").alias("note")))
 
 
 FAMILIES = {"IL-501": "sql", "IL-502": "path", "IL-504": "command"}

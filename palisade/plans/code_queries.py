@@ -19,7 +19,7 @@ def rule_library_scan(spark, tables):
 
 @query()
 def python_syntax_scan(spark, tables):
-    """The rules over Python's syntax with all documents read as Python files; prose that can't be parsed is a diagnostic."""
-    documents = tables("documents").where("text IS NOT NULL").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".py")).alias("path"), "text")
+    """The rules over Python's syntax with all documents read as Python files; prose that can't be parsed, and a text that is skipped, is a diagnostic."""
+    documents = tables("documents").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".py")).alias("path"), "text")
     found = syntax.python_findings(src.from_table(documents, "path", "text"))
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))

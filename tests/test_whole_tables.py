@@ -51,3 +51,10 @@ def test_table_queries_take_all_rows(spark, tmp_path):
     tables = {"lineitem": (lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double")}
     got = {r.l_suppkey: (r.added, r.removed) for r in whole(spark, tmp_path, "premise_differences_all", **tables)}
     assert got == {1: ([7], [5]), 3: ([], [9])}
+
+
+def test_skipped_documents_are_diagnostics(spark, tmp_path):
+    texts = ["x = 1\n", "no code at all", "y = 1\n" * 200_000, "z" * 25_000, "a\x00b", None, "-" * 15_000 + "1"]
+    rows = whole(spark, tmp_path, "python_syntax_scan", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.rule_id: (r.n, r.files) for r in rows}
+    assert got["SKIPPED"] == (4, 4) and got["PARSE"] == (2, 2)
