@@ -6,8 +6,9 @@ the largest remainders of shorter tiers that fit whole, and the last gap with a
 shorter document is left to fill fall apart into the tiers below; what is smaller than the smallest tier at the very end
 of a task is cut at powers of two. So sequences have a tier's length, and next to nothing is padded.
 
-Each task packs the rows of its own partition, in buffers of bounded size; nothing is shuffled, and no other task's
-loss matters. Windows of one tier are dealt to step groups of equal token counts, so a training step has one length.
+Each task packs the rows of its own partition, in buffers of bounded size; texts aren't shuffled, and no other task's
+loss matters. Windows of one tier are dealt to step groups of equal token counts, so a training step has one length; the
+groups are numbered over all tasks, by prefix sums of each task's windows.
 
 Defined cases: null and empty texts are a document of the end token alone; a text of any length is cut into windows;
 repeated rows are documents of their own; other columns are ignored; an empty table gives no pieces.
@@ -16,17 +17,21 @@ repeated rows are documents of their own; other columns are ignored; an empty ta
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from palisade.llm.bpe import Cache
-from palisade.llm.common import ship
+from palisade.llm.bpe import Automaton
+from palisade.llm.common import cut, ship
+from palisade.llm.pieces import Cache, joined
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens that a packing buffer holds at least before it is packed, and windows' tokens in a step group.
@@ -36,68 +41,60 @@ BUFFER, STEP = 2_000_000, 16 * 2048
 class WordIds:
     """Token ids of whole texts by a vocabulary file whose words can't cross white space.
 
-    Pieces between white space are encoded by the tokenizers library once and remembered; the ids of a text are the
-    ids of its pieces, and a piece of Latin text is its words, split by the file's own pattern. A text with characters about which the library and Python disagree (information separators are
-    white space to Python alone), or with a control string, is given to the library whole.
+    Texts are cut into pieces a batch at a time (`pieces`). A piece of Latin letters and marks is lower-cased, split by
+    the file's own pattern and walked through the automaton of the file's merges; any other is encoded by the
+    tokenizers library. A text that holds a control string, or an information separator (white space to some), is given
+    to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = ("\x1c", "\x1d", "\x1e", "\x1f", *special)
-        self.pieces, self.words = Cache(self._piece, most), Cache(self._encode, most // 2)
+        self.odd = "[\x1c-\x1f]" + "".join("|" + re.escape(s).replace("/", "\\/") for s in special)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.split = regex.compile(split["pattern"]["Regex"]).findall if split.get("invert") and split["behavior"] == "Removed" else None
-        self.closing = spec["model"]["end_of_word_suffix"] or ""
-        self.closes = {i for t, i in spec["model"]["vocab"].items() if self.closing and t.endswith(self.closing)}
+        model = spec["model"]
+        self.closed = bool(model["end_of_word_suffix"])
+        self.automaton = Automaton.of(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
+        self.known = Cache(most)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _plain(self, piece: str) -> bool:
-        """Latin letters and marks below U+0250 are composed already and lower-case one by one."""
-        return bool(self.split) and max(piece) < "\u0250" and "<" not in piece
-
-    def _split(self, piece: str) -> list[str]:
-        low = piece.lower()
-        return [low] if low.isalpha() else self.split(low)
-
-    def _piece(self, piece: str) -> bytes:
-        if self._plain(piece):
-            return b"".join(map(self.words.__getitem__, self._split(piece)))
-        return self._encode(piece)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode the words that the pieces need in one call; each word ends with a token that closes a word."""
-        split = {p: self._split(p) for p in pieces if self._plain(p)}
-        held, elder = self.words, self.words.elder
-        words = list({w for ws in split.values() for w in ws if w not in held and w not in elder})
-        if words and self.closes:
-            ids = self.library.encode(" ".join(words), add_special_tokens=False).ids
-            ends = [i + 1 for i, t in enumerate(ids) if t in self.closes]
-            if len(ends) == len(words):  # else each is encoded on its own
-                data, start = array("I", ids).tobytes(), 0
-                for w, end in zip(words, ends):
-                    held.put(w, data[4 * start : 4 * end])
-                    start = end
-        for p, ws in split.items():
-            self.pieces.put(p, b"".join(map(held.__getitem__, ws)))
+    def _words(self, piece: str) -> list[bytes] | None:
+        """The words of a piece; None if the library has to look at it.
+
+        Letters and marks below U+0250 are composed already and lower-case one by one, all but one to one character.
+        """
+        if not self.split or "<" in piece or not piece.isascii() and (max(piece) >= "\u0250" or "\u0130" in piece):
+            return None
+        low = piece.strip().lower()
+        return [low.encode()] if low.isalpha() else [w.encode() for w in self.split(low)]
+
+    def _made(self, pieces: list[str]) -> list[bytes]:
+        split = list(map(self._words, pieces))
+        tokens = self.automaton.tokens([ws or [] for ws in split], self.closed)
+        return [self._encode(p) if ws is None else array("I", ids).tobytes() for p, ws, ids in zip(pieces, split, tokens)]
+
+    def look(self, pieces: list[str]) -> list[bytes]:
+        return self.known.all(pieces, self._made)
+
+    def all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of an Arrow array, as 32-bit words."""
+        held = pc.match_substring_regex(texts, self.odd).fill_null(False)
+        odd = set(np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist())
+        plain = pc.if_else(held, pa.scalar("", texts.type), texts) if odd else texts
+        for i, (ids,) in enumerate(joined(plain, self.look, 1)):
+            yield self._encode(texts[i].as_py()) if i in odd else ids
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.odd):
-            return self._encode(text)
-        pieces = text.split()
-        held, elder = self.pieces, self.pieces.elder
-        new = {p for p in pieces if p not in held and p not in elder}
-        if new:
-            self._learn(new)
-        return b"".join(map(held.__getitem__, pieces))
+        return next(self.all(pa.array([text], pa.string())))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -194,7 +191,7 @@ class Packer:
 
 
 _PIECES = (
-    "__id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+    "__id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, place long"
 )
 
 
@@ -202,40 +199,37 @@ def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """One row a piece of a document: where it lies in the document and in its sequence.
 
     path: of a vocabulary file that every executor can read; end: the id that closes a document. sequence_id: unique
-    over all tasks. tier: its sequence's length; step_group: sequences that one step takes together.
+    over all tasks. tier: its sequence's length; step_group: sequences that one step takes together. Groups are counted
+    over all tasks, so that a tier has one incomplete group at most.
     """
     ship(documents.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
 
-        base, ids_of = TaskContext.get().partitionId() << 32, word_ids(path)
-        packer, held, count = Packer(tiers), {}, 0
+        task, ids_of = TaskContext.get().partitionId(), word_ids(path)
+        base, packer, held, count = task << 32, Packer(tiers), {}, 0
         closing = np.array([end], "<u4").tobytes()
-        steps = {t: 0 for t in tiers}
+        places: dict[int, int] = {}
         ids_left: dict[int, int] = {}
 
         def rows(last: bool):
             out = []
             for name, start, length, sequence, offset, tier in packer.pack(last):
                 doc, ids = held[name]
-                out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, base + sequence, offset, tier))
+                if not offset:
+                    places[tier] = places.get(tier, -1) + 1
+                out.append((doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, base + sequence, offset, tier, task, places[tier]))
                 ids_left[name] -= length
                 if not ids_left[name]:
                     del held[name], ids_left[name]
-            table = list(zip(*out)) if out else [[]] * 8
-            groups = []
-            for sequence, offset, tier in zip(table[5], table[6], table[7]):
-                steps.setdefault(tier, 0)
-                steps[tier] += not offset
-                groups.append(base + tier * (1 << 20) + (steps[tier] - 1) // max(1, STEP // tier))
-            kinds = [pa.int64()] * 7 + [pa.int32()]
-            names = ["__id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
-            return pa.RecordBatch.from_arrays([*map(pa.array, table, kinds), pa.array(groups, pa.int64())], names=names)
+            table = list(zip(*out)) if out else [[]] * 10
+            kinds = [*[pa.int64()] * 7, pa.int32(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([*map(pa.array, table, kinds)], names=[f.split()[0] for f in _PIECES.split(", ")])
 
         for got in batches:
-            for doc, text in zip(got.column(0).to_pylist(), got.column(1)):
-                ids = ids_of(text.as_py() or "") + closing
+            for doc, ids in zip(got.column(0).to_pylist(), ids_of.all(got.column(1))):
+                ids += closing
                 held[count] = (doc, ids)
                 ids_left[count] = len(ids) // 4
                 packer.add(count, len(ids) // 4)
@@ -245,4 +239,15 @@ def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         yield rows(True)
 
     read = documents.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return read.mapInArrow(run, _PIECES).withColumnRenamed("__id", id_col)
+    pieces = cut(read.mapInArrow(run, _PIECES))  # a row a piece: numbers only
+    # a row a task and tier: the only side that is broadcast
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        pieces.groupBy(F.col("tier").alias("tier"), F.col("task").alias("task")).agg((F.max("place") + 1).alias("n"))
+        .select(F.col("tier").alias("tier0"), F.col("task").alias("task0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    )
+    group = F.col("tier").cast("long") * (1 << 40) + F.floor((F.col("first") + F.col("place")) / F.greatest(F.lit(1), F.floor(F.lit(STEP) / F.col("tier"))))
+    return (
+        pieces.join(F.broadcast(totals), (F.col("tier") == F.col("tier0")) & (F.col("task") == F.col("task0")))
+        .withColumn("step_group", group.cast("long")).withColumnRenamed("__id", id_col).drop("tier0", "task0", "first", "task", "place")
+    )

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from palisade.llm.packing import Packer, WordIds, pack
@@ -69,8 +70,24 @@ def test_packer_fills_windows():
     assert all(n & (n - 1) == 0 for n in windows.values())
 
 
+def test_step_groups_are_counted_over_all_tasks(spark):
+    rows = documents(spark, [(i, "some words of a text " * (i % 900)) for i in range(400)], clashing=False).repartition(7)
+    got = pack(rows, PATH).collect()
+    windows = {(r.tier, r.step_group, r.sequence_id) for r in got}
+    sizes = defaultdict(int)
+    for tier, group, _ in windows:
+        sizes[tier, group] += 1
+    for tier in {t for t, _, _ in windows}:
+        size = max(1, 16 * 2048 // tier)
+        of = sorted(n for (t, _), n in sizes.items() if t == tier)
+        assert of[-1] <= size and sum(n < size for n in of) <= 1
+
+
 def test_word_ids_equal_the_library():
-    words, rng = WordIds(PATH, most=50), random.Random(4)
+    words, rng = WordIds(PATH, most=20_000), random.Random(4)
     for _ in range(800):
-        text = "".join(rng.choice("ab The  \n\tÉé1²'sL<|>%  \xa0日\x1ćΣς") for _ in range(rng.randint(0, 40)))
+        text = "".join(rng.choice("ab The  \n\tÉé1²'sL<|>%  \xa0日\x1ćΣςİ×,.") for _ in range(rng.randint(0, 40)))
         assert np.frombuffer(words(text), "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids
+    vocabulary = [t.removesuffix("</w>") for t in words.library.get_vocab()]
+    for text, ids in zip(vocabulary, words.all(pa.array(vocabulary))):
+        assert np.frombuffer(ids, "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids
