@@ -5,16 +5,19 @@ of about `WINDOW` bytes, every window is compressed with either dictionary, and
 distance. A text's features are its largest distance, the sum of its distances above the window threshold, and the
 number of such windows; a logistic curve calibrated on texts that trained no dictionary turns them into a score.
 
-Most of a toxic text is ordinary, and a dictionary trained on all of it would mostly hold ordinary text. So the toxic
-samples are the passages around the words that toxic texts hold far more often than ordinary ones, and both
-dictionaries share the ordinary samples: a window of ordinary text costs the same with either.
+Most of a toxic text is ordinary, and a dictionary trained on all of it mostly holds ordinary text. So the toxic samples
+are words: those that at least `LEAST` toxic texts hold, and hold `CONTRAST` times as often as ordinary ones. The toxic
+dictionary is the ordinary one with what zstandard's trainer picks from those samples and their commonest spellings
+behind it, so a window of ordinary text costs the same with either. The README has the figures of dictionaries that were
+trained on whole windows or passages; they tell the classes apart far less well.
 
 Learning takes a bounded sample of labelled rows (at most `DOCS` a class, those with the smallest hash of their id, and
-at most `CLASS_BYTES` of their text); every row is scored on its whole text.
+at most `CLASS_BYTES` of their text in UTF-8, a text a document); every row is scored on its whole text.
 
 Defined cases: null and empty texts have no windows and get the score of a text without any distance; texts are
-compared in lower case; repeated rows stay; without labels of both classes every score is the share of toxic labels (0
-without labels); other columns are ignored; an empty table gives an empty result.
+compared in lower case; repeated rows stay; a document with labels of both classes teaches neither, and one with several
+texts teaches its least; without labels of both classes every score is the share of toxic labels (0 without labels); the
+score column takes the place of one of its name, other columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from palisade.llm.common import ship
 
 DOCS, CLASS_BYTES, WINDOW, DICTIONARY, LEVEL = 2000, 6_000_000, 36, 16_384, 3
 #: A word's share among toxic texts over that among ordinary ones, and how many toxic texts must hold it.
-CONTRAST, LEAST, LEAST_SHARE = 40.0, 3, 0.02
+CONTRAST, LEAST = 40.0, 5
 #: Rounds in which ordinary windows that look toxic join the ordinary samples, and their bytes in each.
 ROUNDS, HARD_BYTES = 3, 6_000
 
@@ -135,7 +138,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     n = {y: len(v) for y, v in train.items()}
     telling = {
         w for w, c in share[1].items()
-        if c >= max(min(LEAST, n[1]), LEAST_SHARE * n[1]) and len(w) > 2 and c / n[1] >= CONTRAST * (share[0][w] + 0.5) / n[0]
+        if c >= min(LEAST, n[1]) and len(w) > 2 and c / n[1] >= CONTRAST * (share[0][w] + 0.5) / n[0]
     }
     around = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(telling))) + r")\b") if telling else None
     passages = [b" " + m[0].encode() + b" " for t in train[1] for m in (around.finditer(t.lower()) if around else [])]
@@ -172,18 +175,21 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 
 def learn(documents: DataFrame, labels: DataFrame, docs: int = DOCS, class_bytes: int = CLASS_BYTES, text_col: str = "text") -> Model:
     """Fit on at most `docs` labelled documents a class. labels: (doc_id, toxic), only rows that may be learnt from."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id")
+        .agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most")).where("toxic = most").drop("most")
+    )
     drawn = None
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
         drawn = part if drawn is None else drawn.unionByName(part)
     # at most 2 * docs rows of two numbers: the only side that is broadcast
     texts = documents.select(F.col("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    got = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    got = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
     rows, used = [], {0: 0, 1: 0}
     for r in got.toLocalIterator():
         if used[r["toxic"]] < class_bytes:
-            used[r["toxic"]] += len(r["text"])
+            used[r["toxic"]] += len(r["text"].encode("utf-8", "surrogatepass"))
             rows.append((r["text"], r["toxic"]))
     return fit(rows)
 

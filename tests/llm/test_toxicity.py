@@ -43,3 +43,13 @@ def test_edges(spark):
 def test_windows_cover_the_whole_text():
     for text in ("", "a", "word " * 1000, "x" * 5000, "é" * 500):
         assert b"".join(toxicity.windows(text)) == text.lower().encode()
+
+
+def test_each_document_teaches_once(spark):
+    rows = corpus(300, 9)
+    docs = documents(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = toxicity.learn(docs, labels)
+    other = labels.unionByName(spark.createDataFrame([(7_000, 0), (7_000, 1)], "doc_id long, toxic int"))
+    more = docs.unionByName(docs).unionByName(documents(spark, [(7_000, "both classes"), (rows[0][0], "~ a later text")]))
+    assert toxicity.learn(more, other).__getstate__() == once.__getstate__()
