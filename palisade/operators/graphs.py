@@ -13,18 +13,18 @@ def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        if not named and not context.master.startswith("local"):
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or f"{tempfile.gettempdir()}/palisade-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
 def degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, fan_in, fan_out): distinct neighbours, in one aggregation over both directions."""
-    both = edges.select(F.col(src).alias("node"), F.col(dst).alias("o"), F.lit(None).cast(edges.schema[src].dataType).alias("i")).unionByName(
-        edges.select(F.col(dst).alias("node"), F.lit(None).cast(edges.schema[dst].dataType).alias("o"), F.col(src).alias("i"))
-    )
-    return both.groupBy("node").agg(F.countDistinct("i").alias("fan_in"), F.countDistinct("o").alias("fan_out"))
+    """(node, fan_in, fan_out): distinct neighbours. Edges are made distinct once, and then plainly counted."""
+    e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
+    one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
+    both = e.select(F.col("s").alias("node"), one("d").alias("o"), F.lit(0).alias("i")).unionAll(e.select(F.col("d").alias("node"), F.lit(0).alias("o"), one("s").alias("i")))
+    return both.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
 def hubs(edges: DataFrame, k: int = 5, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -166,3 +166,8 @@ def first_after(events: DataFrame, uses: DataFrame, on: tuple, at: str, out: str
     after = Window.partitionBy(*on).orderBy(F.col("__at").desc(), F.col("__use")).rowsBetween(Window.unboundedPreceding, -1)
     nearest = F.last(F.when(F.col("__use") == 1, F.col("__at")), ignorenulls=True).over(after)
     return both.withColumn(out, nearest).where("__use = 0").select(*on, F.col("__at").alias(at), out)
+
+
+def missing(left: DataFrame, right: DataFrame, keys: tuple) -> DataFrame:
+    """The distinct keys of left without a counterpart in right; null keys of left have none."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_anti")

@@ -17,19 +17,10 @@ def fan_in_out(spark, tables):
 
 
 _NEXT = """e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity >= 46 AND b.l_quantity >= 46 AND a.l_suppkey <> b.l_suppkey)"""
-
-
-_NEXT_ALL = """e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   WHERE a.l_suppkey <> b.l_suppkey)"""
 
 
 def _edges(tables):
-    """Suppliers of neighbouring lines of an order, both of them large: a cut of about 1% that keeps the recursive SQL small."""
-    return _next(tables("lineitem").where("l_quantity >= 46"))
-
-
-def _all_edges(tables):
     """Suppliers of neighbouring lines of an order, over all lines."""
     return _next(tables("lineitem"))
 
@@ -45,59 +36,27 @@ def hubs(spark, tables):
     return graphs.hubs(_edges(tables))
 
 
-@query(
-    f"""WITH RECURSIVE {_NEXT}, r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)
-SELECT x.a AS node, max(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1"""
-)
+@query()
 def module_cycles(spark, tables):
-    """Strongly connected components of two nodes or more."""
+    """Strongly connected components over all lines; the closure in SQL is too large, so a test holds it against brute force."""
     return graphs.strong_components(_edges(tables))
 
 
 @query(
-    f"""WITH RECURSIVE {_NEXT}, r(start, node, depth) AS (SELECT src, dst, 1 FROM e WHERE src % 10 = 0 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
+    f"""WITH RECURSIVE {_NEXT}, r(start, node, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
 SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node"""
 )
 def reach_depth3(spark, tables):
-    """What a tenth of the suppliers reaches in three steps."""
+    """What every supplier reaches in three steps."""
     e = _edges(tables)
-    return graphs.reach(e, e.where("src % 10 = 0").select(F.col("src").alias("node")).distinct(), 3)
+    return graphs.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
 
 
 @query(f"WITH {_NEXT} SELECT src, dst, CAST(src % 4 AS INTEGER) AS src_rank, CAST(dst % 4 AS INTEGER) AS dst_rank, CASE WHEN src % 4 > dst % 4 THEN 'upward' ELSE 'skips' END AS kind FROM e WHERE src % 4 > dst % 4 OR dst % 4 - src % 4 > 1")
 def layer_direction(spark, tables):
-    """Edges against the order of layers, or over one."""
-    e = _edges(tables)
-    layers = tables("supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).cast("int").alias("rank"))
-    return graphs.layer_violations(e, layers, skips=True)
-
-
-@query(f"WITH {_NEXT_ALL}, d AS (SELECT src AS node, NULL AS i, dst AS o FROM e UNION ALL SELECT dst, src, NULL FROM e), g AS (SELECT node, count(DISTINCT i) AS fan_in, count(DISTINCT o) AS fan_out FROM d GROUP BY node) SELECT *, fan_in * fan_out AS product FROM g ORDER BY product DESC, node LIMIT 5")
-def hubs_all(spark, tables):
-    return graphs.hubs(_all_edges(tables))
-
-
-@query()
-def module_cycles_all(spark, tables):
-    """Strongly connected components over all lines; the closure in SQL is too large, so a test holds it against brute force."""
-    return graphs.strong_components(_all_edges(tables))
-
-
-@query(
-    f"""WITH RECURSIVE {_NEXT_ALL}, r(start, node, depth) AS (SELECT src, dst, 1 FROM e UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 3)
-SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node"""
-)
-def reach_depth3_all(spark, tables):
-    """What every supplier reaches in three steps."""
-    e = _all_edges(tables)
-    return graphs.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
-
-
-@query(f"WITH {_NEXT_ALL} SELECT src, dst, CAST(src % 4 AS INTEGER) AS src_rank, CAST(dst % 4 AS INTEGER) AS dst_rank, CASE WHEN src % 4 > dst % 4 THEN 'upward' ELSE 'skips' END AS kind FROM e WHERE src % 4 > dst % 4 OR dst % 4 - src % 4 > 1")
-def layer_direction_all(spark, tables):
     """Edges against the order of layers, or over one, over all lines."""
     layers = tables("supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") % 4).cast("int").alias("rank"))
-    return graphs.layer_violations(_all_edges(tables), layers, skips=True)
+    return graphs.layer_violations(_edges(tables), layers, skips=True)
 
 
 @query("SELECT o_custkey, count(DISTINCT o_orderkey) AS changes, count(*) AS lines, count(DISTINCT o_orderkey) * count(*) AS heat FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey ORDER BY heat DESC, o_custkey LIMIT 10")
@@ -145,21 +104,12 @@ def version_policy(spark, tables):
     return v.join(n, "p_brand").select("p_partkey", (F.col("versions") > 1).alias("mixed"), (F.col("version") < F.array(F.lit(25), F.lit(5))).alias("below_minimum"), F.col("version")[0].isin(10, 20, 30).alias("supported"))
 
 
-@query(
-    """WITH p AS (SELECT p_brand AS name, p_partkey, p_size AS v FROM part), r AS (SELECT DISTINCT p_brand AS name, CAST(p_partkey % 40 AS INTEGER) AS introduced, CAST(p_partkey % 40 + 5 AS INTEGER) AS fixed, p_partkey % 7 = 0 AS open FROM part WHERE p_partkey % 25 = 0)
-SELECT p_partkey, count(*) AS advisories, min(CASE WHEN NOT open THEN fixed END) AS first_fix FROM p JOIN r ON p.name = r.name AND r.introduced <= p.v AND (open OR p.v < r.fixed) GROUP BY p_partkey"""
-)
-def version_interval_join(spark, tables):
-    """Half-open affected ranges, some without a fix; the join is by name with the range as its residue. Ranges of one part in 25."""
-    return _affected(tables("part"), tables("part").where("p_partkey % 25 = 0"))
-
-
 @query(
     """WITH p AS (SELECT p_brand AS name, p_partkey, p_size AS v FROM part), r AS (SELECT DISTINCT p_brand AS name, CAST(p_partkey % 40 AS INTEGER) AS introduced, CAST(p_partkey % 40 + 5 AS INTEGER) AS fixed, p_partkey % 7 = 0 AS open FROM part)
 SELECT p_partkey, count(*) AS advisories, min(CASE WHEN NOT open THEN fixed END) AS first_fix FROM p JOIN r ON p.name = r.name AND r.introduced <= p.v AND (open OR p.v < r.fixed) GROUP BY p_partkey"""
 )
-def version_interval_join_all(spark, tables):
-    """The same with the ranges of all parts."""
+def version_interval_join(spark, tables):
+    """Half-open affected ranges, some without a fix; the join is by name with the range as its residue."""
     return _affected(tables("part"), tables("part"))
 
 
@@ -188,10 +138,10 @@ def ratio_gated_files(spark, tables):
     return g.crossJoin(F.broadcast(t)).where("total >= 10 AND r >= 0.3 AND n - annotated >= 3").select("l_orderkey", (F.col("n") - F.col("annotated")).alias("missing"))
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_counterpart(spark, tables):
     """Rows without a counterpart, as manifests without a lock file."""
-    return tables("customer").join(tables("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey").distinct()
+    return matching.missing(tables("documents"), tables("labels"), ("doc_id",))
 
 
 @query(
@@ -206,21 +156,12 @@ def check_then_use(spark, tables):
     return c.join(u, ["l_orderkey", "target"]).where("check_line < use_line").groupBy("l_orderkey", "check_line").agg(F.min("use_line").alias("use_line"))
 
 
-@query(
-    """WITH l AS (SELECT 'v' || p_partkey AS a, 'b' || p_brand || '/' || p_size AS b FROM part WHERE p_partkey % 3 = 0)
-SELECT a AS advisory, min(a) OVER (PARTITION BY b) AS "group" FROM l"""
-)
-def merged_aliases(spark, tables):
-    """Advisories that share an alias are one group, named by its least member; a third of the parts."""
-    return _aliases(tables("part").where("p_partkey % 3 = 0"))
-
-
 @query(
     """WITH l AS (SELECT 'v' || p_partkey AS a, 'b' || p_brand || '/' || p_size AS b FROM part)
 SELECT a AS advisory, min(a) OVER (PARTITION BY b) AS "group" FROM l"""
 )
-def merged_aliases_all(spark, tables):
-    """The same over all parts."""
+def merged_aliases(spark, tables):
+    """Advisories that share an alias are one group, named by its least member."""
     return _aliases(tables("part"))
 
 
@@ -246,23 +187,13 @@ def trial_blocks(spark, tables):
     return b.withColumn("in_block", F.count("*").over(w)).select("o_orderkey", F.col("block").cast("long").alias("block"), "in_block")
 
 
-@query(
-    """WITH a AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS v FROM lineitem WHERE l_quantity < 3 AND l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS v FROM lineitem WHERE l_quantity < 3 AND l_linenumber >= 2 GROUP BY 1),
-d AS (SELECT k AS l_suppkey, list_sort(list_filter(coalesce(b.v, []), lambda x: NOT list_contains(coalesce(a.v, []), x))) AS added, list_sort(list_filter(coalesce(a.v, []), lambda x: NOT list_contains(coalesce(b.v, []), x))) AS removed FROM a FULL JOIN b USING (k))
-SELECT * FROM d WHERE len(added) + len(removed) > 0"""
-)
-def premise_differences(spark, tables):
-    """Recorded and current sets of dependencies: what came and what went. Only lines of a quantity below 3."""
-    return _differences(tables("lineitem").where("l_quantity < 3"))
-
-
 @query(
     """WITH a AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), b AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_partkey))) AS v FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1),
 d AS (SELECT k AS l_suppkey, list_sort(list_filter(coalesce(b.v, []), lambda x: NOT list_contains(coalesce(a.v, []), x))) AS added, list_sort(list_filter(coalesce(a.v, []), lambda x: NOT list_contains(coalesce(b.v, []), x))) AS removed FROM a FULL JOIN b USING (k))
 SELECT * FROM d WHERE len(added) + len(removed) > 0"""
 )
-def premise_differences_all(spark, tables):
-    """The same over all lines."""
+def premise_differences(spark, tables):
+    """Recorded and current sets of dependencies: what came and what went."""
     return _differences(tables("lineitem"))
 
 

@@ -1,4 +1,4 @@
-"""The whole-table queries against brute force on small fixtures with rows that the filtered ones leave out."""
+"""The whole-table queries against brute force on small fixtures with rows of every kind."""
 
 from palisade.plans.catalog import QUERIES
 
@@ -13,7 +13,7 @@ LINES = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double"
 
 
 def test_graph_queries_take_all_lines(spark, tmp_path):
-    # small quantities only, and no start that 10 divides: the filtered queries have no edge at all
+    # small quantities only, and no start that 10 divides
     orders = [(1, 2, 3, 1), (3, 4), (4, 5, 4), (6, 6), (7, 1)]
     lines = [(o, n, s, 1.0 + n) for o, suppliers in enumerate(orders) for n, s in enumerate(suppliers, 1)]
     suppliers = ([(k,) for k in range(1, 8)], "s_suppkey long")
@@ -26,30 +26,30 @@ def test_graph_queries_take_all_lines(spark, tmp_path):
                 if b == c:
                     steps.setdefault((a, e), d)
     mutual = {n: {m for m in range(1, 8) if (n, m) in steps and (m, n) in steps} | {n} for n in range(1, 8)}
-    got = {(r.node, r.component) for r in whole(spark, tmp_path, "module_cycles_all", **tables)}
+    got = {(r.node, r.component) for r in whole(spark, tmp_path, "module_cycles", **tables)}
     assert got == {(n, max(ms)) for n, ms in mutual.items() if len(ms) > 1} and got
-    got = {(r.start, r.node): r.depth for r in whole(spark, tmp_path, "reach_depth3_all", **tables)}
+    got = {(r.start, r.node): r.depth for r in whole(spark, tmp_path, "reach_depth3", **tables)}
     assert got == {k: d for k, d in steps.items() if d <= 3}
-    got = {(r.src, r.dst, r.kind) for r in whole(spark, tmp_path, "layer_direction_all", **tables)}
+    got = {(r.src, r.dst, r.kind) for r in whole(spark, tmp_path, "layer_direction", **tables)}
     assert got == {(a, b, "upward" if a % 4 > b % 4 else "skips") for a, b in edges if a % 4 > b % 4 or b % 4 - a % 4 > 1}
     product = {n: sum(b == n for _, b in edges) * sum(a == n for a, _ in edges) for e in edges for n in e}
-    got = [(r.product, r.node) for r in whole(spark, tmp_path, "hubs_all", **tables)]
+    got = [(r.product, r.node) for r in whole(spark, tmp_path, "hubs", **tables)]
     assert sorted(got) == sorted(sorted(((p, n) for n, p in product.items()), key=lambda x: (-x[0], x[1]))[:5])
 
 
 def test_table_queries_take_all_rows(spark, tmp_path):
-    # no part key that 3 or 25 divides, no quantity below 3: the filtered queries have no advisory, range or premise at all
+    # no part key that 3 or 25 divides, no quantity below 3
     parts = [(k, f"Brand#{k % 2}", k % 4 + 30) for k in (31, 32, 34, 37, 38, 49, 52, 77)]
     tables = {"part": (parts, "p_partkey long, p_brand string, p_size int")}
-    got = {r.advisory: r.group for r in whole(spark, tmp_path, "merged_aliases_all", **tables)}
+    got = {r.advisory: r.group for r in whole(spark, tmp_path, "merged_aliases", **tables)}
     assert got == {f"v{k}": min(f"v{x}" for x, b, s in parts if (b, s) == (brand, size)) for k, brand, size in parts}
     ranges = {(b, k % 40, k % 40 + 5, k % 7 == 0) for k, b, _ in parts}
     hits = {k: [(f, o) for b, i, f, o in ranges if b == brand and i <= size and (o or size < f)] for k, brand, size in parts}
-    got = {r.p_partkey: (r.advisories, r.first_fix) for r in whole(spark, tmp_path, "version_interval_join_all", **tables)}
+    got = {r.p_partkey: (r.advisories, r.first_fix) for r in whole(spark, tmp_path, "version_interval_join", **tables)}
     assert got == {k: (len(h), min((f for f, o in h if not o), default=None)) for k, h in hits.items() if h} and got
     lines = [(1, n, s, p, 40.0) for s, given in ((1, {1: 5, 2: 6, 3: 7}), (2, {2: 8}), (3, {1: 9})) for n, p in given.items()]
     tables = {"lineitem": (lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double")}
-    got = {r.l_suppkey: (r.added, r.removed) for r in whole(spark, tmp_path, "premise_differences_all", **tables)}
+    got = {r.l_suppkey: (r.added, r.removed) for r in whole(spark, tmp_path, "premise_differences", **tables)}
     assert got == {1: ([7], [5]), 3: ([], [9])}
 
 
