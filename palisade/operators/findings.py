@@ -30,6 +30,24 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity).cast("int")
 
 
+def _applies(r: LineRule, columns: list[str]) -> Column:
+    """Whether a rule looks at a file, by what is known of the file."""
+    ok, where = F.lit(True), F.lit(False)
+    if r.languages and "language" in columns:
+        where = where | F.coalesce(F.col("language").isin(*r.languages), F.lit(False))
+    if r.kinds and "kind" in columns:
+        where = where | F.coalesce(F.col("kind").isin(*r.kinds), F.lit(False))
+    if (r.languages or r.kinds) and "language" in columns:
+        ok = where
+    if not r.include_tests and "is_test" in columns:
+        ok = ~F.col("is_test") & ok
+    return ok
+
+
+def _hits(r: LineRule, text: Column) -> Column:
+    return text.rlike(r.pattern) & ~text.rlike(r.unless) if r.unless else text.rlike(r.pattern)
+
+
 def scan(lines: DataFrame, rules: list[LineRule], keys: tuple = ("path",)) -> DataFrame:
     """Findings (keys, line, column, rule_id, severity, confidence, snippet) of all rules in one pass over the lines.
 
@@ -37,20 +55,8 @@ def scan(lines: DataFrame, rules: list[LineRule], keys: tuple = ("path",)) -> Da
     """
     hits = []
     for r in rules:
-        ok = F.col("text").rlike(r.pattern)
-        if r.unless:
-            ok = ok & ~F.col("text").rlike(r.unless)
-        where = F.lit(False)
-        if r.languages and "language" in lines.columns:
-            where = where | F.coalesce(F.col("language").isin(*r.languages), F.lit(False))
-        if r.kinds and "kind" in lines.columns:
-            where = where | F.coalesce(F.col("kind").isin(*r.kinds), F.lit(False))
-        if (r.languages or r.kinds) and "language" in lines.columns:
-            ok = where & ok
-        if not r.include_tests and "is_test" in lines.columns:
-            ok = ~F.col("is_test") & ok
         hits.append(
-            F.when(ok, F.struct(
+            F.when(_applies(r, lines.columns) & _hits(r, F.col("text")), F.struct(
                 F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
                 F.regexp_instr("text", F.lit(r.pattern)).alias("column"), F.lit(r.cap).alias("cap"),
             ))
@@ -63,6 +69,37 @@ def scan(lines: DataFrame, rules: list[LineRule], keys: tuple = ("path",)) -> Da
     return out.drop("cap")
 
 
+FOUND = "array<struct<line:int,column:int,rule_id:string,severity:string,confidence:string,snippet:string>>"
+
+
+def scan_files(files: DataFrame, rules: list[LineRule]) -> DataFrame:
+    """files with `findings`: what `scan` finds in each, an array of (line, column, rule_id, severity, confidence, snippet).
+
+    Made in the file's own row, so it needs no shuffle and works on streams. The cap of a rule id holds over all of its
+    rules. A null text has no findings.
+    """
+    texts = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = files.withColumn("__lines", F.transform(texts, lambda t, i: F.struct((i + 1).alias("line"), F.regexp_replace(t, "\r$", "").alias("text"))))
+
+    def one(r: LineRule) -> Column:
+        made = F.transform(
+            F.filter("__lines", lambda x: _hits(r, x["text"])),
+            lambda x: F.struct(
+                x["line"].alias("line"), F.regexp_instr(x["text"], F.lit(r.pattern)).alias("column"), F.lit(r.rule_id).alias("rule_id"),
+                F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), x["text"].alias("snippet"),
+            ),
+        )
+        return F.when(_applies(r, files.columns), made).otherwise(F.array().cast(FOUND))
+
+    found = [F.array().cast(FOUND)]
+    for rule_id in dict.fromkeys(r.rule_id for r in rules):
+        own = [r for r in rules if r.rule_id == rule_id]
+        all_, cap = F.concat(*map(one, own)), max(r.cap for r in own)
+        found.append(F.slice(F.array_sort(all_), 1, cap) if cap else all_)
+    return rows.withColumn("findings", F.array_sort(F.concat(*found))).drop("__lines")
+
+
+
 def dedupe(findings: DataFrame, keys: tuple = ("rule_id", "path", "line"), order: tuple = ("column",)) -> DataFrame:
     """The first finding of each rule, file and line, in the given order."""
     first = Window.partitionBy(*keys).orderBy(*order)

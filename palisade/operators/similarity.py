@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palisade.functions import scalars
 from palisade.operators.graphs import _cut
@@ -11,29 +11,33 @@ SHINGLE, BOTTOM, SIMILAR, LEAST_TOKENS, BUCKET = 5, 8, 0.9, 40, 60
 
 
 def shingles(tokens: Column, n: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of the runs of n tokens."""
+    """Sorted distinct hashes of the runs of n tokens, as whole numbers of 48 bits."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.array_sort(F.array_distinct(F.transform(runs, lambda r: F.substring(F.sha2(r, 256), 1, 12))))
+    return F.array_sort(F.array_distinct(F.transform(runs, lambda r: F.conv(F.substring(F.sha2(r, 256), 1, 12), 16, 10).cast("long"))))
 
 
 def similar_pairs(units: DataFrame, key: str = "key", tokens: str = "tokens", least: int = LEAST_TOKENS, bottom: int = BOTTOM, similar: float = SIMILAR) -> DataFrame:
     """(a, b, similarity) of units whose bottom sketches share a hash and whose shingle sets reach the similarity.
 
     Units with the same set are one representative while pairs are made (`copies`), so a large group of copies makes
-    no pairs inside. Buckets above the cap are no longer buckets in the original design; here they are split by the
-    next hashes of the sketch instead of being dropped.
+    no pairs inside. Pairs meet in the buckets of a hash. In a bucket of more than `BUCKET` sets they also have to share
+    a hash of their prefixes: without the bucket's hash, two sets that reach the similarity share one of the smallest
+    n - ceil(similar * n) + 1 hashes of either, n being the set's size. So no pair is lost, and a hot bucket is spread
+    over many keys.
     """
     sets = units.where(F.size(tokens) >= least).select(F.col(key).alias("key"), shingles(F.col(tokens)).alias("set"))
-    sets = _cut(sets.withColumn("d", F.sha2(F.concat_ws(",", "set"), 256)))
-    reps = _cut(sets.groupBy("d").agg(F.min("key").alias("rep"), F.min("set").alias("set"), F.size(F.min("set")).alias("n")))
-    posted = reps.select("rep", "set", "n", F.explode(F.slice("set", 1, bottom)).alias("h"))
-    size = F.count("*").over(Window.partitionBy("h"))
-    posted = posted.withColumn("in_bucket", size).where("in_bucket > 1")
-    # a large bucket is one again for each pair of its hash and another of the sketch
-    fine = F.when(F.col("in_bucket") <= BUCKET, F.array(F.lit(""))).otherwise(F.array_remove(F.slice("set", 1, bottom), F.col("h")))
-    posted = posted.withColumn("h2", F.explode(fine)).select("rep", "n", "h", "h2")
+    sets = _cut(sets.withColumn("d", F.sha2(F.concat_ws(",", F.transform("set", lambda x: x.cast("string"))), 256)))
+    reps = _cut(sets.groupBy("d").agg(F.min("key").alias("rep"), F.first("set").alias("set")).withColumn("n", F.size("set")))
+    posted = reps.select("rep", "n", F.explode(F.slice("set", 1, bottom)).alias("h"))
+    buckets = posted.groupBy("h").count().where("count > 1").withColumnRenamed("count", "in_bucket")
+    posted = posted.join(buckets, "h")
+    small = posted.where(F.col("in_bucket") <= BUCKET).select("rep", "n", "h", F.lit(-1).cast("long").alias("h2"))
+    prefix = F.slice(F.array_remove("set", F.col("h")), 1, (F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1).cast("int"))
+    large = posted.where(F.col("in_bucket") > BUCKET).join(reps.select("rep", "set"), "rep").select("rep", "n", "h", F.explode(prefix).alias("h2"))
+    posted = small.unionByName(large)
     a, b = posted.alias("a"), posted.alias("b")
-    near = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.n") <= 2 * F.col("b.n")) & (F.col("b.n") <= 2 * F.col("a.n")))
+    fits = (F.col("a.n") >= similar * F.col("b.n") - 1e-9) & (F.col("b.n") >= similar * F.col("a.n") - 1e-9)
+    near = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.rep") < F.col("b.rep")) & fits)
     pairs = near.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
     full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))

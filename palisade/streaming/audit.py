@@ -1,54 +1,57 @@
 """Streams: the audit of each document's latest text, session state, append-only logs, windowed counts.
 
-A document's text is replaced as a whole by each event, so the state of a key is one digest and one list of findings,
-and the output mode is update: the last writer wins, and writing the same text again changes nothing.
+A document's text is replaced as a whole by each event, so the state of a key is the newest version alone, and the output
+mode is update: the last writer wins, and writing the same text again changes nothing. Streams and tables are scanned by
+one engine, `findings.scan_files`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palisade.operators.findings import LineRule, scan
-from palisade.sources.files import described, lines
+from palisade.operators.findings import LineRule, scan_files
+from palisade.sources.files import described
 
 KEPT_FILES, RESCANNED = 200, 50
 EVENT = "uri string, kind string, version long, text string"
-AUDITED = "uri string, version long, state string, findings array<struct<rule_id:string,line:int>>"
+NEWEST = "uri string, version long, state string, text string"
 
 
-def audit_documents(events: DataFrame, rules: list[LineRule]) -> DataFrame:
-    """Per document the findings of its latest text. events: uri, kind (open, change, save, close), version, text.
+def newest(events: DataFrame) -> DataFrame:
+    """(uri, version, state, text): each document's newest event so far; a closed one has no text.
 
-    An event that isn't newer than the state is ignored, so replays are harmless; a close clears the state.
+    An event that isn't newer than the state is ignored, so replays are harmless. A close keeps the document's version,
+    one number a key, so an older event never brings the document back.
     """
-    compiled = [(r.rule_id, re.compile(r.pattern), re.compile(r.unless) if r.unless else None) for r in rules]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches)).sort_values("version")
-        rows = rows[rows["version"] > last]
-        if rows.empty:
-            return
-        row = rows.iloc[-1]
-        if row["kind"] == "close":
-            state.remove()
-            yield pd.DataFrame({"uri": [key[0]], "version": [row["version"]], "state": ["closed"], "findings": [[]]})
+        last = state.get[0] if state.exists else None
+        best = None
+        for rows in batches:
+            rows = rows if last is None else rows[rows["version"] > last]
+            if len(rows):
+                best, last = rows.loc[rows["version"].idxmax()], int(rows["version"].max())
+        if best is None:
             return
-        state.update((int(row["version"]),))
-        found = [
-            {"rule_id": rule, "line": i}
-            for i, line in enumerate((row["text"] or "").split("\n"), 1)
-            for rule, pattern, unless in compiled
-            if pattern.search(line) and not (unless and unless.search(line))
-        ]
-        yield pd.DataFrame({"uri": [key[0]], "version": [row["version"]], "state": ["open"], "findings": [found]})
+        state.update((last,))
+        closed = best["kind"] == "close"
+        yield pd.DataFrame({"uri": [key[0]], "version": [last], "state": ["closed" if closed else "open"], "text": [None if closed else best["text"]]})
+
+    known = events.where("version IS NOT NULL")
+    return known.groupBy("uri").applyInPandasWithState(update, NEWEST, "version long", "update", GroupStateTimeout.NoTimeout)
+
 
-    return events.groupBy("uri").applyInPandasWithState(update, AUDITED, "version long", "update", GroupStateTimeout.NoTimeout)
+def audit_documents(events: DataFrame, rules: list[LineRule]) -> DataFrame:
+    """Per document the findings of its newest text. events: uri, kind (open, change, save, close), version, text.
+
+    (uri, version, state, findings): findings as `scan_files` makes them, with languages, kinds and caps, by uri.
+    """
+    files = described(newest(events).withColumn("path", F.col("uri")).withColumn("size", F.octet_length("text").cast("long")))
+    return scan_files(files, rules).select("uri", "version", "state", "findings")
 
 
 def session_files(events: DataFrame, kept: int = KEPT_FILES, rescanned: int = RESCANNED) -> DataFrame:
@@ -71,7 +74,10 @@ def session_files(events: DataFrame, kept: int = KEPT_FILES, rescanned: int = RE
             elif row.kind == "stop":
                 out.append((key[0], row.seq, "stop", files[-rescanned:]))
                 files = []
-        state.update((files,))
+        if files:
+            state.update((files,))
+        elif state.exists:
+            state.remove()  # a session that ended keeps nothing
         yield pd.DataFrame(out, columns=["session", "seq", "kind", "files"])
 
     return events.groupBy("session").applyInPandasWithState(
@@ -82,7 +88,7 @@ def session_files(events: DataFrame, kept: int = KEPT_FILES, rescanned: int = RE
 def line_findings(documents: DataFrame, rules: list[LineRule]) -> DataFrame:
     """Stateless: findings of each arriving row (path, text); works on streams and tables alike."""
     files = described(documents.select("path", "text", F.octet_length("text").cast("long").alias("size")))
-    return scan(lines(files, ("path", "language", "kind", "is_test")), [r for r in rules if not r.cap])
+    return scan_files(files, rules).select("path", F.inline("findings"))
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -89,6 +90,23 @@ def test_similarity_splits_large_buckets(spark):
     assert values(similarity.look_alikes(spark.createDataFrame([("reqeusts",), ("numpy",), ("nunpy",), ("left",)], "name string"), spark.createDataFrame([("requests",), ("numpy",)], "name string")), "name", "popular") == [("nunpy", "numpy"), ("reqeusts", "requests")]
 
 
+def test_similarity_loses_no_pair_of_a_large_bucket(spark):
+    """Every pair that shares a bottom hash and reaches the similarity, in buckets far above the size that is split."""
+    rng = random.Random(4)
+    units = [(i, [f"t{k}" if rng.random() > 0.012 else f"x{i}_{k}" for k in range(120)]) for i in range(150)]
+    made = similarity.shingles(F.col("tokens"))
+    df = spark.createDataFrame(units, "key long, tokens array<string>")
+    sets = {r.key: r.s for r in df.select("key", made.alias("s")).collect()}
+    want = {
+        (a, b) for a in sets for b in sets
+        if a < b and set(sets[a][:8]) & set(sets[b][:8]) and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    }
+    got = {tuple(sorted((r.a, r.b))) for r in similarity.similar_pairs(df, similar=0.8).collect()}
+    copies = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets}
+    linked = {(a, b) for a, b in want if copies[a] == a and copies[b] == b} | {(copies[k], k) for k in sets if copies[k] != k}
+    assert got == linked and len(got) > 200
+
+
 def test_versions_and_ranges(spark):
     order = ["0.9", "1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.0.1", "1.2", "1.10", "2.0.0-beta.2", "2.0.0"]
     df = spark.createDataFrame([(v,) for v in order], "v string").withColumn("k", packages.version_key(F.col("v")))
