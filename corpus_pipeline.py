@@ -27,14 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.75 or more connect: the one with the smallest id."""
-    # a row without an id takes one from its text, above all others
-    named = docs.select(*COLUMNS, F.coalesce("doc_id", F.xxhash64("text").bitwiseAND((1 << 61) - 1) + (1 << 62)).alias("__id"))
-    found = jaccard.jaccard_components(named, id_col="__id")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).count()
-    left = named.join(kept, F.col("__id") == F.col("__kept"))
-    again = left.where("count > 1").dropDuplicates(["__id", "text"])  # repeated rows
-    return left.where("count = 1").select(*COLUMNS).unionByName(again.select(*COLUMNS))
+    """One document of each group that links of similarity 0.75 or more connect: the one with the smallest id.
+
+    Rows are told apart by id and text, so rows that share an id but not a text are documents of their own; of several
+    with the smallest id one stays. Ids that are null come last.
+    """
+    named = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("__key"))
+    found = jaccard.jaccard_components(named, id_col="__key").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    counted = named.groupBy("__key", "doc_id").agg(F.count("*").alias("__n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    kept = found.join(counted, "__key").groupBy("component_id").agg(F.min_by(F.struct("__key", "__n"), order).alias("k"))
+    left = named.join(kept.select(F.col("k.__key").alias("__kept"), F.col("k.__n").alias("__n")), F.col("__key") == F.col("__kept"))
+    again = left.where("__n > 1").dropDuplicates(["__key", "doc_id", "text"])  # repeated rows
+    return left.where("__n = 1").select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ BATCH = 1_000_000
 KNOWN = 150_000
 #: Sets that one trie is meant to hold, and probes that one task puts to it.
 TRIE, PROBES = 512, 1024
+#: Postings of one document that a task joins at a time.
+SPREAD = 1024
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -424,9 +426,13 @@ def jaccard_components(
     placed = cut(homes.join(tries, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("tries"))).alias("trie")))
     full = cut(sets.join(placed, "key"))
     labels = cut(full.groupBy("trie").applyInArrow(_inside(num, den), "node long, root long"))
+    # a very long document has many postings: they meet its trie and root in parts of about SPREAD
+    parts = F.greatest(F.ceil(F.col("n") / SPREAD), F.lit(1)).cast("long")
+    spread = posted.select("member", "key", F.pmod(F.xxhash64("member"), parts).alias("salt"))
     for last in (False, True):
         known = labels.select(F.col("node").alias("key"), "root")
-        at = posted.select("member", "key").join(placed, "key").join(known, "key")
+        of = full.select("key", "n", "trie").join(known, "key").select("key", "trie", "root", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
+        at = cut(spread.join(of, ["key", "salt"]).select("member", "key", "trie", "root"))
         mixed = at.groupBy("member").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("member")
         at = cut(at.join(mixed, "member", "left_semi"))
         if last:

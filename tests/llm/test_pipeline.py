@@ -63,6 +63,16 @@ def test_run_equals_brute_force(spark, folder):
     assert got == want and np.all([r.length > 0 for r in out])
 
 
+def test_repeated_ids_are_told_apart(spark):
+    """Rows that share an id: near copies of each other or of others, equal rows, and texts that nothing links."""
+    t = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(5, t), (5, t + " more"), (7, t + " more"), (8, "a text of its own that nobody links to at all"), (8, "a text of its own that nobody links to at all")]
+    rows += [(8, "and quite another one with the same id as the last"), (None, t + " again"), (None, "only a row without an id has this text here"), (9, None), (9, None), (9, "")]
+    got = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "8", "8", "9", "9", "None"]
+    assert sum((r.text or "").startswith("one two") for r in got) == 1
+
+
 def test_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
