@@ -4,13 +4,18 @@ Each turn becomes `<|role|>`, a line break, its escaped text, `<|end|>`, a line
 templates can't survive in a text: behind the first character of each a backslash and a dot are put, and a backslash is
 doubled, which `unescape` reverses exactly.
 
-Prefix sums of the turns' tokens choose the windows: a turn belongs to window floor(tokens before it / budget), so
-windows begin and end at turns and a turn is never split. A window after the first repeats the conversation's system
-turn and the last `history` turns of the window before it. Repeated turns come first in a window, are counted in its
+Prefix sums of the turns' tokens choose the windows, which begin and end at turns; a turn is never split. A window after
+the first repeats the conversation's system turn, and as many of the last `history` turns of the window before it as a
+quarter of the budget holds. Both are charged: what a window has room for is the budget without that quarter and the
+system turn, a quarter of the budget at least. The room divides the prefix sums into cells. The turns that lie in a cell
+are a window; the turn that crosses its end joins them if it fits the room, and else is a window of its own. So a window
+has at most `budget` tokens, unless a single turn has more than the room (it is alone then, with the system turn but no
+history) or the system turn has more than half of the budget. Repeated turns come first in a window, are counted in its
 `repeated` column, and never carry loss, so each assistant text is a target exactly once.
 
 Prefix sums are taken in blocks of `BLOCK` turn numbers and over the blocks' totals, so a very long conversation is
-spread over tasks; nothing but a window's turns is ever collected.
+spread over tasks (turns of one number aren't); nothing but a window's turns is ever collected. Reading whole
+conversations back, as digests of them need, gathers a conversation in one task and is left to those who need it.
 
 Defined cases: null texts and roles are empty; a null conversation is a conversation; turns order by number (null
 first), role, text; repeated rows are turns of their own; other columns are ignored; an empty table gives no windows.
@@ -56,24 +61,44 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    kept = budget // 4  # for history
+    first = rows.where("role = 'system'").groupBy(F.col("conv").alias("conv1")).agg(F.min(F.struct("turn", "text", "tokens")).alias("s"))
+    room = F.greatest(F.lit(budget - kept) - F.coalesce("s.tokens", F.lit(0)), F.lit(max(1, kept))).cast("long")
     offsets = blocks.select(
         F.col("conv").alias("conv0"), F.col("block").alias("block0"),
         F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-    )
+    ).join(first, F.col("conv0").eqNullSafe(F.col("conv1")), "left").select("conv0", "block0", "t0", "n0", room.alias("room"))
     placed = (
         rows.withColumn("at", F.sum("tokens").over(upto) - F.col("tokens")).withColumn("place", F.count("*").over(upto))
         .join(offsets, F.col("conv").eqNullSafe(F.col("conv0")) & (F.col("block") == F.col("block0")))
-        .select("conv", "role", "text", (F.col("n0") + F.col("place")).alias("place"), F.floor((F.col("t0") + F.col("at")) / budget).alias("window"))
+        .select("conv", "role", "text", "tokens", "room", (F.col("n0") + F.col("place")).alias("place"), (F.col("t0") + F.col("at")).alias("before"))
+        .withColumn("cell", F.floor(F.col("before") / F.col("room")))
+        .withColumn("crosses", F.col("before") + F.col("tokens") > (F.col("cell") + 1) * F.col("room"))
     )
-    placed = cut(placed)  # read four times below
-    spans = placed.groupBy("conv", "window").agg(F.max("place").alias("last"))
+    placed = cut(placed)  # read several times below
+    filled = placed.where("NOT crosses").groupBy(F.col("conv").alias("c"), F.col("cell").alias("l")).agg(F.sum("tokens").alias("filled"))
+    # a cell has one turn at most that crosses its end
+    crossing = placed.where("crosses").join(filled, F.col("conv").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("l")), "left")
+    alone = F.coalesce("filled", F.lit(0)) + F.col("tokens") > F.col("room")
+    names_ = ["conv", "role", "text", "tokens", "place"]
+    placed = (
+        placed.where("NOT crosses").select(*names_, (2 * F.col("cell")).alias("window"), F.lit(False).alias("big"))
+        .unionByName(crossing.select(*names_, (2 * F.col("cell") + alone.cast("long")).alias("window"), (F.col("tokens") > F.col("room")).alias("big")))
+    )
+    placed = cut(placed)
+    spans = placed.groupBy("conv", "window").agg(F.max("place").alias("last"), F.max("big").alias("big"))
     after = Window.partitionBy("conv").orderBy("window")
-    spans = spans.withColumn("next", F.lead("window").over(after))
+    spans = spans.withColumn("next", F.lead("window").over(after)).withColumn("full", F.lead("big").over(after))
+    latest = Window.partitionBy("conv", "window").orderBy(F.col("place").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     history_ = (
-        placed.join(spans.select(F.col("conv").alias("c"), F.col("window").alias("w"), "last", "next"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
-        .where(F.col("next").isNotNull() & (F.col("place") > F.col("last") - history))
+        placed.join(
+            spans.where("next IS NOT NULL AND NOT full").select(F.col("conv").alias("c"), F.col("window").alias("w"), "last", "next"),
+            F.col("conv").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")),
+        )
+        .where(F.col("place") > F.col("last") - history)  # at most `history` turns of each window
+        .withColumn("upto", F.sum("tokens").over(latest)).where(F.col("upto") <= kept)
         .select("conv", F.col("next").alias("window"), "place", "role", "text")
-    )
+    )
     systems = placed.where("role = 'system'").groupBy("conv").agg(F.min(F.struct("place", "window", "role", "text")).alias("s"))
     retained = (
         spans.select(F.col("conv").alias("c"), F.col("window").alias("w"))

@@ -161,15 +161,26 @@ WITH c AS (
   SELECT *, len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]')) + 4 AS tokens,
     length(role) + length(text) + length(text) - length(replace(text, '\\', '')) + 2 * len(regexp_extract_all(text, '</?s>|\\[/?INST\\]|<</?SYS>>|<\\||\\|>')) + 13 AS chars
   FROM c
+), first AS (
+  SELECT conv_id, tokens AS s FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM t WHERE role = 'system') WHERE k = 1
+), o AS (
+  SELECT t.*, greatest(768 - coalesce(s, 0), 256) AS room, row_number() OVER (PARTITION BY t.conv_id ORDER BY turn, role, text) AS place,
+    sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - tokens AS before
+  FROM t LEFT JOIN first ON first.conv_id = t.conv_id
+), x AS (SELECT *, before // room AS cell, before + tokens > (before // room + 1) * room AS crosses FROM o
+), filled AS (SELECT conv_id, cell, sum(tokens) AS filled FROM x WHERE NOT crosses GROUP BY conv_id, cell
 ), p AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
-    (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - tokens) // 1024 AS win
-  FROM t
+  SELECT x.*, CASE WHEN NOT crosses OR coalesce(filled, 0) + tokens <= room THEN 2 * x.cell ELSE 2 * x.cell + 1 END AS win, crosses AND tokens > room AS big
+  FROM x LEFT JOIN filled ON filled.conv_id = x.conv_id AND filled.cell = x.cell
 ), spans AS (
-  SELECT conv_id, win, max(place) AS last, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM p GROUP BY conv_id, win
+  SELECT conv_id, win, max(place) AS last, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next, lead(bool_or(big)) OVER (PARTITION BY conv_id ORDER BY win) AS full
+  FROM p GROUP BY conv_id, win
 ), systems AS (SELECT conv_id, min(place) AS place FROM p WHERE role = 'system' GROUP BY conv_id
+), latest AS (
+  SELECT p.conv_id, spans.next AS win, p.place, p.chars, sum(tokens) OVER (PARTITION BY p.conv_id, p.win ORDER BY place DESC ROWS UNBOUNDED PRECEDING) AS upto
+  FROM p JOIN spans ON spans.conv_id = p.conv_id AND spans.win = p.win WHERE spans.next IS NOT NULL AND NOT spans.full AND p.place > spans.last - 2
 ), again AS (
-  SELECT p.conv_id, spans.next AS win, p.place, p.chars FROM p JOIN spans ON spans.conv_id = p.conv_id AND spans.win = p.win WHERE spans.next IS NOT NULL AND p.place > spans.last - 2
+  SELECT conv_id, win, place, chars FROM latest WHERE upto <= 256
   UNION
   SELECT spans.conv_id, spans.win, p.place, p.chars FROM spans JOIN systems ON systems.conv_id = spans.conv_id JOIN p ON p.conv_id = systems.conv_id AND p.place = systems.place WHERE spans.win > p.win
 ), f AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, chars FROM p UNION ALL SELECT conv_id, chars FROM again) GROUP BY conv_id
