@@ -1,12 +1,15 @@
 """Exact top-k search by inner product with two cover trees.
 
 In each pair of groups (see vectors) the queries and the rows are each indexed in a cover tree: a node's points lie
-within its radius of its centre, its children are points at least a shrunken radius apart that cover them, chosen
-farthest first. The search goes down both trees together. With centres c and radii r, no inner product between two
+within its radius of its centre, its children are points at least a shrunken radius apart, chosen farthest first until
+they cover them or there are `SPREAD`; a child's radius is that of its own points, so bounds hold either way. The search goes down both trees together. With centres c and radii r, no inner product between two
 nodes exceeds cq.cr + rq|cr| + rr|cq| + rq rr; a pair whose bound is below the worst kth score in its query group is
 pruned with everything under it. Pairs are taken in the order of their bounds, so that kth scores rise early. Scores
 that tie at the edge are kept until the smaller id decides.
 
+Products are exact in double precision while |q| |r| dim stays below 2**53. Vectors with larger components are scored in
+whole numbers of any size beside the trees; a score beyond 64 bits is the nearest number of 64 bits.
+
 Defined cases: a vector that is null, or holds a null or a component that isn't finite, takes no part, and neither does
 a null id; a zero vector takes part; vectors of different lengths aren't compared; repeated rows are rows of their own,
 and only a query's own row is no candidate; fewer candidates than k give them all.
@@ -17,7 +20,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from palisade.llm.vectors import against, blocks
 
@@ -60,6 +63,47 @@ def bound(q: Node, r: Node) -> float:
     return float(q.center @ r.center + q.radius * r.norm + r.radius * q.norm + q.radius * r.radius) * (1 + 1e-12) + 1e-6
 
 
+def _whole(k: int, queries: np.ndarray, numbers: np.ndarray, data, rows: np.ndarray) -> tuple:
+    """The k best of some rows for each query in whole numbers of any size."""
+    out = [[], [], []]
+    values = [[int(x) for x in data.values[r]] for r in rows]
+    for i, q in enumerate(queries):
+        q = [int(x) for x in q]
+        near = lambda v: min(max(sum(a * b for a, b in zip(q, v)), -(1 << 63)), (1 << 63) - 1)  # noqa: B023, E731
+        scores = [(-near(v), int(data.ids[r]), int(r)) for v, r in zip(values, rows) if data.numbers[r] != numbers[i]]
+        for score, _, r in sorted(scores)[:k]:
+            for column, value in zip(out, (i, r, -score)):
+                column.append(value)
+    return tuple(np.array(c, np.int64) for c in out)
+
+
+class _Part:
+    def __init__(self, data, rows: np.ndarray):
+        self.ids, self.numbers, self.values = data.ids[rows], data.numbers[rows], data.values[rows]
+
+
+def integer_top_k(k: int):
+    """The dual-tree search, with vectors of very large components beside it."""
+    trees = dual_tree(k)
+
+    def search(queries: np.ndarray, numbers: np.ndarray, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        limit = (2.0**53 / max(1, queries.shape[1])) ** 0.5
+        large_q, large_r = (abs(queries) >= limit).any(axis=1), (abs(data.values) >= limit).any(axis=1)
+        if not large_q.any() and not large_r.any():
+            return trees(queries, numbers, data)
+        parts = []
+        for of_q, of_r in ((large_q, np.ones_like(large_r)), (~large_q, large_r)):
+            q, r = np.flatnonzero(of_q), np.flatnonzero(of_r)
+            i, rows, score = _whole(k, queries[q], numbers[q], data, r)
+            parts.append((q[i], rows, score))
+        q, r = np.flatnonzero(~large_q), np.flatnonzero(~large_r)
+        i, rows, score = trees(queries[q], numbers[q], _Part(data, r))
+        parts.append((q[i], r[rows], score.astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*parts))
+
+    return search
+
+
 def dual_tree(k: int):
     def search(queries: np.ndarray, numbers: np.ndarray, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(queries) or not len(data.ids):
@@ -146,9 +190,9 @@ def scaled(factor: float):
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score long): each query's k largest integer inner products.
 
-    Queries are the rows whose id `every` divides. Integers stay exact in double precision below 2**53.
+    Queries are the rows whose id `every` divides.
     """
     packed = blocks(vectors, id_col, vector_col, every, scaled(factor))
-    return against(packed, every, k, dual_tree(k)).withColumn("score", F.col("score").cast("long"))
+    return against(packed, every, k, integer_top_k(k), exact=True)
 
 
