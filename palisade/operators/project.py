@@ -42,14 +42,17 @@ def committed_secret_files(files: DataFrame, ignored: Column | None = None) -> D
     return _out(kept, "AI-104", F.when(holds, "CRITICAL").otherwise("HIGH"), line=F.lit(1))
 
 
+#: A table's name with its schema, quoted or not, as SQL's grammar writes it.
+_TABLE = r"(?:(?:\w+|\"[^\"]+\")\s*\.\s*)?(?:\w+|\"[^\"]+\")"
+
+
 def row_level_security(lines: DataFrame) -> DataFrame:
     """AI-108: tables that are created and for which row level security is never enabled."""
-    name = lambda p: F.lower(F.regexp_extract("text", p, 1))
-    create, enable = r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"\w.]*?(\w+)\"?\s*\(", r"(?i)alter\s+table\s+(?:only\s+)?[\"\w.]*?(\w+)\"?\s+enable\s+row\s+level"
-    made = lines.where(F.col("text").rlike(create)).select("project", "path", "line", name(create).alias("table"))
-    open_ = lines.where(F.col("text").rlike(enable)).select("project", name(enable).alias("table"))
-    policies = lines.where(F.col("text").rlike(r"(?i)supabase|auth\.uid\(\)")).select("project").distinct()
-    return _out(made.join(open_, ["project", "table"], "left_anti").join(policies, "project", "left_semi"), "AI-108", "HIGH", F.col("table"))
+    bare = lambda words: F.lower(F.regexp_replace(F.regexp_extract("text", rf"(?i)\b{words}\s+({_TABLE})", 1), r"^.*\.\s*|\"", ""))
+    table = lines.select("project", "path", "line", "text", bare(r"CREATE\s+(?:UNLOGGED\s+)?TABLE(?:\s+IF\s+NOT\s+EXISTS)?").alias("table")).where("table <> ''")
+    secured = lines.where(F.col("text").rlike(r"(?i)\bENABLE\s+ROW\s+LEVEL\s+SECURITY\b")).select("project", bare(r"ALTER\s+TABLE(?:\s+IF\s+EXISTS)?(?:\s+ONLY)?").alias("table"))
+    exposed = lines.where(F.col("text").rlike(r"(?i)\bauth\s*\.\s*uid\s*\(|\bsupabase\b")).select("project").distinct()
+    return _out(table.join(secured, ["project", "table"], "left_anti").join(exposed, "project", "left_semi"), "AI-108", "HIGH", F.col("table"))
 
 
 def hardening_advice(lines: DataFrame) -> DataFrame:
@@ -217,12 +220,64 @@ def devops(lines: DataFrame) -> DataFrame:
     return _out(last.where("line IS NOT NULL AND (user IS NULL OR user < line)"), "AI-110", "MEDIUM", "runs as root")
 
 
+def attribute_keys(lines: DataFrame, least: int = 3, top: int = 10) -> DataFrame:
+    """ARC-210: keys of headers, sessions and attributes that a project spells out three times or more; its ten commonest."""
+    pattern = r"(?:headers|session|attrs|cookies)\[[\"']([\w-]{3,})[\"']\]|\.(?:getHeader|setHeader|getAttribute|setAttribute|header)\(\s*[\"']([\w-]{3,})[\"']"
+    asked = lines.where(F.col("text").rlike(pattern))
+    keys = F.concat(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (1, 2)))
+    each = asked.select("project", "path", "line", F.explode(F.filter(keys, lambda k: k != "")).alias("key"))
+    counted = each.groupBy("project", "key").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("at")).where(F.col("n") >= least)
+    place = Window.partitionBy("project").orderBy(F.col("n").desc(), "key")
+    kept = counted.withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= top)
+    return _out(kept.select("project", "at.path", "at.line", "key"), "ARC-210", "LOW", F.col("key"))
+
+
+def look_alike_packages(lines: DataFrame, popular: DataFrame) -> DataFrame:
+    """AI-111: required packages whose name is one edit from a popular one. popular: (name)."""
+    from palisade.operators import packages, similarity
+
+    wanted = lines.where(F.lower("path").rlike(r"requirements[^/]*\.txt$"))
+    named = packages.parse_requirements(wanted).select("path", F.lower("name").alias("name")).distinct()
+    near = similarity.look_alikes(named, popular)
+    at = wanted.select("project", "path").distinct()
+    return _out(named.join(near, "name").join(at, "path").select("project", "path", F.lit(1).alias("line"), F.concat("name", F.lit(" ~ "), "popular").alias("what")), "AI-111", "MEDIUM", F.col("what"))
+
+
+def import_cycles(lines: DataFrame, modules: DataFrame) -> DataFrame:
+    """ARC-203: one row a file of a circular import, named by the component. For one project's lines and modules."""
+    from palisade.operators import graphs
+
+    edges = graphs.python_imports(lines, modules)
+    parts = graphs.strong_components(edges)
+    first = lines.groupBy("path").agg(F.min("project").alias("project"))
+    rows = parts.join(first, F.col("node") == F.col("path")).select("project", "path", F.lit(1).alias("line"), F.col("component").alias("what"))
+    return _out(rows, "ARC-203", "MEDIUM", F.col("what"))
+
+
+#: Layers from the outside in, by folder: an inner layer may not use an outer one.
+LAYERS = ("api", "service", "domain", "data")
+
+
+def layer_direction(lines: DataFrame, modules: DataFrame, layers: tuple = LAYERS) -> DataFrame:
+    """ARC-207: imports from an inner layer of an outer one. For one project's lines and modules."""
+    from palisade.operators import graphs
+
+    edges = graphs.python_imports(lines, modules)
+    rank = F.coalesce(*(F.when(F.col("path").rlike(rf"(?:^|/){name}s?/"), F.lit(i)) for i, name in enumerate(layers)))
+    ranked = modules.select(F.col("path").alias("node"), rank.alias("rank")).where("rank IS NOT NULL").distinct()
+    # a larger rank may not use a smaller one
+    bad = graphs.layer_violations(edges, ranked)
+    first = lines.groupBy("path").agg(F.min("project").alias("project"))
+    rows = bad.join(edges, ["src", "dst"]).join(first, F.col("src") == F.col("path")).select("project", "path", "line", F.col("dst").alias("what"))
+    return _out(rows, "ARC-207", "MEDIUM", F.col("what"))
+
+
 def all_rules(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Every project rule. files: project, path, text, language, kind, is_test; lines: project, path, line, text, kind."""
     parts = [
         committed_secret_files(files), row_level_security(lines), hardening_advice(lines), custom_tokens(files), framework_guard(lines), exception_handler(lines),
         version_mismatch(version_uses(lines)), single_admin_role(lines), mcp_config(files), layering(lines), no_tests(files), dto_maps(lines), message_scatter(lines), csrf_missing(lines),
-        upload_checks(lines), login_limit(lines), unauthenticated(routes(lines)), repeated_strings(lines), devops(lines),
+        upload_checks(lines), login_limit(lines), unauthenticated(routes(lines)), repeated_strings(lines), devops(lines), attribute_keys(lines),
     ]
     out = parts[0]
     for p in parts[1:]:

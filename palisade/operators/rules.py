@@ -58,6 +58,12 @@ LINE_RULES = [
     LineRule("IL-524", "MEDIUM", r"\b(?:tmpnam|mktemp|tempnam)\s*\(", languages=("c", "cpp")),
     LineRule("IL-505", "HIGH", r"\.innerHTML\s*=\s*(?![\"'`])|dangerouslySetInnerHTML|document\.write\(\s*(?![\"'`])|v-html=", languages=WEB),
     LineRule("IL-533", "HIGH", r"\$where[\"']?\s*:\s*(?:[`\"'].*(?:\$\{|\+)|\w+\s*\+|function)", languages=(*WEB, "python")),
+    LineRule("IL-509", "HIGH", r"XMLParser\([^)]*resolve_entities\s*=\s*True|\bLIBXML_NOENT\b|XmlResolver\s*=\s*new\s+XmlUrlResolver|noent:\s*true"),
+    LineRule("IL-511", "MEDIUM", r"\bres(?:ponse)?\.(?:setHeader|header|addHeader)\([^,]+,\s*req(?:uest)?\.", languages=(*WEB, "java")),
+    LineRule("IL-527", "HIGH", r"(?i)xpath\w*\.(?:evaluate|compile|select)\(\s*[^,)]*\"\s*\+", languages=(*WEB, "java", "csharp")),
+    LineRule("IL-508", "HIGH", r"\.search\([^;]*\"\([^\"]*=\"\s*\+", languages=(*WEB, "java", "csharp")),
+    LineRule("IL-522", "MEDIUM", r"\bpublic\s+\w+\[\]\s+get\w+\(\s*\)\s*\{\s*return\s+(?:this\.)?\w+\s*;", languages=("java", "csharp")),
+    LineRule("AI-115", "MEDIUM", r"(?i)\b(?:httpOnly|secure):\s*false|\.set(?:HttpOnly|Secure)\(false\)", languages=(*WEB, "java")),
     # typing
     LineRule("TYP-301", "LOW", r"@ts-ignore|@ts-nocheck|:\s*any\b|\bas\s+any\b|<any>", languages=("typescript",)),
     LineRule("TYP-302", "LOW", r"#\s*type:\s*ignore(?!\[)|\bcast\(\s*Any\b|:\s*Any\b", languages=("python",)),

@@ -25,7 +25,33 @@ SANITIZERS = {
     "html": re.compile(r"(?:^|\.)(?:escape|clean)$|^(?:int|float|bool)$"),
     "code": re.compile(r"^(?:int|float|bool)$|(?:^|\.)literal_eval$"),
     "url": re.compile(r"^(?:int|float|bool)$"),
+    "ldap": re.compile(r"^(?:int|float|bool)$|(?:^|\.)escape_(?:filter|dn)_chars$"),
+    "header": re.compile(r"^(?:int|float|bool)$|(?:^|\.)quote$"),
+    "upload": re.compile(r"(?:^|\.)(?:secure_filename|uuid\d|token_hex)$|^(?:int|float|bool)$"),
+    "xpath": re.compile(r"^(?:int|float|bool)$"),
+    "log": re.compile(r"^(?:int|float|bool|repr|len)$"),
+    "lookup": re.compile(r"^(?:bool|len)$"),
+    "session": re.compile(r"^(?:int|float|bool|len)$|(?:^|\.)(?:validate|clean|is_valid)\w*$"),
+    "model": re.compile(r"^(?:int|float|bool|len)$"),
 }
+#: Calls of language models, and the arguments that bound what they answer.
+MODEL = re.compile(r"(?:^|\.)(?:completions|messages|responses|ChatCompletion)\.create$|(?:^|\.)generate_content$")
+BOUNDS = {"max_tokens", "max_output_tokens", "max_completion_tokens", "generation_config"}
+PERSONAL = re.compile(r"(?i)(?:^|[._])(?:ssn|email|e_mail|phone\w*|birth\w*|passport\w*|resident\w*|card_number|home_address)$")
+SENSITIVE = re.compile(r"(?i)(?:^|[._])(?:password|passwd|pwd|secret|api_?key|access_token|private_key|ssn|card_number)$")
+DECISION = re.compile(r"(?i)\b(?:is_?admin|is_?staff|role|privileges?|permissions?)\b")
+OWNED = re.compile(r"(?i)owner|user_id|current_user|request\.user|g\.user|permission|authori[sz]e|belongs_to")
+CRITICAL_NAME = re.compile(r"(?i)pay|charge|transfer|refund|balance|auth|verify|login|permission|withdraw")
+#: Rules whose sink is any tainted argument of a call: rule, context, severity, callee.
+ANY_SINKS = (
+    ("IL-508", "ldap", "HIGH", re.compile(r"(?:^|\.)search_(?:s|st|ext|ext_s)$|(?i:ldap\w*)\.search$")),
+    ("IL-511", "header", "MEDIUM", re.compile(r"\.headers\.(?:add|set|extend|setdefault)$")),
+    ("IL-513", "upload", "HIGH", re.compile(r"\.save$")),
+    ("IL-527", "xpath", "HIGH", re.compile(r"(?:^|\.)(?:xpath|XPath|evaluate_xpath)$")),
+    ("AI-112", "log", "HIGH", re.compile(r"(?:^|\.)(?:debug|info|warning|warn|error|exception|critical)$")),
+    ("AI-113", "lookup", "MEDIUM", re.compile(r"(?:^|\.)(?:get_object_or_404|objects\.get|query\.get|get_or_404|find_by_id|find_one)$")),
+)
+CAPS = {"AI-101": 25, "ARC-211": 15}
 SINKS = (
     ("IL-501", "sql", "CRITICAL", re.compile(r"(?:^|\.)(?:execute|executemany|executescript|raw)$")),
     ("IL-502", "path", "HIGH", re.compile(r"^(?:open|io\.open|os\.(?:remove|unlink|listdir|rename)|shutil\.(?:copy|move|rmtree)|send_file)$")),
@@ -63,8 +89,9 @@ class _Taint:
     the arguments, and sinks that an argument reaches inside are hits of the caller.
     """
 
-    def __init__(self, context: str, seeds: set[str], helpers: dict | None = None, depth: int = DEPTH, active: tuple = ()):
-        self.context, self.names, self.hits = context, set(seeds), []
+    def __init__(self, context: str, seeds: set[str], helpers: dict | None = None, depth: int = DEPTH, active: tuple = (), sources: re.Pattern = SOURCES):
+        self.context, self.names, self.hits, self.sources = context, set(seeds), [], sources
+        self.calls, self.stores, self.tests, self.dicts = [], [], [], []  # what is seen, each with whether it is tainted
         self.helpers, self.depth, self.active, self.returns = helpers or {}, depth, active, False
         self.known: dict = {}
 
@@ -79,7 +106,7 @@ class _Taint:
             return None
         key = (f.name, frozenset(seeds))
         if key not in self.known:
-            self.known[key] = inner = _Taint(self.context, seeds, self.helpers, self.depth - 1, (*self.active, f.name))
+            self.known[key] = inner = _Taint(self.context, seeds, self.helpers, self.depth - 1, (*self.active, f.name), self.sources)
             inner.run(f.body)
         return self.known[key]
 
@@ -90,7 +117,7 @@ class _Taint:
             name = dotted(e.func)
             if SANITIZERS[self.context].search(name):
                 return False
-            if SOURCES.match(name):
+            if self.sources.search(name) if self.sources is MODEL else self.sources.match(name):
                 return True
             if name in self.helpers:
                 flow = self.follow(e)
@@ -99,7 +126,7 @@ class _Taint:
             inner = [*e.args, *(k.value for k in e.keywords)]
             return any(map(self.tainted, inner)) or (isinstance(e.func, ast.Attribute) and self.tainted(e.func.value))
         name = dotted(e)
-        if name and SOURCES.match(name):
+        if name and self.sources.match(name):
             return True
         if isinstance(e, ast.Name):
             return e.id in self.names
@@ -118,8 +145,15 @@ class _Taint:
                 flow = self.follow(n)
                 if flow is not None:
                     self.hits += [h for h in flow.hits if h[1]]
+                self.calls.append((n, any(map(self.tainted, [*n.args, *(k.value for k in n.keywords)]))))
                 self.hits.append((n, any(map(self.tainted, n.args[:1])) or any(self.tainted(k.value) for k in n.keywords if k.arg in ("url", "args", "file", "sql"))))
 
+            elif isinstance(n, ast.Dict):
+                said = {k.value: v for k, v in zip(n.keys, n.values) if isinstance(k, ast.Constant)}
+                role = said.get("role")
+                if isinstance(role, ast.Constant) and role.value in ("system", "developer"):
+                    self.dicts.append((n, self.tainted(said.get("content"))))
+
     def run(self, body: list[ast.stmt]) -> None:
         for s in body:
             if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
@@ -129,9 +163,13 @@ class _Taint:
                 targets = s.targets if isinstance(s, ast.Assign) else [s.target]
                 dirty = self.tainted(s.value) or (isinstance(s, ast.AugAssign) and self.tainted(s.target))
                 for t in targets:
-                    self.assign(t, dirty)
+                    if isinstance(t, ast.Subscript):
+                        self.stores.append((t, dirty))
+                    else:
+                        self.assign(t, dirty)
             elif isinstance(s, ast.If):
                 self.look(s.test)
+                self.tests.append((s, any(self.tainted(n) for n in ast.walk(s.test) if isinstance(n, ast.Name | ast.Attribute | ast.Call | ast.Subscript))))
                 before = set(self.names)
                 if not (isinstance(s.test, ast.Constant) and not s.test.value):
                     self.run(s.body)
@@ -285,7 +323,89 @@ def findings_of(text: str, is_test: bool) -> list[tuple[str, str, int, str]]:
                     if kind == "command" and name.startswith("subprocess.") and not any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value for k in call.keywords):
                         continue  # an argument array without a shell
                     add(rule, severity, call, name)
-    return sorted(set(out), key=lambda x: (x[2], x[0]))
+    out += _boundary_findings(tree, functions, helpers)
+    kept, count = [], dict.fromkeys(CAPS, 0)
+    for x in sorted(set(out), key=lambda x: (x[2], x[0])):
+        count[x[0]] = count.get(x[0], 0) + 1
+        if count[x[0]] <= CAPS.get(x[0], count[x[0]]):
+            kept.append(x)
+    return kept
+
+
+def _boundary_findings(tree: ast.Module, functions: list, helpers: dict) -> list[tuple[str, str, int, str]]:
+    """Rules on what crosses a boundary (headers, sessions, logs, models, stores), and on calls and constants by their form."""
+    out: list[tuple[str, str, int, str]] = []
+    add = lambda rule, severity, node, note="": out.append((rule, severity, node.lineno, note))
+    scopes = [(tree.body, ""), *((f.body, ast.unparse(f)) for f in functions)]
+    names = lambda n: {dotted(x) for x in ast.walk(n) if isinstance(x, ast.Name | ast.Attribute)} | {x.value for x in ast.walk(n) if isinstance(x, ast.Constant) and isinstance(x.value, str)}
+
+    for context in sorted({c for _, c, _, _ in ANY_SINKS} | {"session", "model"}):
+        for body, source in scopes:
+            flow = _Taint(context, set(), helpers)
+            flow.run(body)
+            for call, dirty in flow.calls:
+                name = dotted(call.func)
+                for rule, kind, severity, pattern in ANY_SINKS:
+                    if kind == context and dirty and pattern.search(name) and not (rule == "AI-113" and OWNED.search(source)):
+                        add(rule, severity, call, name)
+                if context == "model" and MODEL.search(name):
+                    given = {k.arg for k in call.keywords}
+                    if dirty and not given & BOUNDS:
+                        add("AIA-108", "MEDIUM", call, name)
+                    if any(k.arg in ("system", "instructions", "system_instruction") and flow.tainted(k.value) for k in call.keywords):
+                        add("AIA-104", "MEDIUM", call, name)
+            for target, dirty in flow.stores:
+                where = dotted(target)
+                if dirty and context == "session" and re.search(r"(?:^|\.)session$", where):
+                    add("IL-526", "MEDIUM", target, where)
+                if dirty and context == "header" and where.endswith(".headers"):
+                    add("IL-511", "MEDIUM", target, where)
+            if context == "model":
+                for d, dirty in flow.dicts:
+                    if dirty:
+                        add("AIA-104", "MEDIUM", d, "system")
+            if context == "session":
+                for test, dirty in flow.tests:
+                    if dirty and DECISION.search(ast.unparse(test.test)):
+                        add("IL-512", "HIGH", test)
+    for body, _ in scopes:
+        flow = _Taint("model", set(), helpers, sources=MODEL)
+        flow.run(body)
+        for call, dirty in flow.hits:
+            if dirty and any(pattern.search(dotted(call.func)) for rule, _, _, pattern in SINKS if rule in ("IL-501", "IL-503", "IL-504")):
+                add("AIA-103", "HIGH", call, dotted(call.func))
+
+    quiet: set[int] = set()  # constants inside of logging calls and raised exceptions
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Raise) or (isinstance(n, ast.Call) and LOGS.search(dotted(n.func))):
+            quiet |= {id(x) for x in ast.walk(n)}
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Constant) and isinstance(n.value, str) and id(n) not in quiet:
+            if re.match(r"https?://(?!localhost|127\.|0\.0\.0\.0|example\.|www\.w3\.org|schemas?\.)[\w.-]+|(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?$|/(?:home|Users)/\w|[A-Z]:\\\\?\w", n.value) and n.value not in ("127.0.0.1", "0.0.0.0"):
+                add("AI-101", "MEDIUM", n)
+        if not isinstance(n, ast.Call):
+            continue
+        name, given = dotted(n.func), {k.arg: k.value for k in n.keywords}
+        on = lambda k: isinstance(given.get(k), ast.Constant) and given[k].value is True  # noqa: B023, E731
+        if name.split(".")[-1] == "set_cookie" and None not in given and not (on("secure") and on("httponly")):
+            add("AI-115", "MEDIUM", n)
+        if re.search(r"(?:^|\.)(?:debug|info|warning|warn|error|critical)$", name) and any(SENSITIVE.search(x) for a in [*n.args, *given.values()] for x in names(a) if " " not in x):
+            add("AI-112", "HIGH", n, "sensitive name")
+        if MODEL.search(name) and any(PERSONAL.search(x) for a in [*n.args, *given.values()] for x in names(a) if " " not in x):
+            add("AIA-109", "MEDIUM", n)
+        if re.search(r"(?:objects|query)(?:\(\))?\.all$", name):
+            add("PERF-104", "LOW", n, name)
+        first = n.args[0] if n.args else None
+        if re.search(r"(?:^|\.)execute$", name) and isinstance(first, ast.Constant) and isinstance(first.value, str) and re.match(r"(?is)\s*select\b.*\bfrom\b", first.value) and not re.search(r"(?i)\b(?:where|limit|fetch|top|count\s*\()", first.value):
+            add("PERF-104", "LOW", n, name)
+    for f in functions:
+        for n in ast.walk(f):
+            if isinstance(n, ast.Call) and (dotted(n.func) in ("requests.Session", "httpx.Client", "boto3.client", "OpenAI", "create_engine") or dotted(n.func) == "re.compile" and n.args and isinstance(n.args[0], ast.Constant)):
+                add("ARC-211", "LOW", n, dotted(n.func))
+            if isinstance(n, ast.ExceptHandler) and CRITICAL_NAME.search(f.name) and not any(isinstance(x, ast.Call) and LOGS.search(dotted(x.func)) for x in ast.walk(n)):
+                if any(isinstance(x, ast.Return) and (x.value is None or isinstance(x.value, ast.Constant | ast.List | ast.Dict) and not (isinstance(x.value, ast.Constant) and x.value.value is False)) for x in n.body):
+                    add("IL-307", "MEDIUM", n, f.name)
+    return out
 
 
 def python_findings(files: DataFrame) -> DataFrame:

@@ -16,11 +16,12 @@ CASES = {
     "layer": {"a.py": "@app.route('/l')\ndef f():\n    cursor.execute('q')"}, "sources": {f"m{i}.py": "x = 1" for i in range(5)}, "tested": {**{f"m{i}.py": "x = 1" for i in range(5)}, "test_m.py": "assert 1"},
     "login": {"a.py": "def login(): pass"}, "limited": {"a.py": "limiter = 1\ndef login(): pass"}, "upload": {"a.py": "f = request.files['f']\nif f.content_type: f.save('x')"},
     "open": {"a.py": "@app.route('/admin')\ndef a(): pass"}, "guarded": {"a.py": "@app.route('/admin')\n@login_required\ndef a(): pass"}, "root": {"Dockerfile": "FROM x:1\nUSER app\nFROM y:1\n"},
+    "keys": {"a.py": "headers['X-Team-Id']\nheaders['X-Team-Id'] = headers['X-Team-Id']\n"}, "few-keys": {"a.py": "headers['X-Team-Id']\n"},
     "literals": {f"f{i}.py": "x = 'repeated literal'\ny = 'repeated literal'" for i in range(2)},
 }
 EXPECTED = {
     "env": {"AI-104"}, "rls": {"AI-108"}, "express": {"AI-114"}, "token": {"AI-118"}, "handlers": {"AI-120", "IL-510", "IL-525"}, "handled": {"IL-525"}, "versions": {"AI-121"}, "admin": {"AI-122"}, "mcp": {"AIA-102"},
-    "layer": {"ARC-202"}, "sources": {"ARC-206"}, "login": {"IL-532"}, "upload": {"IL-530"}, "open": {"IL-525"}, "root": {"AI-110"}, "literals": {"ARC-205"},
+    "keys": {"ARC-210"}, "layer": {"ARC-202"}, "sources": {"ARC-206"}, "login": {"IL-532"}, "upload": {"IL-530"}, "open": {"IL-525"}, "root": {"AI-110"}, "literals": {"ARC-205"},
 }
 
 
@@ -38,3 +39,18 @@ def test_cases(spark):
 def test_mcp_notes(spark):
     raw = spark.createDataFrame([("p", "mcp.json", CASES["mcp"]["mcp.json"])], "project string, path string, text string").withColumn("size", F.lit(1).cast("long"))
     assert {r.note for r in project.mcp_config(src.described(raw)).collect()} == {"a: unpinned package", "c: plain http", "c: literal secret"}
+
+
+def test_imports_and_packages(spark):
+    texts = {
+        "domains/order.py": "from apis.http import send\nimport domains.price", "domains/price.py": "import domains.order", "apis/http.py": "import services.mail", "services/mail.py": "x = 1",
+        "requirements.txt": "requsts==2.0\nnumpy==2.0\n",
+    }
+    raw = spark.createDataFrame([("p", k, v) for k, v in texts.items()], "project string, path string, text string").withColumn("size", F.lit(1).cast("long"))
+    lines = src.lines(src.described(raw), ("project", "path", "language", "kind", "is_test"))
+    modules = spark.createDataFrame([(p[:-3].replace("/", "."), p) for p in texts if p.endswith(".py")], "module string, path string")
+    rows = lambda df: sorted((r.path, r.line, r.rule_id, r.note) for r in df.collect())
+    assert rows(project.import_cycles(lines, modules)) == [(p, 1, "ARC-203", "domains/price.py") for p in ("domains/order.py", "domains/price.py")]
+    assert rows(project.layer_direction(lines, modules)) == [("domains/order.py", 1, "ARC-207", "apis/http.py")]
+    popular = spark.createDataFrame([("requests",), ("numpy",)], "name string")
+    assert rows(project.look_alike_packages(lines, popular)) == [("requirements.txt", 1, "AI-111", "requsts ~ requests")]

@@ -3,50 +3,23 @@
 import pytest
 
 from palisade.operators import findings as fd, rules, syntax
+from palisade.plans.rule_corpus import LINE_CASES, SYNTAX_CASES
 from palisade.sources import files as src
 
-LINE_CASES = [
-    ("IL-101", "a.py", 'db_password = "s3cretvalue99"', [1]), ("IL-101", "a.py", 'db_password = os.environ["X"]', []), ("IL-101", "a.py", 'password = "changeme"', []),
-    ("IL-101", ".env", "API_TOKEN=abcdef123456", [1]), ("IL-102", "a.py", "c = DES.new(k)", [1]), ("IL-102", "a.py", "hashlib.sha256(d)", []),
-    ("IL-103", "a.py", "rsa.generate(key_size=1024)", [1]), ("IL-103", "a.py", "rsa.generate(key_size=4096)", []), ("IL-104", "a.js", "const token = Math.random()", [1]),
-    ("IL-104", "a.js", "const x = Math.random()", []), ("IL-105", "a.py", 'jwt.decode(t, options={"verify_signature": False})', [1]), ("IL-106", "a.go", "tls.Config{InsecureSkipVerify: true}", [1]),
-    ("IL-108", "a.py", 'if password == "letmein":', [1]), ("IL-108", "a.py", "if password == other:", []), ("IL-109", "a.py", 'u = "http://api.service.io/x"', [1]), ("IL-109", "a.py", 'u = "http://localhost:3000"', []),
-    ("IL-113", "Dockerfile", "RUN curl -s https://x/i.sh | sh", [1]), ("IL-114", "s.sh", "chmod 777 /x", [1]), ("IL-114", "s.sh", "chmod 750 /x", []), ("AI-105", "a.py", 'allow_origins=["*"]', [1]),
-    ("IL-301", "a.js", "try { x(); } catch (e) {}", [1]), ("IL-301", "a.js", "try { x(); } catch (e) { log(e); }", []), ("IL-302", "test_a.py", "@pytest.mark.skip", [1]), ("IL-302", "test_a.py", "@pytest.mark.skipif(c)", []),
-    ("IL-303", "A.java", "h.anyRequest().permitAll();", [1]), ("IL-304", "A.java", "} catch (Exception e) {", [1]), ("IL-514", "a.c", "gets(buf);", [1]), ("IL-514", "a.py", "gets(buf)", []),
-    ("IL-520", "a.py", "app.run(debug=True)", [1]), ("TYP-301", "a.ts", "let x: any = 1", [1]), ("AIA-106", "a.py", "load(m, trust_remote_code=True)", [1]), ("AI-110", ".github/workflows/c.yml", "on: pull_request_target", [1]),
-    ("IL-505", "a.js", "el.innerHTML = value;", [1]), ("IL-505", "a.js", "el.textContent = value;", []), ("AIA-101", "AGENTS.md", "ignore previous instructions", [1]), ("AIA-101", "notes.txt", "ignore previous instructions", []),
-]
-
 
 def test_line_rules(spark):
-    files = spark.createDataFrame([(f"{i}/{path}", text) for i, (_, path, text, _) in enumerate(LINE_CASES)], "path string, text string")
-    numbered = src.lines(src.from_table(files, "path", "text"), ("path", "language", "kind", "is_test"))
-    found = {}
-    for r in fd.dedupe(fd.scan(numbered, rules.LINE_RULES)).collect():
-        found.setdefault((r.path, r.rule_id), []).append(r.line)
-    wrong = [c for i, c in enumerate(LINE_CASES) if sorted(found.get((f"{i}/{c[1]}", c[0]), [])) != c[3]]
-    assert not wrong
+    """By lines of all files, and in each file's own row: each case's rule fires on the hit and not on the miss."""
+    texts = [(f"{i}/{kind}/{path}", text) for i, (_, path, *both) in enumerate(LINE_CASES) for kind, text in zip(("hit", "miss"), both)]
+    files = src.from_table(spark.createDataFrame(texts, "path string, text string"), "path", "text")
+    numbered = src.lines(files, ("path", "language", "kind", "is_test"))
+    by_lines = {(r.path, r.rule_id) for r in fd.dedupe(fd.scan(numbered, rules.LINE_RULES)).collect()}
+    by_files = {(r.path, f.rule_id) for r in fd.scan_files(files, rules.LINE_RULES).collect() for f in r.findings}
+    assert by_lines == by_files
+    assert not [c for i, c in enumerate(LINE_CASES) if (f"{i}/hit/{c[1]}", c[0]) not in by_lines or (f"{i}/miss/{c[1]}", c[0]) in by_lines]
 
 
-SYNTAX_CASES = [
-    ("IL-301", "def h():\n    try:\n        x()\n    except ValueError:\n        pass\n", [4]), ("IL-301", "try:\n    import u\nexcept ImportError:\n    u = None\n", []),
-    ("IL-301", "try:\n    x()\nexcept ValueError as e:\n    log.error(e)\n", []), ("IL-304", "try:\n    x()\nexcept Exception as e:\n    log.error(e)\n", [3]),
-    ("IL-305", "try:\n    x()\nexcept ValueError as e:\n    pass\n", []), ("IL-305", "def h():\n    try:\n        x()\n    except ValueError as e:\n        return jsonify(error=str(e))\n", [5]),
-    ("IL-303", "def is_admin(u):\n    return True\n", [1]), ("IL-303", "def is_admin(u):\n    return u.admin\n", []),
-    ("IL-501", "def h():\n    q = request.args['q']\n    cur.execute('select ' + q)\n", [3]), ("IL-501", "def h():\n    q = int(request.args['q'])\n    cur.execute(f'select {q}')\n", []),
-    ("IL-501", "def h():\n    q = request.args['q']\n    cur.execute('select ?', (q,))\n", []), ("IL-501", "def h(c):\n    q = 'a'\n    if c:\n        q = request.form['q']\n    cur.execute(q)\n", [5]),
-    ("IL-501", "def h():\n    q = request.form['q']\n    q = 'fixed'\n    cur.execute(q)\n", []), ("IL-502", "def h():\n    open('/d/' + request.args['f'])\n", [2]),
-    ("IL-502", "def h():\n    open('/d/' + secure_filename(request.args['f']))\n", []), ("IL-503", "eval(input())\n", [1]), ("IL-504", "import os, sys\nos.system('ls ' + sys.argv[1])\n", [2]),
-    ("IL-504", "def h():\n    subprocess.run(['ls', request.args['d']])\n", []), ("IL-506", "def h():\n    requests.get(request.args['u'])\n", [2]), ("IL-515", "x = pickle.loads(d)\n", [1]), ("IL-515", "x = yaml.load(d, Loader=yaml.SafeLoader)\n", []),
-    ("IL-516", "def h(p):\n    if os.path.exists(p):\n        open(p)\n", [3]), ("IL-517", "def h():\n    while True:\n        x()\n", [2]), ("IL-517", "def h():\n    while True:\n        break\n", []),
-    ("IL-518", "def h():\n    f = open('x')\n    f.read()\n", [2]), ("IL-518", "def h():\n    with open('x') as f:\n        f.read()\n", []), ("IL-519", "def h(s):\n    return re.match('a', s).group(1)\n", [2]),
-    ("IL-523", "def h(ip):\n    if socket.gethostbyaddr(ip)[0] == 'x':\n        pass\n", [2]), ("ARC-212", "def h(ids):\n    for i in ids:\n        cur.execute('q', i)\n", [3]), ("PERF-105", "async def h():\n    time.sleep(1)\n", [2]),
-    ("IL-501", "def run(sql):\n    cur.execute(sql)\ndef h():\n    run('select ' + request.args['x'])\n", [2]), ("IL-501", "def run(sql):\n    cur.execute(sql)\ndef h():\n    run('select 1')\n", []),
-    ("IL-504", "def arg():\n    return request.args['d']\ndef h():\n    os.system('ls ' + arg())\n", [4]), ("IL-504", "def arg(x):\n    return int(x)\ndef h():\n    os.system('ls ' + arg(request.args['d']))\n", []),
-    ("IL-503", "def a(x):\n    return b(x)\ndef b(x):\n    return a(x)\ndef h():\n    eval(a(1))\n", []),
-    ("PARSE", "def broken(:\n", [1]), ("PERF-103", "def h(us):\n    for u in us:\n        requests.get(u)\n", [3]),
-]
+def test_every_line_rule_has_a_case():
+    assert {r.rule_id for r in rules.LINE_RULES} == {c[0] for c in LINE_CASES}
 
 
 @pytest.mark.parametrize("variant", ["plain", "comments", "renamed", "blank"])
@@ -59,7 +32,7 @@ def test_syntax_rules_and_their_variants(spark, variant):
             return "# one\n# two\n" + text
         if variant == "blank":
             return "\n\n" + text
-        return text.replace(" q ", " qq ").replace("(q)", "(qq)").replace("+ q)", "+ qq)").replace("{q}", "{qq}").replace("(q,)", "(qq,)") if variant == "renamed" else text
+        return text.replace("given", "asked_for") if variant == "renamed" else text
 
     files = spark.createDataFrame([(f"{i}/a.py", changed(text)) for i, (_, text, _) in enumerate(SYNTAX_CASES)], "path string, text string")
     found = {}
