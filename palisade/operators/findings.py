@@ -133,18 +133,38 @@ def fingerprinted(findings: DataFrame, version: int = 1, keys: tuple = ("path",)
     )
 
 
-def in_context(lines: DataFrame, rule: str, flag: str, before: int = 5, after: int = 5, key: str = "path") -> DataFrame:
-    """Lines that match `rule`, HIGH if a line of the frame around matches `flag`, else MEDIUM."""
-    frame = Window.partitionBy(key).orderBy("line").rowsBetween(-before, after)
-    near = F.max(F.col("text").rlike(flag).cast("int")).over(frame)
-    return lines.withColumn("near", near).where(F.col("text").rlike(rule)).select(key, "line", F.when(F.col("near") == 1, "HIGH").otherwise("MEDIUM").alias("severity"))
-
-
-def exempt_by_previous(lines: DataFrame, rule: str, exemption: str, back: int = 2, key: str = "path") -> DataFrame:
-    """Lines that match `rule` unless one of the `back` lines before matches the exemption."""
-    frame = Window.partitionBy(key).orderBy("line").rowsBetween(-back, -1)
-    exempt = F.coalesce(F.max(F.col("text").rlike(exemption).cast("int")).over(frame), F.lit(0))
-    return lines.withColumn("exempt", exempt).where(F.col("text").rlike(rule) & (F.col("exempt") == 0)).select(key, "line")
+def _flagged(files: DataFrame, key: str, **patterns: str) -> DataFrame:
+    """(key, lines): a file's lines as an array of structs of flags, one a pattern."""
+    flags = lambda t: F.struct(*(t.rlike(p).alias(name) for name, p in patterns.items()))
+    lines = F.transform(F.split("text", "\n"), lambda t: flags(F.regexp_replace(t, "\r$", "")))
+    return files.where("text IS NOT NULL").select(key, lines.alias("__lines"))
+
+
+def in_context(files: DataFrame, rule: str, flag: str, before: int = 5, after: int = 5, key: str = "path") -> DataFrame:
+    """(key, line, severity) of lines that match `rule`, HIGH if a line of the frame around matches `flag`, else MEDIUM.
+
+    A file's lines are looked at in its own row: nothing is shuffled or sorted.
+    """
+
+    def one(x: Column, i: Column) -> Column:
+        first = F.greatest(i - before, F.lit(0))
+        near = F.when(x["rule"], F.exists(F.slice("__lines", first + 1, i + after - first + 1), lambda y: y["flag"]))
+        return F.struct((i + 1).alias("line"), x["rule"].alias("hit"), F.when(near, "HIGH").otherwise("MEDIUM").alias("severity"))
+
+    found = F.filter(F.transform("__lines", one), lambda x: x["hit"])
+    return _flagged(files, key, rule=rule, flag=flag).select(key, F.inline(found)).drop("hit")
+
+
+def exempt_by_previous(files: DataFrame, rule: str, exemption: str, back: int = 2, key: str = "path") -> DataFrame:
+    """(key, line) of lines that match `rule` unless one of the `back` lines before matches the exemption; in the file's row."""
+
+    def one(x: Column, i: Column) -> Column:
+        first = F.greatest(i - back, F.lit(0))
+        exempt = F.exists(F.slice("__lines", first + 1, i - first), lambda y: y["exempt"])
+        return F.struct((i + 1).alias("line"), (x["rule"] & ~exempt).alias("hit"))
+
+    found = F.filter(F.transform("__lines", one), lambda x: x["hit"])
+    return _flagged(files, key, rule=rule, exempt=exemption).select(key, F.inline(found)).drop("hit")
 
 
 def grade(critical: Column, high: Column, medium: Column, low: Column) -> Column:

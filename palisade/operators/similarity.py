@@ -83,3 +83,25 @@ def look_alikes(names: DataFrame, popular: DataFrame, least: int = 5) -> DataFra
 def name_families(functions: DataFrame, files: int = 3) -> DataFrame:
     """(name, n_files, n): names of functions that `files` files or more define."""
     return functions.groupBy("name").agg(F.countDistinct("path").alias("n_files"), F.count("*").alias("n")).where(F.col("n_files") >= files)
+
+
+#: Distinct runs of the smaller side that are sent to every task, at most; each is three numbers.
+BROADCAST = 1_000_000
+
+
+def shared_runs(units: DataFrame, items: DataFrame, unit: str, item: str, words: str, n: int = 8) -> DataFrame:
+    """(unit, item, shared): how many distinct runs of n words a unit shares with an item.
+
+    Runs are 96 bits of hashes over the array of words, so no run is ever a string. The items' runs are broadcast if a
+    count says that they are few; else both sides are shuffled by hash, behind the engine's own runtime filter.
+    """
+
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        w = df.where(F.size(words) >= n)
+        at = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct(F.xxhash64(F.slice(words, i, n)).alias("h"), F.hash(F.element_at(words, i), F.element_at(words, i + n - 1)).alias("c")))
+        return w.select(key, F.inline(at))
+
+    few = _cut(runs(items, item).distinct())
+    side = F.broadcast(few) if few.count() <= BROADCAST else few
+    met = runs(units, unit).join(side, ["h", "c"])
+    return met.groupBy(unit, item).agg(F.count_distinct("h", "c").alias("shared"))

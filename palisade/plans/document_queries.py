@@ -115,7 +115,7 @@ def grade_by_source(spark, tables):
 )
 def line_context_severity(spark, tables):
     """An address is worse with an e-mail address within five lines."""
-    return fd.in_context(_lines(tables), ADDRESS, EMAIL, key="doc_id")
+    return fd.in_context(tables("documents"), ADDRESS, EMAIL, key="doc_id")
 
 
 @query(
@@ -124,7 +124,7 @@ def line_context_severity(spark, tables):
 ) SELECT doc_id, line FROM framed WHERE regexp_matches(text, '{EMAIL}') AND exempt = 0"""
 )
 def exempt_by_previous_lines(spark, tables):
-    return fd.exempt_by_previous(_lines(tables), EMAIL, "^The ", key="doc_id")
+    return fd.exempt_by_previous(tables("documents"), EMAIL, "^The ", key="doc_id")
 
 
 @query(
@@ -160,14 +160,8 @@ SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_
 )
 def contamination_match(spark, tables):
     """Benchmark items of which a document holds a run of eight words."""
-
-    def grams(df, key):
-        words = F.filter(F.split(F.lower("text"), "[ \\t\\n]+"), lambda w: w != "")
-        w = df.where("text IS NOT NULL").select(key, words.alias("w")).where(F.size("w") >= 8)
-        runs = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
-        return w.select(key, F.explode(F.array_distinct(runs)).alias("g"))
-
-    return grams(tables("documents"), "doc_id").join(grams(tables("benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    words = lambda df: df.where("text IS NOT NULL").withColumn("w", F.filter(F.split(F.lower("text"), "[ \\t\\n]+"), lambda w: w != ""))
+    return similarity.shared_runs(words(tables("documents")), words(tables("benchmark")), "doc_id", "item_id", "w", 8)
 
 
 @query(
