@@ -47,7 +47,7 @@ class WordIds:
     to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 48 << 20):
+    def __init__(self, path: str, most: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
