@@ -37,12 +37,13 @@ def gaps_by_language(spark, tables):
 @query(
     """WITH o AS (SELECT user_id, event_id % 3 AS team, min(ts) AS t0 FROM events WHERE event_type = 'click' GROUP BY ALL),
 d AS (SELECT o.user_id, team, t0, min(ts) AS t1 FROM o JOIN events e ON e.user_id = o.user_id AND e.event_type = 'purchase' AND e.ts >= t0 GROUP BY ALL)
-SELECT team, count(*) AS decisions, avg((epoch_us(t1) - epoch_us(t0)) / 60e6) AS mean_minutes, quantile_cont((epoch_us(t1) - epoch_us(t0)) / 60e6, 0.5) AS median_minutes FROM d GROUP BY team"""
+SELECT team, count(*) AS decisions, round(avg((epoch_us(t1) - epoch_us(t0)) / 60e6), 4) AS mean_minutes, round(quantile_cont((epoch_us(t1) - epoch_us(t0)) / 60e6, 0.5), 4) AS median_minutes FROM d GROUP BY team"""
 )
 def decision_times(spark, tables):
     """Minutes from the first opening to the first decision after it."""
     log = tables("events").select("user_id", "ts", "event_type", (F.col("event_id") % 3).alias("team"))
-    return review.decision_times(log, "user_id", "ts", "event_type", "click", "purchase", "team")
+    out = review.decision_times(log, "user_id", "ts", "event_type", "click", "purchase", "team")
+    return out.withColumns({c: F.round(c, 4) for c in ("mean_minutes", "median_minutes")})
 
 
 @query(
