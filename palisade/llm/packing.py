@@ -29,13 +29,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from palisade.llm.bpe import Automaton
+from palisade.llm.bpe import LONG, TOGETHER, Automaton
 from palisade.llm.common import cut, ship
-from palisade.llm.pieces import Cache, joined
+from palisade.llm.pieces import Ids, ids_of_texts, spread
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens that a packing buffer holds at least before it is packed, and windows' tokens in a step group.
 BUFFER, STEP = 2_000_000, 16 * 2048
+#: A piece of one word at most, of letters that are composed already and lower-case one by one, each to one character.
+_ONE_WORD = "^[\t-\r ]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+[\t-\r ]*$"
 
 
 class WordIds:
@@ -43,8 +45,8 @@ class WordIds:
 
     Texts are cut into pieces a batch at a time (`pieces`). A piece of Latin letters and marks is lower-cased, split by
     the file's own pattern and walked through the automaton of the file's merges; any other is encoded by the
-    tokenizers library. A text that holds a control string, or an information separator (white space to some), is given
-    to the library whole.
+    tokenizers library. Pieces of one word, nearly all of them, are told and lower-cased as an array. A text that holds
+    a control string, or an information separator (white space to some), is given to the library whole.
     """
 
     def __init__(self, path: str, most: int = 24 << 20):
@@ -62,7 +64,7 @@ class WordIds:
         model = spec["model"]
         self.closed = bool(model["end_of_word_suffix"])
         self.automaton = Automaton.of(model["vocab"], model["merges"], model["end_of_word_suffix"] or "")
-        self.known = Cache(most)
+        self.known = Ids(most)
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -77,20 +79,34 @@ class WordIds:
         low = piece.strip().lower()
         return [low.encode()] if low.isalpha() else [w.encode() for w in self.split(low)]
 
-    def _made(self, pieces: list[str]) -> list[bytes]:
-        split = list(map(self._words, pieces))
+    def _made(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, where each piece's begin and the last one's end)."""
+        short = pc.less_equal(pc.binary_length(pieces), LONG)  # lower case has as many bytes
+        one = pc.and_(pc.match_substring_regex(pieces, _ONE_WORD), short).to_numpy(zero_copy_only=False) & bool(self.split)
+        single, other = np.flatnonzero(one), np.flatnonzero(~one)
+        ids, n, order = [], np.zeros(len(pieces), np.int64), np.concatenate((single, other))
+        words = pc.utf8_lower(pc.ascii_trim(pieces.take(pa.array(single)), " \t\n\x0b\x0c\r")).cast(pa.binary())
+        for low in range(0, len(words), TOGETHER):
+            of, bounds = self.automaton.encode_all(words[low : low + TOGETHER].to_pylist(), self.closed)
+            ids.append(of.astype(np.uint32))
+            n[single[low : low + TOGETHER]] = np.diff(bounds)
+        texts = pieces.take(pa.array(other)).to_pylist()
+        split = list(map(self._words, texts))
         tokens = self.automaton.tokens([ws or [] for ws in split], self.closed)
-        return [self._encode(p) if ws is None else array("I", ids).tobytes() for p, ws, ids in zip(pieces, split, tokens)]
-
-    def look(self, pieces: list[str]) -> list[bytes]:
-        return self.known.all(pieces, self._made)
+        rest = [self._encode(p) if ws is None else array("I", of).tobytes() for p, ws, of in zip(texts, split, tokens)]
+        ids.append(np.frombuffer(b"".join(rest), np.uint32))
+        n[other] = np.fromiter(map(len, rest), np.int64, len(rest)) >> 2
+        # the ids lie in the order of `order`; bring them into that of the pieces
+        begins = np.empty(len(pieces), np.int64)
+        begins[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(ids)[spread(begins, begins + n)], np.concatenate(([0], np.cumsum(n)))
 
     def all(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text of an Arrow array, as 32-bit words."""
         held = pc.match_substring_regex(texts, self.odd).fill_null(False)
         odd = set(np.flatnonzero(held.to_numpy(zero_copy_only=False)).tolist())
         plain = pc.if_else(held, pa.scalar("", texts.type), texts) if odd else texts
-        for i, (ids,) in enumerate(joined(plain, self.look, 1)):
+        for i, ids in enumerate(ids_of_texts(plain, self.known, self._made)):
             yield self._encode(texts[i].as_py()) if i in odd else ids
 
     def __call__(self, text: str) -> bytes:

@@ -7,6 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from palisade.llm import pieces
 from palisade.llm.packing import Packer, WordIds, pack
 from tests.llm.common import TEXTS, documents, empty
 
@@ -91,3 +92,33 @@ def test_word_ids_equal_the_library():
     vocabulary = [t.removesuffix("</w>") for t in words.library.get_vocab()]
     for text, ids in zip(vocabulary, words.all(pa.array(vocabulary))):
         assert np.frombuffer(ids, "<u4").tolist() == words.library.encode(text, add_special_tokens=False).ids
+
+
+def test_350_000_words_are_encoded_once():
+    words, rng, encoded = WordIds(PATH), random.Random(5), []
+    distinct = set()
+    while len(distinct) < 350_000:
+        distinct.add("".join(rng.choices("abcdefghiéü", k=9)))
+    distinct = sorted(distinct)
+    encode = words.automaton.encode_all
+    words.automaton.encode_all = lambda some, closed=False: encoded.extend(some) or encode(some, closed)
+    texts = pa.array([" ".join(distinct[i : i + 500]) for i in range(0, len(distinct), 500)])
+    first = list(words.all(texts))
+    assert list(words.all(texts)) == first
+    assert sorted(w.decode() for w in encoded) == distinct
+
+
+def test_ids_of_a_batch_equal_the_library_in_parts_of_any_size(monkeypatch):
+    rng, library = random.Random(6), Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x41, 0x250)]
+    texts = [None, "", *letters, *(f"\t{c}a \n" for c in letters), "Aé" * 30, "b" * 47, "c" * 48, "d" * 49, " \x85a", "\xa0É\xa0", "日本" * 300, "x\x1dy"]
+    texts += ["".join(rng.choices("abÉŸſ \t\n\r.'1", k=rng.randint(0, 60))) for _ in range(200)] + [None, "", " "]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size, most in ((16, 400), (4_000, 0), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(pieces, "BYTES", size)
+        monkeypatch.setattr(pieces, "MANY", max(1, size // 4))
+        words = WordIds(PATH, most)
+        for first in (0, 1):
+            got = words.all(pa.array(texts).slice(first))
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want[first:]
+            assert words.known.weight.sum() <= most and len(words.known.bounds) == len(words.known.pieces) + 1
