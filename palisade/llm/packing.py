@@ -253,6 +253,7 @@ def pack(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 if packer.held >= BUFFER:
                     yield rows(False)
         yield rows(True)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     read = documents.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     pieces = cut(read.mapInArrow(run, _PIECES))  # a row a piece: numbers only
