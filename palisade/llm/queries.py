@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.llm import ann, bpe, chat, html, jaccard, packing, pii, sharding, topk, toxicity
+from palisade.llm import ann, bpe, chat, html, jaccard, packing, pii, repair, sharding, topk, toxicity
 from palisade.llm.common import cut
 
 
@@ -96,6 +96,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    found = repair.digests(repair.repair(repair.damage(conversations))).withColumnRenamed("conv_id", "found_id")
+    ids = conversations.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +124,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
+    "op11_repair": op11_repair,
     "pipeline": pipeline,
 }
 
