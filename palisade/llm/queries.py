@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.llm import ann, bpe, chat, html, jaccard, packing, pii, repair, sharding, topk, toxicity
+from palisade.llm import ann, bpe, chat, html, jaccard, merkle, packing, pii, repair, sharding, topk, toxicity
 from palisade.llm.common import cut
 
 
@@ -107,6 +107,22 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merkle_rows(documents: DataFrame, levels: int = merkle.LEVELS) -> DataFrame:
+    """Each document's leaf, roots and proof, and what its proof gives for the tampered document."""
+    changed = [F.col(c) if c != "n_chars" else F.col(c).cast("decimal(20,0)") + 1 for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf(changed))
+    found = merkle.manifest(documents.withColumn("__tampered", tampered), keep=["__tampered"], levels=levels)
+    found = found.withColumn("folded_root", merkle.folded(F.col("proof"), F.coalesce("__tampered", "leaf")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,10 +141,51 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_packing": op10_packing,
     "op11_repair": op11_repair,
+    "op12_merkle": op12_merkle,
     "pipeline": pipeline,
 }
 
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string, in whole numbers: bit by bit, with the polynomial that zlib and Spark use."""
+    bit = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: {bit})"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(({text})[i]) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: {byte}), 4294967295)"
+
+
 ORACLE_SQL = {
+    # levels of hashes by recursion, siblings by their places
+    "op12_merkle": f"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS g,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS ahead,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS behind, coalesce({_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS hit
+  FROM documents
+), l AS (
+  SELECT r, doc_id, g, sha256(ahead || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || behind) AS leaf,
+    sha256(ahead || coalesce(strlen(CAST(n_chars + CAST(hit AS INT) AS VARCHAR)) || ':' || (n_chars + CAST(hit AS INT)), '-') || behind) AS used
+  FROM f
+), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+), t(v, g, i, d, n) AS (
+  SELECT 0, g, i, leaf, n FROM p
+  UNION ALL SELECT v + 1, g, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY v, g, i // 2, n
+), s AS (SELECT g, d AS subroot, v AS height, row_number() OVER (ORDER BY CAST(g AS BLOB)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u(v, i, d, n) AS (
+  SELECT 0, i, subroot, n FROM s UNION ALL SELECT v + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY v, i // 2, n
+), w AS (
+  SELECT p.r, t.v, ((p.i >> t.v) & 1) = 1 AS after, t.d FROM p JOIN t ON t.g = p.g AND t.n > 1 AND t.i = xor(p.i >> t.v, 1)
+  UNION ALL SELECT p.r, s.height + u.v, ((s.i >> u.v) & 1) = 1, u.d FROM p JOIN s ON s.g = p.g JOIN u ON u.n > 1 AND u.i = xor(s.i >> u.v, 1)
+), whole AS (SELECT max(v) AS top FROM u
+), o(r, v, d, top) AS (
+  SELECT p.r, 0, p.used, s.height + whole.top FROM p JOIN s ON s.g = p.g, whole
+  UNION ALL SELECT o.r, o.v + 1, sha256(CASE WHEN w.after THEN w.d || o.d ELSE o.d || coalesce(w.d, '') END), o.top
+  FROM o LEFT JOIN w ON w.r = o.r AND w.v = o.v WHERE o.v < o.top
+), q AS (SELECT r, string_agg(d, '' ORDER BY v) AS d FROM w GROUP BY r)
+SELECT p.doc_id, p.leaf, s.subroot, root.d AS root, sha256(coalesce(q.d, '')) AS proof_sha256, o.d AS folded_root, o.d = root.d AS verified
+FROM p JOIN s ON s.g = p.g JOIN o ON o.r = p.r AND o.v = o.top LEFT JOIN q ON q.r = p.r, (SELECT d FROM u WHERE n = 1) root
+""",
     # all pairs of a query and another row, in whole numbers
     "op8_topk": """
 WITH v AS (
