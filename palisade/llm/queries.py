@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palisade.llm import ann, bpe, chat, html, jaccard, merkle, packing, pii, repair, sharding, topk, toxicity
+from palisade.llm import ann, bpe, chat, credentials, html, jaccard, merkle, packing, pii, repair, sharding, topk, toxicity
 from palisade.llm.common import cut
 
 
@@ -123,6 +123,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(_read(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(credentials.KINDS) - 1)
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(credentials.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(credentials.listed(base), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -142,6 +149,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_repair": op11_repair,
     "op12_merkle": op12_merkle,
+    "op13_secrets": op13_secrets,
     "pipeline": pipeline,
 }
 
