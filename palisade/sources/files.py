@@ -11,6 +11,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from palisade.operators import snapshots
+
 #: Fixed values of the scan: size cap, bytes looked at for a NUL, and what makes a text minified.
 MAX_BYTES, NUL_BYTES, MINIFIED_CHARS, LONG_LINE, MEAN_LINE = 1_000_000, 8_000, 20_000, 4_000, 400
 
@@ -158,14 +160,6 @@ def line_window(numbered: DataFrame, span: int) -> DataFrame:
 
 
 def code_digest(files: DataFrame) -> DataFrame:
-    """One row: a digest of all (path, digest of text), in path order, and the number of files.
-
-    Files' digests are summed up in groups by the first byte of the path's digest, so no task sees them all.
-    """
-    each = files.select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"))
-    parts = each.groupBy(F.substring(F.sha2("path", 256), 1, 2).alias("part")).agg(
-        F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "d"))), lambda x: F.concat_ws(":", x["path"], x["d"])), "\n"), 256).alias("d")
-    )
-    return parts.agg(
-        F.sum("n").alias("files"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256), 1, 16).alias("digest")
-    )
+    """(files, digest): the number of files and the start of their hash tree's root; no row for an empty table."""
+    depth = snapshots.depth_for(files.count())
+    return snapshots.tree(files, depth).where("level = 0").select("files", F.substring("digest", 1, 16).alias("digest"))
