@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.operators.runs import blocks
+from palisade.operators.scratch import Scratch
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder; a folder of its own only for a local session that names none."""
@@ -47,49 +50,64 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
 def strong_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """(node, component) of all strongly connected components of two nodes or more; component is the largest member.
 
-    Colouring: nodes without a predecessor or successor are trimmed; the largest id that reaches a node colours it;
-    nodes of one colour that reach the node which gave it are one component, and leave the graph. Every step is a join
-    and an aggregation, and checkpointed, so the graph may be larger than any machine.
+    Straight runs of nodes become one node first, by jumps of doubling length, so long paths and long cycles take few rounds.
+    A run that leads back to itself is a component. The rest is colouring: nodes without a predecessor or successor are
+    trimmed; the largest id that reaches a node colours it; nodes of one colour that reach the node which gave it are
+    one component, and leave the graph. Every step is a join and an aggregation, and written to the shared folder, so the graph
+    may be larger than any machine.
     """
-    left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
-    out = None
+    scratch = Scratch(edges.sparkSession)
+    whole = scratch.keep(edges.select("src", "dst").dropna().where("src <> dst").distinct())
+    nodes = whole.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    zero = F.lit(0).alias("unit")
+    runs = scratch.keep(blocks(whole.select(zero, "src", "dst"), nodes.select(zero, "node")).select("node", "block", "place"))
+    heads = runs.where("place = 0").select(F.col("node").alias("dst"), F.col("block").alias("to"))
+    short = whole.join(heads, "dst").join(runs.select(F.col("node").alias("src"), F.col("block").alias("from")), "src").select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
+    short = scratch.keep(short)
+    closed = short.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("color"))
+    found = _coloured(scratch, short.where("src <> dst"), rounds)
+    found = closed if found is None else found.unionByName(closed.join(found, "node", "left_anti"))
+    members = scratch.keep(runs.join(found.withColumnRenamed("node", "block"), "block").select("node", "color"))
+    named = members.groupBy("color").agg(F.max("node").alias("component"))
+    return members.join(named, "color").select("node", "component")
+
+
+def _coloured(scratch: Scratch, edges: DataFrame, rounds: int) -> DataFrame | None:
+    """(node, color) of the components of two nodes or more; None without any."""
+    left, out = scratch.keep(edges), None
+    ends = lambda side, name: left.select(F.col(side).alias(name)).distinct()
     for _ in range(rounds):
         # trim, until nothing falls off
         n = left.count()
         while n:
-            left = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            left = scratch.keep(left.join(ends("dst", "src"), "src", "left_semi").join(ends("src", "dst"), "dst", "left_semi").select("src", "dst"), instead_of=left)
             m = left.count()
             if m == n:
                 break
             n = m
         if not n:
             break
-        color = _cut(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")))
-        while True:
+        color = scratch.keep(left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")).withColumn("moved", F.lit(True)))
+        while not color.where("moved").isEmpty():
             sent = left.join(color, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.max("color").alias("got"))
-            new = _cut(color.join(sent, F.col("node") == F.col("to"), "left").select("node", F.greatest("color", F.coalesce("got", "color")).alias("color"), (F.coalesce("got", "color") > F.col("color")).alias("moved")))
-            color = new.select("node", "color")
-            if new.where("moved").isEmpty():
-                break
-        same = _cut(
-            left.join(color.select(F.col("node").alias("src"), F.col("color").alias("c1")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("c2")), "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("color"))
-        )
-        member = _cut(color.where("node = color"))
-        size = member.count()
-        while True:
-            back = same.join(member.select(F.col("node").alias("dst"), F.col("color")), ["dst", "color"]).select(F.col("src").alias("node"), "color")
-            member = _cut(member.unionByName(back).distinct())
-            now = member.count()
-            if now == size:
-                break
-            size = now
+            got = F.coalesce("got", "color")
+            color = scratch.keep(
+                color.join(sent, F.col("node") == F.col("to"), "left").select("node", F.greatest("color", got).alias("color"), (got > F.col("color")).alias("moved")), instead_of=color
+            )
+        one, two = color.select(F.col("node").alias("src"), F.col("color").alias("c1")), color.select(F.col("node").alias("dst"), F.col("color").alias("c2"))
+        same = scratch.keep(left.join(one, "src").join(two, "dst").where("c1 = c2").select("src", "dst", F.col("c1").alias("color")))
+        member = new = scratch.keep(color.where("node = color").select("node", "color"))
+        while not new.isEmpty():
+            back = same.join(new.select(F.col("node").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
+            new = scratch.keep(back.join(member, ["node", "color"], "left_anti"))
+            member = member.unionByName(new)
         out = member if out is None else out.unionByName(member)
         gone = member.select("node")
-        left = _cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        left = scratch.keep(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     if out is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        return None
     sized = out.groupBy("color").agg(F.count("*").alias("n")).where("n > 1").select("color")
-    return out.join(sized, "color", "left_semi").select("node", F.col("color").alias("component"))
+    return scratch.keep(out.join(sized, "color", "left_semi"))
 
 
 def layer_violations(edges: DataFrame, layers: DataFrame, skips: bool = False) -> DataFrame:

@@ -59,11 +59,12 @@ def baseline(findings: DataFrame, known: DataFrame, scanned: DataFrame, present:
     exact = f.join(k.select("fingerprint", "__nth", "entry_id"), ["fingerprint", "__nth"]).select("finding_id", "entry_id", F.lit("existing").alias("status"))
 
     def alone(left: DataFrame, right: DataFrame, cs: list[str], status: str, extra: Column | None = None) -> DataFrame:
-        a = left.withColumn("__a", F.count("*").over(one(*cs)))
-        b = right.withColumn("__b", F.count("*").over(one(*cs)))
-        names = [c for c in b.columns if c not in cs]
-        joined = a.join(b.select(*cs, *(F.col(c).alias(f"k_{c}" if c not in ("entry_id", "__b") else c) for c in names)), cs)
-        joined = joined.where("__a = 1 AND __b = 1")
+        def single(side: DataFrame, prefix: str) -> DataFrame:
+            """Keys with one row, by aggregation: a key that many rows share is counted where they lie."""
+            rest = [F.col(c).alias(c if c in ("entry_id", "finding_id") else prefix + c) for c in side.columns if c not in cs]
+            return side.groupBy(*cs).agg(F.count("*").alias("__n"), F.min(F.struct(*rest)).alias("__r")).where("__n = 1").select(*cs, "__r.*")
+
+        joined = single(left, "").join(single(right, "k_"), cs)
         if extra is not None:
             joined = joined.where(extra)
         return joined.select("finding_id", "entry_id", F.lit(status).alias("status"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.operators import findings as fd, rules, syntax
-from palisade.plans import rule_corpus
 from palisade.plans.registry import query
 from palisade.sources import files as src
 
@@ -25,18 +24,3 @@ def python_syntax_scan(spark, tables):
     found = syntax.python_findings(src.from_table(documents, "path", "text"))
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("files"))
 
-
-def _expected() -> str:
-    rows = [f"('{rule}', '{path}', {line})" for rule, path, _, lines in rule_corpus.cases() for line in lines]
-    return f"SELECT rule_id, path, CAST(line AS INTEGER) AS line FROM (VALUES {', '.join(rows)}) t(rule_id, path, line)"
-
-
-@query(_expected())
-def rule_corpus_scan(spark, tables):
-    """What each rule finds in the files that are written for it, held against the lines where it has to."""
-    rows = [(rule, path, text) for rule, path, text, _ in rule_corpus.cases()]
-    corpus = spark.createDataFrame(rows, "wanted string, path string, text string")
-    files = src.from_table(corpus.select("path", "text"), "path", "text")
-    by_line = fd.scan_files(files, rules.LINE_RULES).select("path", F.inline("findings")).select("path", "rule_id", "line")
-    found = by_line.unionByName(syntax.python_findings(files).select("path", "rule_id", "line")).distinct()
-    return found.join(corpus.select("path", F.col("wanted").alias("rule_id")), ["path", "rule_id"]).select("rule_id", "path", "line")

@@ -130,12 +130,12 @@ def exempt_by_previous_lines(spark, tables):
 @query(
     """WITH hits AS (
   SELECT page_id, unnest(regexp_extract_all(html, '<(script|style|a href|div class)', 1)) AS sink, generate_subscripts(regexp_extract_all(html, '<(script|style|a href|div class)', 1), 1) AS place FROM pages
-) SELECT page_id, CAST(place AS INTEGER) AS place, sink FROM hits QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) <= 5"""
+) SELECT page_id, CAST(place AS INTEGER) AS place, sink FROM hits"""
 )
 def page_html_sinks(spark, tables):
-    """Tags that carry code, styles or links, the first five of each page."""
+    """All tags that carry code, styles or links, with their place in the page."""
     tags = F.regexp_extract_all("html", F.lit("<(script|style|a href|div class)"), F.lit(1))
-    hits = tables("pages").select("page_id", F.posexplode(F.slice(tags, 1, 5)).alias("place", "sink"))
+    hits = tables("pages").select("page_id", F.posexplode(tags).alias("place", "sink"))
     return hits.select("page_id", (F.col("place") + 1).alias("place"), "sink")
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 from palisade.operators import findings as fd, rules, syntax
-from palisade.plans.rule_corpus import LINE_CASES, SYNTAX_CASES
+from palisade.plans.rule_corpus import LINE_CASES, SYNTAX_CASES, cases
 from palisade.sources import files as src
 
 
@@ -59,3 +59,13 @@ def test_interest_points_and_their_ledger(spark):
     assert got[("b.py", "command", 1)] == ("unsupported", "")
     ledger = {r.family: (r.total, r.gaps, r.status) for r in governance.ledger(points).collect()}
     assert ledger == {"sql": (4, 2, "unmet"), "path": (2, 1, "unmet"), "command": (1, 1, "unmet")}
+
+
+def test_rules_fire_on_the_lines_of_their_own_files(spark):
+    """What each rule finds in the files written for it, held against the lines where it has to."""
+    corpus = spark.createDataFrame([(rule, path, text) for rule, path, text, _ in cases()], "wanted string, path string, text string")
+    files = src.from_table(corpus.select("path", "text"), "path", "text")
+    by_line = fd.scan_files(files, rules.LINE_RULES).selectExpr("path", "inline(findings)").select("path", "rule_id", "line")
+    found = by_line.unionByName(syntax.python_findings(files).select("path", "rule_id", "line")).distinct()
+    got = found.join(corpus.selectExpr("path", "wanted AS rule_id"), ["path", "rule_id"])
+    assert {(r.rule_id, r.path, r.line) for r in got.collect()} == {(rule, path, line) for rule, path, _, lines in cases() for line in lines}
