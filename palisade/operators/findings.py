@@ -24,6 +24,7 @@ class LineRule:
     include_tests: bool = False
     confidence: str = "CONFIRMED"
     cap: int = 0
+    comments: bool = False  # looks at comments as well
 
 
 def severity_rank(severity: Column) -> Column:
@@ -76,16 +77,21 @@ def scan_files(files: DataFrame, rules: list[LineRule]) -> DataFrame:
     """files with `findings`: what `scan` finds in each, an array of (line, column, rule_id, severity, confidence, snippet).
 
     Made in the file's own row, so it needs no shuffle and works on streams. The cap of a rule id holds over all of its
-    rules. A null text has no findings.
+    rules. A null text has no findings. With code_text beside text (`lexing.with_views`), rules don't see comments unless
+    they look for them; snippets are the lines as they are.
     """
-    texts = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = files.withColumn("__lines", F.transform(texts, lambda t, i: F.struct((i + 1).alias("line"), F.regexp_replace(t, "\r$", "").alias("text"))))
+    split = lambda c: F.split(F.coalesce(c, F.lit("")), "\n")
+    seen = "code_text" if "code_text" in files.columns else "text"
+    plain = lambda t: F.regexp_replace(t, "\r$", "")
+    both = F.arrays_zip(split("text").alias("text"), split(seen).alias("code"))
+    rows = files.withColumn("__lines", F.transform(both, lambda z, i: F.struct((i + 1).alias("line"), plain(z["text"]).alias("text"), plain(z["code"]).alias("code"))))
 
     def one(r: LineRule) -> Column:
+        at = "text" if r.comments else "code"
         made = F.transform(
-            F.filter("__lines", lambda x: _hits(r, x["text"])),
+            F.filter("__lines", lambda x: _hits(r, x[at])),
             lambda x: F.struct(
-                x["line"].alias("line"), F.regexp_instr(x["text"], F.lit(r.pattern)).alias("column"), F.lit(r.rule_id).alias("rule_id"),
+                x["line"].alias("line"), F.regexp_instr(x[at], F.lit(r.pattern)).alias("column"), F.lit(r.rule_id).alias("rule_id"),
                 F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), x["text"].alias("snippet"),
             ),
         )

@@ -21,6 +21,12 @@ def directives(lines: DataFrame) -> DataFrame:
     return rows.where((F.length("reason") >= REASON_CHARS) & ((F.col("scope") == "ignore") | (F.col("line") <= FILE_LINES))).withColumn("rule_id", F.trim("rule_id"))
 
 
+def comment_directives(files: DataFrame) -> DataFrame:
+    """`directives` of files (path, comment_text): what stands in a string is none."""
+    each = files.select("path", F.posexplode(F.split("comment_text", "\n")).alias("at", "text"))
+    return directives(each.select("path", (F.col("at") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text")))
+
+
 def covers(finding_line: Column, scope: Column, directive_line: Column) -> Column:
     """An ignore directive covers its own line and the next one; a file directive the whole file."""
     return (scope == "ignore-file") | (directive_line == finding_line) | (directive_line == finding_line - 1)

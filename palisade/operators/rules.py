@@ -24,7 +24,7 @@ LINE_RULES = [
     LineRule("IL-108", "HIGH", r"(?i)\b\w*(?:passw(?:or)?d|pwd|passwd|secret|token)\w*\s*(?:===?|\.equals\()\s*[\"'][^\"']+[\"']", r"(?i)[\"'](?:bearer|basic|null|undefined)[\"']"),
     LineRule("IL-109", "MEDIUM", r"[\"'`]http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\]|example\.|www\.w3\.org|schemas?\.|xmlns)[^\"'`\s]+", languages=("python", "javascript", "typescript", "java", "go", "rust", "csharp", "php", "kotlin")),
     LineRule("IL-110", "MEDIUM", r"(?i)passw\w*.*\bmin(?:_|imum_?)?len(?:gth)?\s*[:=(]\s*[1-7]\b"),
-    LineRule("IL-111", "HIGH", rf"(?i)^\s*(?:#|//|\*|--)\s*.*\b\w*{SECRET_NAME}\w*\s*[:=]\s*[^\s,;)]{{8,}}", r"(?i)changeme|placeholder|example|your[_-]|<[^>]+>"),
+    LineRule("IL-111", "HIGH", rf"(?i)^\s*(?:#|//|\*|--)\s*.*\b\w*{SECRET_NAME}\w*\s*[:=]\s*[^\s,;)]{{8,}}", r"(?i)changeme|placeholder|example|your[_-]|<[^>]+>", comments=True),
     LineRule("IL-112", "MEDIUM", r"(?i)\b(?:set_?cookie|cookies?\.set|new Cookie|cookie)\(\s*[\"'](?:passw(?:or)?d|pwd|ssn|card\w*|secret|pin)[\"']"),
     LineRule("IL-113", "HIGH", r"\b(?:curl|wget)\b[^|]*\|\s*(?:sudo\s+)?(?:ba|z)?sh\b", kinds=("docker", "actions")),
     LineRule("IL-114", "MEDIUM", r"\bchmod\s+(?:-R\s+)?0?777\b|\bos\.chmod\([^,]+,\s*0o?777\)|umask\(0\)"),
@@ -66,7 +66,7 @@ LINE_RULES = [
     LineRule("AI-115", "MEDIUM", r"(?i)\b(?:httpOnly|secure):\s*false|\.set(?:HttpOnly|Secure)\(false\)", languages=(*WEB, "java")),
     # typing
     LineRule("TYP-301", "LOW", r"@ts-ignore|@ts-nocheck|:\s*any\b|\bas\s+any\b|<any>", languages=("typescript",)),
-    LineRule("TYP-302", "LOW", r"#\s*type:\s*ignore(?!\[)|\bcast\(\s*Any\b|:\s*Any\b", languages=("python",)),
+    LineRule("TYP-302", "LOW", r"#\s*type:\s*ignore(?!\[)|\bcast\(\s*Any\b|:\s*Any\b", languages=("python",), comments=True),
     LineRule("TYP-303", "LOW", r"@SuppressWarnings\(\s*\"(?:unchecked|rawtypes)\"|\b(?:List|Map|Set|Collection)\s+\w+\s*=\s*new\s+\w+\(\)", languages=("java",)),
     LineRule("TYP-304", "LOW", r"#nullable\s+disable|#pragma\s+warning\s+disable\s+(?:nullable|CS86)|\bdynamic\s+\w+|\w!\.\w", languages=("csharp",), cap=5),
     LineRule("TYP-305", "LOW", r"\binterface\{\}|\bunsafe\s*\{|\.unwrap\(\)|reinterpret_cast<|\bvoid\s*\*\s*\w+\s*=", languages=("go", "rust", "c", "cpp")),

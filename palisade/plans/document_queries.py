@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from palisade.functions import scalars
-from palisade.operators import findings as fd, governance, matching, similarity
+from palisade.operators import findings as fd, governance, lexing, matching, similarity
 from palisade.operators.findings import LineRule
 from palisade.plans.registry import query
 from palisade.sources import files as src
@@ -139,6 +139,20 @@ def page_html_sinks(spark, tables):
     return hits.select("page_id", (F.col("place") + 1).alias("place"), "sink")
 
 
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '(?s)<!--.*?(?:-->|\z)')) AS comments, CAST(length(html) - length(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g')) AS BIGINT) AS chars,
+  sha256(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g')) AS code_sha256 FROM pages"""
+)
+def page_comments(spark, tables):
+    """Comments of each page, and the digest of what is left without them."""
+    pieces = tables("pages").select("page_id", lexing.pieces(F.col("html"), "markup").alias("p"))
+    notes = F.filter("p", lambda x: x["comment"] != "")
+    return pieces.select(
+        "page_id", F.size(notes).cast("long").alias("comments"), F.length(F.array_join(F.transform(notes, lambda x: x["comment"]), "")).cast("long").alias("chars"),
+        F.sha2(F.array_join(F.transform("p", lambda x: x["code"]), ""), 256).alias("code_sha256"),
+    )
+
+
 @query(
     """SELECT conv_id, turn, role, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn), false) AS repeated,
   length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS growth FROM conversations"""
