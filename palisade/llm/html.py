@@ -1,6 +1,7 @@
 """HTML extraction with wrappers: union-free regular expressions inferred from pages of one host.
 
-A page is a stream of tokens: text blocks, each with the path of its containers. Pages of one host are aligned one after
+A page is a stream of tokens: text blocks, each with the path of its containers (a hash of names, classes and ids, without
+those that hold digits, which tell pages of one template apart). Pages of one host are aligned one after
 another with the host's wrapper. Where they agree, the wrapper keeps a field; a run of blocks of one path becomes a
 repeated group; blocks that only some pages have become optional groups; a text that differs becomes a slot, one that
 all pages share stays constant. A task infers a wrapper from `PAGES` pages at a time; what these wrappers say of a path
@@ -23,13 +24,13 @@ unclosed tag, comment or script ends with the page; repeated rows stay; other co
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import re
-from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from palisade.llm.common import ship, shuffle_width
 
@@ -59,30 +60,67 @@ BAD = set(
 GOOD = set("articlebody article-body main-content maincontent post-content entry-content story-body".split())
 
 
+def number(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def label(names: list[tuple[str, str]]) -> str:
+    """Classes and ids, but for words with digits, which tell pages of one template apart."""
+    return "".join(("." if k == "class" else "#") + w for k, v in names if k in ("class", "id") for w in v.split() if not any(map(str.isdigit, w)))
+
+
+class Node:
+    """A container on the way to a block: what its labels hash to, and what is known of it and those around it."""
+
+    __slots__ = ("name", "label", "path", "above", "size", "bad", "main", "inside")
+
+    def __init__(self, name: str, label: str, above: "Node | None", bad: bool, main: bool):
+        self.name, self.label, self.above, self.bad, self.main, self.inside = name, label, above, bad, main, main
+        if above is None:
+            self.path, self.size = number(label), len(label)
+        else:
+            self.path, self.size = number(str(above.path), label), above.size + 1 + len(label)
+            self.bad, self.inside = bad or above.bad, main or above.inside
+            self.main = (above.main or main) and not bad
+
+    def shown(self) -> str:
+        labels, node = [], self
+        while node is not None and node.above is not None:
+            labels.append(node.label)
+            node = node.above
+        return "/".join(labels[::-1])
+
+
+TOP = Node("", "", None, False, False)
+
+
 def parse(page: str) -> list[tuple]:
-    """Blocks in page order: (path, text, characters in links, in an article container, shut out)."""
-    out, stack = [], []  # stack: (name, label, bad, main)
+    """Blocks in page order: (node, text, characters in links, in an article container, shut out).
+
+    A container is hashed once, from the hash of the one around it; open names are counted and the nearest container that isn't
+    inline is known at each depth, so nothing looks through the containers and the time is in proportion to the page.
+    """
+    out, stack, opened = [], [], {}  # stack: (name, node of the nearest container, its place in the stack)
     text, linked = [], 0
 
     def flush() -> None:
         nonlocal text, linked
         joined = " ".join("".join(text).split())
         if joined:
-            bad = main = False
-            path = []
-            for name, label, b, m in stack:
-                if name not in INLINE:
-                    path.append(label)
-                bad, main = bad or b, (main or m) and not b
-            out.append(("/".join(path), joined, min(linked, len(joined)), main, bad))
+            node = stack[-1][1] if stack else TOP
+            out.append((node, joined, min(linked, len(joined)), node.main, node.bad))
         text, linked = [], 0
 
+    def shorten(to: int) -> None:
+        while len(stack) > to:
+            opened[stack.pop()[0]] -= 1
+
     for m in TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
             decoded = entities.unescape(token) if "&" in token else token
             text.append(decoded)
-            if any(x[0] == "a" for x in stack):
+            if opened.get("a"):
                 linked += len(decoded.strip())
             continue
         if m[1] or token.startswith("<!") or token.startswith("<?"):
@@ -94,10 +132,11 @@ def parse(page: str) -> list[tuple]:
         if token[1] == "/":
             if name not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                to = len(stack) - 1
+                while stack[to][0] != name:
+                    to -= 1
+                shorten(to)
             continue
         if name == "br":
             text.append(" ")
@@ -107,32 +146,36 @@ def parse(page: str) -> list[tuple]:
             shut = CLOSES.get(name, set())
             if name in PARAGRAPH_ENDS:
                 shut = shut | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if stack and stack[-1][1].name in shut:
+                shorten(stack[-1][2])
         if name in VOID or token.endswith("/>"):
             continue
         names = [(k.lower(), (a or b or c).lower()) for k, a, b, c in NAMED.findall(token)] if "=" in token else []
         words = {w for k, v in names for w in re.split(r"[\s_]+|(?<=[a-z])-(?=[a-z])", v)}
         whole = {w for k, v in names for w in v.split()}
-        inside = any(x[3] for x in stack)
+        around, at = (stack[-1][1], stack[-1][2]) if stack else (TOP, -1)
         main = name in ("article", "main") or ("role", "main") in names or bool(whole & GOOD)
-        bad = name in OUT or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and not whole & GOOD and bool((words | whole) & BAD))
+        bad = name in OUT or (name == "header" and not around.inside) or (name not in ("html", "body", "article", "main") and not whole & GOOD and bool((words | whole) & BAD))
         if name in ("html", "body"):
             bad = main = False
-        stack.append((name, name + "".join(("." if k == "class" else "#") + v for k, v in names if k in ("class", "id")), bad, main))
+        opened[name] = opened.get(name, 0) + 1
+        if name in INLINE:  # no part of the path, but it may shut out or mark what it holds
+            node = around
+            if bad or main:
+                node = Node(around.name, "", around, bad, main)
+                node.label, node.path, node.size, node.above = around.label, around.path, around.size, around.above
+            stack.append((name, node, at))
+        else:
+            stack.append((name, Node(name, name + label(names), around, bad, main), len(stack)))
     flush()
     return out
 
 
 class Field:
-    __slots__ = ("path", "pages", "texts", "seen", "repeated", "optional")
+    __slots__ = ("node", "path", "pages", "texts", "seen", "repeated", "optional")
 
-    def __init__(self, path: str):
-        self.path, self.pages, self.texts, self.seen = path, 0, set(), []
+    def __init__(self, node: Node):
+        self.node, self.path, self.pages, self.texts, self.seen = node, node.path, 0, set(), []
         self.repeated = self.optional = False
 
     def take(self, blocks: list[tuple], mark: int) -> None:
@@ -143,34 +186,65 @@ class Field:
         self.repeated |= len(blocks) > 1
 
 
-def container(page: list[tuple[str, list[tuple]]]) -> list[str]:
+def container(page: list[tuple[int, list[tuple]]]) -> list[str]:
     return [b[1] for _, blocks in page for b in blocks if b[3] and not b[4]]
 
 
-def number(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
 def least(a: list[int], b: list[int]) -> list[int]:
     """The DIFFERENT least of both; enough to know whether there are that many, in any order of merging."""
     return sorted({*a, *b})[:DIFFERENT]
 
 
-def mark(page: list[tuple[str, list[tuple]]]) -> int:
+def mark(page: list[tuple[int, list[tuple]]]) -> int:
     """A number for what could be main text of a page: pages with the same are copies."""
     return number(*(container(page) or [b[1] for _, blocks in page for b in blocks if not b[4] and b[2] * 2 <= len(b[1])]))
 
 
-def runs(blocks: list[tuple]) -> list[tuple[str, list[tuple]]]:
-    out: list[tuple[str, list[tuple]]] = []
+def runs(blocks: list[tuple]) -> list[tuple[int, list[tuple]]]:
+    """(path, blocks): neighbouring blocks of one path together."""
+    out: list[tuple[int, list[tuple]]] = []
     for b in blocks:
-        if out and out[-1][0] == b[0]:
+        if out and out[-1][0] == b[0].path:
             out[-1][1].append(b)
         else:
-            out.append((b[0], [b]))
+            out.append((b[0].path, [b]))
     return out
 
 
+def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places with equal items, rising on both sides.
+
+    Equal ends first; between them the nth occurrence of an item meets its nth on the other side, and of these pairs a
+    longest rising run stays (patience sorting): n log n steps, however often an item repeats.
+    """
+    low, end = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while end < min(len(a), len(b)) - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    where: dict[tuple[int, int], int] = {}
+    count: dict[int, int] = {}
+    for j in range(low, len(b) - end):
+        where[b[j], count.get(b[j], 0)] = j
+        count[b[j]] = count.get(b[j], 0) + 1
+    count, tails, ends, before = {}, [], [], []
+    pairs = []
+    for i in range(low, len(a) - end):
+        j = where.get((a[i], count.get(a[i], 0)))
+        count[a[i]] = count.get(a[i], 0) + 1
+        if j is None:
+            continue
+        k = bisect.bisect_left(tails, j)
+        before.append(ends[k - 1] if k else -1)
+        tails[k : k + 1], ends[k : k + 1] = [j], [len(pairs)]
+        pairs.append((i, j))
+    middle, at = [], ends[-1] if ends else -1
+    while at >= 0:
+        middle.append(pairs[at])
+        at = before[at]
+    return [(i, i) for i in range(low)] + middle[::-1] + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+
+
 class Wrapper:
     """Fields in order; `learn` aligns one page more, `expression` is the union-free regular expression."""
 
@@ -178,37 +252,37 @@ class Wrapper:
         self.fields: list[Field] = []
         self.pages = 0
 
-    def learn(self, page: list[tuple[str, list[tuple]]]) -> list[Field]:
+    def learn(self, page: list[tuple[int, list[tuple]]]) -> list[Field]:
         """The field of each of the page's runs."""
         fields, taken, own = [], [], mark(page)
-        steps = SequenceMatcher(None, [f.path for f in self.fields], [p for p, _ in page], autojunk=False).get_opcodes()
-        for kind, a0, a1, b0, b1 in steps:
-            if kind == "equal":
-                for f, (_, blocks) in zip(self.fields[a0:a1], page[b0:b1]):
-                    f.take(blocks, own)
-                    fields.append(f)
-                    taken.append(f)
-                continue
-            for f in self.fields[a0:a1]:
+        i = j = 0
+        for to_i, to_j in [*aligned([f.path for f in self.fields], [p for p, _ in page]), (len(self.fields), len(page))]:
+            for f in self.fields[i:to_i]:
                 f.optional = True
                 fields.append(f)
-            for path, blocks in page[b0:b1]:
-                f = Field(path)
+            for _, blocks in page[j:to_j]:
+                f = Field(blocks[0][0])
                 f.optional = self.pages > 0
                 f.take(blocks, own)
                 fields.append(f)
                 taken.append(f)
+            if to_i < len(self.fields) and to_j < len(page):
+                f = self.fields[to_i]
+                f.take(page[to_j][1], own)
+                fields.append(f)
+                taken.append(f)
+            i, j = to_i + 1, to_j + 1
         self.fields, self.pages = fields, self.pages + 1
         return taken
 
     def expression(self) -> str:
-        body = lambda f: f"<{f.path}>" + (" ".join(f.texts) if f.texts and f.pages > 1 and not f.repeated else "#TEXT")
+        body = lambda f: f"<{f.node.shown()}>" + (" ".join(f.texts) if f.texts and f.pages > 1 and not f.repeated else "#TEXT")
         return " ".join(f"({body(f)}){'+' if f.repeated else ''}{'?' if f.optional else ''}" for f in self.fields)
 
 
-def ordered(page: list[tuple[str, list[tuple]]]):
+def ordered(page: list[tuple[int, list[tuple]]]):
     """(path, how many runs of the path came before on the page, blocks)."""
-    before: dict[str, int] = {}
+    before: dict[int, int] = {}
     for path, blocks in page:
         yield path, before.get(path, 0), blocks
         before[path] = before.get(path, 0) + 1
@@ -219,7 +293,7 @@ class Host:
 
     def __init__(self):
         self.texts: dict[int, dict[int, list[int]]] = {}  # path: constant text: marks of its pages
-        self.links: dict[int, list[int]] = {}  # path and place: characters, those in links
+        self.links: dict[int, list[int]] = {}  # path and place: characters, those in links, pages
 
     def learn(self, pages: list[str]) -> None:
         wrapper, plain = Wrapper(), {}
@@ -227,50 +301,65 @@ class Host:
             page = runs(parse(p)) if p else []
             wrapper.learn(page)
             for path, place, blocks in ordered(page):
-                sums = self.links.setdefault(number(path, str(place)), [0, 0])
+                sums = self.links.setdefault(number(str(path), str(place)), [0, 0, 0])
                 sums[0] += sum(len(b[1]) for b in blocks)
                 sums[1] += sum(b[2] for b in blocks)
+                sums[2] += 1
         for f in wrapper.fields:
-            constant = plain.setdefault(number(f.path), {})
+            constant = plain.setdefault(f.path, {})
             for t in f.texts:
-                k = number(f.path, "", t)
+                k = number(str(f.path), "", t)
                 constant[k] = least(constant.get(k, []), f.seen)
         for path, constant in plain.items():
             had = self.texts.get(path)
             self.texts[path] = constant if had is None else {k: least(had[k], m) for k, m in constant.items() if k in had}
 
     def rows(self):
-        """(path, item, marks, characters, linked): the path itself, its constants, and its places as paths of their own."""
+        """(path, item, marks, characters, linked, pages): the path itself, its constants, and its places as paths of their own."""
         for path, constant in self.texts.items():
-            yield path, None, [], 0, 0
+            yield path, None, [], 0, 0, 0
             for k, marks in constant.items():
-                yield path, k, marks, 0, 0
-        for k, (chars, linked) in self.links.items():
-            yield k, k, [], chars, linked
+                yield path, k, marks, 0, 0, 0
+        for k, sums in self.links.items():
+            yield k, k, [], *sums
 
     def model(self) -> tuple[set[int], set[int]]:
         constant = {k for c in self.texts.values() for k, marks in c.items() if len(marks) == DIFFERENT}
-        return constant, {k for k, (chars, linked) in self.links.items() if linked * 2 > chars}
+        return constant, {k for k, (chars, linked, pages) in self.links.items() if linked * 2 <= chars and pages >= DIFFERENT}
+
+
+def lies_in(node: Node, container: int, known: dict[int, bool]) -> bool:
+    """Whether a node is the container or lies in it; every node is looked at once a page."""
+    chain = []
+    while node is not None and node.path not in known and node.path != container:
+        chain.append(node.path)
+        node = node.above
+    found = node is not None and (node.path == container or known[node.path])
+    known.update(dict.fromkeys(chain, found))
+    return found
 
 
-def apply(page: str, constant: set[int], links: set[int]) -> str:
-    """The main text of a page by its host's model."""
+def apply(page: str, constant: set[int], plain: set[int]) -> str:
+    """The main text of a page by its host's model: constant texts, and places that are mostly unlinked over several pages."""
     parsed = runs(parse(page)) if page else []
-    kept = [b[1] for path, blocks in parsed for b in blocks if b[3] and not b[4] and number(path, "", b[1]) not in constant]
+    kept = [b[1] for path, blocks in parsed for b in blocks if b[3] and not b[4] and number(str(path), "", b[1]) not in constant]
     if not container(parsed):
-        weight: dict[str, int] = {}
+        weight: dict[int, int] = {}
+        size: dict[int, int] = {}
         usable = []
         for path, place, blocks in ordered(parsed):
-            if sum(b[2] for b in blocks) * 2 > sum(len(b[1]) for b in blocks) and number(path, str(place)) in links:
+            if sum(b[2] for b in blocks) * 2 > sum(len(b[1]) for b in blocks) and number(str(path), str(place)) not in plain:
                 continue
-            blocks = [b for b in blocks if not b[4] and number(path, "", b[1]) not in constant]
+            blocks = [b for b in blocks if not b[4] and number(str(path), "", b[1]) not in constant]
             if not blocks:
                 continue
             usable.append((path, blocks))
-            parent = path.rpartition("/")[0]
-            weight[parent] = weight.get(parent, 0) + sum(len(b[1]) - b[2] for b in blocks)
-        best = max(weight, key=lambda k: (weight[k], -len(k)), default="")
-        kept = [b[1] for path, blocks in usable for b in blocks if (path.rpartition("/")[0] + "/").startswith(best + "/") or path == best]
+            parent = blocks[0][0].above or TOP
+            weight[parent.path] = weight.get(parent.path, 0) + sum(len(b[1]) - b[2] for b in blocks)
+            size[parent.path] = parent.size
+        best = max(weight, key=lambda k: (weight[k], -size[k]), default=TOP.path)
+        within: dict[int, bool] = {}
+        kept = [b[1] for path, blocks in usable if lies_in(blocks[0][0], best, within) for b in blocks]
     return " ".join(kept)
 
 
@@ -302,10 +391,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def learn(batches):
         def summary(name, parts, host):
             found = list(host.rows())
-            columns = list(zip(*found)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            columns = list(zip(*found)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
             arrays = [pa.array([name] * len(found), pa.string()), pa.array([parts] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))]
-            return pa.RecordBatch.from_arrays(arrays, names=["h", "parts", "path", "item", "marks", "chars", "linked"])
+            return pa.RecordBatch.from_arrays(arrays, names=["h", "parts", "path", "item", "marks", "chars", "linked", "pages"])
 
         last = host = None
         held: list[str] = []
@@ -325,23 +414,30 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield summary(*last, host)
 
     # a task's part of a host is one row a path and text, so no group has more than a row a task
-    partial = dealt.sortWithinPartitions("__host", "__id").mapInArrow(learn, "h string, parts long, path long, item long, marks array<long>, chars long, linked long")
+    partial = dealt.sortWithinPartitions("__host", "__id").mapInArrow(learn, "h string, parts long, path long, item long, marks array<long>, chars long, linked long, pages long")
     items = partial.groupBy("h", "parts", "path", "item").agg(
-        F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")
+        F.count("*").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("marks")))).alias("marks"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("pages").alias("pages")
     )
-    paths = items.groupBy("h", "parts", "path").agg(F.max(F.when(F.col("item").isNull(), F.col("n"))).alias("of"), F.collect_list(F.struct("item", "n", "marks", "chars", "linked")).alias("items"))
+    paths = items.groupBy("h", "parts", "path").agg(F.max(F.when(F.col("item").isNull(), F.col("n"))).alias("of"), F.collect_list(F.struct("item", "n", "marks", "chars", "linked", "pages")).alias("items"))
     chosen = lambda c: F.transform(F.filter("items", c), lambda x: x["item"])
     paths = paths.select(
         "h", "parts", chosen(lambda x: x["item"].isNotNull() & (x["n"] == F.col("of")) & (x["marks"] >= DIFFERENT)).alias("constant"),
-        chosen(lambda x: x["linked"] * 2 > x["chars"]).alias("links"),
+        chosen(lambda x: (x["linked"] * 2 <= x["chars"]) & (x["pages"] >= DIFFERENT)).alias("plain"),
     )
-    models = paths.groupBy("h", "parts").agg(F.flatten(F.collect_list("constant")).alias("__constant"), F.flatten(F.collect_list("links")).alias("__links"))
-    models = models.select(F.col("h").alias("__host"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("__salt"), "__constant", "__links")
+    models = paths.groupBy("h", "parts").agg(F.flatten(F.collect_list("constant")).alias("__constant"), F.flatten(F.collect_list("plain")).alias("__plain"))
+    models = models.select(F.col("h").alias("__host"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("__salt"), "__constant", "__plain")
 
     def run(batches):
+        key = model = None
         for got in batches:
-            ids, urls, pages_, constant, links = (got.column(k) for k in ("__id", "__url", "__html", "__constant", "__links"))
-            found = [apply(p.as_py() or "", set(c.as_py() or ()), set(l.as_py() or ())) for p, c, l in zip(pages_, constant, links)]
+            ids, urls, pages_, hosts, salts, nth, constant, plain = (got.column(k) for k in ("__id", "__url", "__html", "__host", "__salt", "__nth", "__constant", "__plain"))
+            found = []
+            for i, now in enumerate(zip(hosts.to_pylist(), salts.to_pylist())):
+                if nth[i].as_py() == 1:
+                    key, model = now, (set(constant[i].as_py() or ()), set(plain[i].as_py() or ()))
+                if now != key:
+                    raise RuntimeError("a host's pages came apart from its model")
+                found.append(apply(pages_[i].as_py() or "", *model))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.cast(pa.int64()), urls.cast(pa.string()), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64()),
@@ -349,5 +445,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 names=["__id", "__url", "text", "n_chars"],
             )
 
-    out = dealt.join(models, ["__host", "__salt"], "left").mapInArrow(run, "__id long, __url string, text string, n_chars long")
+    # a host's model travels with the first of its pages in a task
+    nth = F.row_number().over(Window.partitionBy("__host", "__salt").orderBy("__id"))
+    first = dealt.withColumn("__nth", nth).alias("d")
+    models = models.select(F.col("__host").alias("h"), F.col("__salt").alias("s"), "__constant", "__plain")
+    joined = first.join(models, (F.col("__host") == F.col("h")) & (F.col("__salt") == F.col("s")) & (F.col("__nth") == 1), "left")
+    out = joined.select("__id", "__url", "__html", "__host", "__salt", "__nth", "__constant", "__plain").mapInArrow(run, "__id long, __url string, text string, n_chars long")
     return out.withColumnRenamed("__id", id_col).withColumnRenamed("__url", url_col)

@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from palisade.llm import html
@@ -78,3 +81,50 @@ def test_the_wrapper_decides_inside_the_container():
     # copies of an article take nothing from each other, whatever lies around it
     same = [f"<body><p>Visit {i}</p><article><p>One story.</p></article></body>" for i in range(5)]
     assert html.extract(same) == ["One story."] * 5
+
+
+def test_deep_and_long_pages_take_proportional_time():
+    """Depth, many runs, and unclosed inline tags: ten times the page takes about ten times the time."""
+    def took(page):
+        began = time.process_time()
+        html.extract([page] * 3)
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<b>" * n + "<div>x</div>" * n + "</i>" * n, lambda n: "".join(f"<p class={'abcdefgh'[i * i % 8]}>t{i}</p>" for i in range(n))):
+        assert took(make(20_000)) < 30 * took(make(2_000)) + 5
+    assert html.extract(["<div>x" * 100_000])[0].count("x") == 100_000
+
+
+def test_alignment_pairs_equal_items_in_order():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(0, 20))] for _ in range(2))
+        got = html.aligned(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+        assert html.aligned(a, a) == [(i, i) for i in range(len(a))]
+
+
+def test_a_host_s_model_stays_small():
+    """Pages with ids and classes of their own: what the host's model holds doesn't grow with its pages."""
+    def page(i):
+        return f"<body><div id='post-{i}' class='post p{i}'><p><a href='/'>Home {i}</a></p><p>Story {i} has its own words, number {i}.</p></div><div id='slug-{'abcdefgh'[i % 8] * (i + 1)}'>x {i}</div></body>"
+
+    sizes = []
+    for n in (50, 800):
+        host = html.Host()
+        for at in range(0, n, html.PAGES):
+            host.learn([page(i) for i in range(at, min(at + html.PAGES, n))])
+        sizes.append(sum(map(len, host.model())))
+    assert sizes[0] == sizes[1] < 10
+
+
+def test_partitions_change_nothing(spark):
+    rows = [(i, f"http://h{i % 7}.example/", copied(i, f"Story {i} has its own words, number {i}.")) for i in range(150)] + [(500 + i, "http://h1.example/", "<p><a>x</a></p><div>own text</div>") for i in range(40)]
+    old, results = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("1", "4", "41"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(sorted((r.page_id, r.text) for r in html.main_text(table(spark, rows), batch=8).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2] and dict(results[0])[7] == "Story 7 has its own words, number 7."
