@@ -450,5 +450,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     first = dealt.withColumn("__nth", nth).alias("d")
     models = models.select(F.col("__host").alias("h"), F.col("__salt").alias("s"), "__constant", "__plain")
     joined = first.join(models, (F.col("__host") == F.col("h")) & (F.col("__salt") == F.col("s")) & (F.col("__nth") == 1), "left")
-    out = joined.select("__id", "__url", "__html", "__host", "__salt", "__nth", "__constant", "__plain").mapInArrow(run, "__id long, __url string, text string, n_chars long")
+    # all columns of `dealt`, so that its one shuffle serves both passes
+    out = joined.drop("h", "s").mapInArrow(run, "__id long, __url string, text string, n_chars long")
     return out.withColumnRenamed("__id", id_col).withColumnRenamed("__url", url_col)
