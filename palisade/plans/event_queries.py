@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from palisade.functions.scalars import ratio
-from palisade.operators import governance, logs, matching
+from palisade.operators import governance, logs, matching, shapes
 from palisade.plans.registry import query
 
 _KIND = "CASE event_type WHEN 'error' THEN 'revoke' WHEN 'purchase' THEN 'forget' ELSE 'approve' END"
@@ -193,3 +193,32 @@ def key_scatter(spark, tables):
     """Attribute keys read from JSON that are repeated, the ten most frequent."""
     k = tables("events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
     return k.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).where("n >= 3").orderBy(F.col("n").desc(), "k").limit(10)
+
+
+@query(
+    """WITH d AS (SELECT event_id, event_type, user_id, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, 'event.kind' AS code, '$.kind' AS place, 'value' AS problem FROM d WHERE event_type NOT IN ('click', 'view', 'purchase')
+UNION ALL SELECT event_id, 'event.user', '$.user', 'missing' FROM d WHERE user_id % 10 = 0
+UNION ALL SELECT event_id, 'event.value', '$.value', 'range' FROM d WHERE value > 40
+UNION ALL SELECT event_id, 'props.k', '$.props[' || i || '].k', 'range' FROM d, (VALUES (0), (1)) t(i) WHERE k + i > 90
+UNION ALL SELECT event_id, 'props.unit', '$.props[0].unit', 'missing' FROM d
+UNION ALL SELECT event_id, 'props.unit', '$.props[1].unit', 'type' FROM d WHERE k % 5 = 0
+UNION ALL SELECT event_id, 'document', '$', 'unreadable' FROM d WHERE k = 13"""
+    .replace("FROM d WHERE", "FROM d WHERE k <> 13 AND").replace("FROM d\n", "FROM d WHERE k <> 13\n").replace("t(i) WHERE", "t(i) WHERE k <> 13 AND").replace("k <> 13 AND k = 13", "k = 13")
+)
+def event_shapes(spark, tables):
+    """Events as nested documents, made from their columns and props, against a table of expectations."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    unit = F.when(k % 5 == 0, F.lit(7).cast("string")).otherwise(F.lit('"u"'))
+    user = F.when(F.col("user_id") % 10 == 0, "").otherwise(F.concat(F.lit('"user":'), "user_id", F.lit(",")))
+    text = F.concat(
+        F.lit('{"kind":"'), "event_type", F.lit('",'), user, F.lit('"value":'), F.col("value").cast("string"), F.lit(',"props":['), "props", F.lit(',{"k":'), (k + 1).cast("string"),
+        F.lit(',"unit":'), unit, F.lit("}]}"),
+    )
+    docs = tables("events").select("event_id", F.when(k == 13, F.lit("{broken")).otherwise(text).alias("text"))
+    wanted = [
+        shapes.expect("$", "object", "event"), shapes.expect("$.kind", "string", "event.kind", True, ("click", "view", "purchase")), shapes.expect("$.user", "integer", "event.user", True),
+        shapes.expect("$.value", "number", "event.value", True, (), 0, 40), shapes.expect("$.props", "array", "props", True), shapes.expect("$.props[*].k", "integer", "props.k", True, (), 0, 90),
+        shapes.expect("$.props[*].unit", "string", "props.unit", True),
+    ]
+    return shapes.problems(shapes.flatten(docs, "event_id", "text"), shapes.spec(spark, wanted)).withColumnRenamed("id", "event_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from palisade.operators import lines, resolve, snapshots
+from palisade.operators import fragments, lines, reachability, resolve, snapshots
 from palisade.plans.registry import query
 
 
@@ -127,3 +127,65 @@ def snapshot_changes(spark, tables):
     before, after = tables("documents").select(F.col("doc_id").cast("string").alias("path"), "text"), _after(tables)
     depth = snapshots.depth_for(before.count())
     return snapshots.difference(before, after, snapshots.tree(before, depth), snapshots.tree(after, depth), depth)
+
+
+@query(
+    """WITH RECURSIVE n AS (
+  SELECT l_orderkey AS scope, l_linenumber AS line, min(l_partkey) AS part, min(l_linestatus) AS status, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber
+), o AS (
+  SELECT *, part % 7 AS name, lead(part % 7) OVER w AS nx, lead(part % 7, 2) OVER w AS nx2, row_number() OVER w AS k FROM n WINDOW w AS (PARTITION BY scope ORDER BY line)
+), e AS (
+  SELECT DISTINCT scope, name AS parent, nx AS child, CASE flag WHEN 'R' THEN true WHEN 'A' THEN false ELSE (CASE WHEN status = 'O' THEN false END) END AS dev FROM o WHERE nx IS NOT NULL
+  UNION SELECT scope, name, nx2, status = 'O' FROM o WHERE nx2 IS NOT NULL
+), roots AS (SELECT scope, name FROM o WHERE k = 1
+), told AS (SELECT scope, name, CASE WHEN p_size > 40 THEN true WHEN p_size < 20 THEN false END AS affected FROM o JOIN part ON p_partkey = part
+), asked AS (
+  SELECT scope, name, CASE WHEN bool_or(affected) THEN true WHEN count(affected) = count(*) THEN false END AS affected FROM told GROUP BY scope, name
+), w AS (
+  SELECT scope, parent, child, CASE WHEN NOT dev THEN 0 WHEN dev IS NULL THEN 1 ELSE 2 END AS k FROM e
+), t(scope, root, name, k, path) AS (
+  SELECT scope, name, name, 0, [name] FROM roots
+  UNION SELECT t.scope, t.root, w.child, greatest(t.k, w.k), list_append(t.path, w.child) FROM t JOIN w ON w.scope = t.scope AND w.parent = t.name WHERE NOT list_contains(t.path, w.child)
+), r AS (
+  SELECT a.*, t.root, t.k, t.path, row_number() OVER (PARTITION BY a.scope, a.name ORDER BY t.k, len(t.path), t.root, t.path) AS nth
+  FROM asked a LEFT JOIN t ON t.scope = a.scope AND t.name = a.name WHERE affected OR affected IS NULL
+)
+SELECT scope AS l_orderkey, name, root, CAST(len(path) - 1 AS INTEGER) AS depth, array_to_string(path, '>') AS path,
+  CASE WHEN coalesce(k, 2) = 2 THEN 'not_affected' WHEN k = 0 AND affected THEN 'affected' ELSE 'under_investigation' END AS status
+FROM r WHERE nth = 1"""
+)
+def vex_of_orders(spark, tables):
+    """Orders as lock files: parts by sevens are packages, lines depend on the next ones, large parts are affected."""
+    n = tables("lineitem").groupBy(F.col("l_orderkey").alias("scope"), F.col("l_linenumber").alias("line")).agg(
+        F.min("l_partkey").alias("part"), F.min("l_linestatus").alias("status"), F.min("l_returnflag").alias("flag")
+    )
+    w = Window.partitionBy("scope").orderBy("line")
+    name = F.col("part") % 7
+    o = n.withColumns({"name": name, "nx": F.lead(name).over(w), "nx2": F.lead(name, 2).over(w), "k": F.row_number().over(w)})
+    dev = F.when(F.col("flag") == "R", True).when(F.col("flag") == "A", False).when(F.col("status") == "O", False)
+    edges = o.where("nx IS NOT NULL").select("scope", F.col("name").alias("parent"), F.col("nx").alias("child"), dev.alias("dev")).union(
+        o.where("nx2 IS NOT NULL").select("scope", "name", "nx2", F.col("status") == "O")
+    )
+    size = tables("part").select(F.col("p_partkey").alias("part"), F.when(F.col("p_size") > 40, True).when(F.col("p_size") < 20, False).alias("affected"))
+    found = reachability.vex_statements(o.join(size, "part").select("scope", "name", "affected"), edges, o.where("k = 1").select("scope", "name"))
+    return found.select(F.col("scope").alias("l_orderkey"), "name", "root", "depth", F.array_join("path", ">").alias("path"), "status")
+
+
+_SECRET = r"""token = "([0-9a-f]{16,})\""""
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SECRET}', 1)) AS secret FROM documents
+), g AS (SELECT DISTINCT doc_id, substr(secret, i, 8) AS gram FROM (SELECT doc_id, secret, unnest(generate_series(1, length(secret) - 7)) AS i FROM s)
+), p AS (
+  SELECT doc_id, i - 1 AS a, substr(text, i, 8) AS gram FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 7)) AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM g))
+), h AS (SELECT DISTINCT p.doc_id, a, a + 8 AS b FROM p JOIN g ON g.doc_id = p.doc_id AND g.gram = p.gram
+), o AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM h
+), i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT doc_id, CAST(min(a) AS INTEGER) AS "start", CAST(max(b) AS INTEGER) AS "end" FROM i GROUP BY doc_id, island"""
+)
+def secret_fragments(spark, tables):
+    """Where a document shows eight characters or more of a token that it assigns."""
+    docs = tables("documents").select("doc_id", "text")
+    secrets = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_SECRET), F.lit(1))).alias("secret"))
+    return fragments.fragments(docs, secrets, key="doc_id")
