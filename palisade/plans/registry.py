@@ -11,11 +11,16 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function (spark, tables) under its name; tables(name) reads one."""
+    """Register a function (spark, tables) under its name; tables(name) reads one, tables(name, stream=True) as a stream."""
 
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            def tables(name: str, stream: bool = False) -> DataFrame:
+                table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                # a stream reads a folder or a pattern, and a table may be a single file
+                return spark.readStream.schema(table.schema).parquet(f"{sf_dir}/{name}.parque[t]") if stream else table
+
+            return function(spark, tables)
 
         QUERIES[function.__name__] = run
         if sql:
