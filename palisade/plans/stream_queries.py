@@ -1,4 +1,4 @@
-"""Queries that run a stream over a table to its end and read what it wrote."""
+"""Queries that write and read what they wrote: streams run to their end, reports, logs that grow."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palisade.operators.scratch import shared_folder
 from palisade.plans.registry import query
+from palisade.sources import reports
 from palisade.streaming import sessions
 
 IDLE, LATE = 12 * 3600, 3600
@@ -41,3 +42,19 @@ def stream_sessions(spark, tables):
     events = tables("events", stream=True).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), path.alias("path"))
     with sessions.with_timers(spark):
         return drained(sessions.sessions(events, IDLE, f"{LATE} seconds"))
+
+
+@query(
+    """SELECT 'R' || l_linenumber AS rule_id, 'f' || lpad((l_suppkey % 1000)::VARCHAR, 3, '0') AS path, CASE l_returnflag WHEN 'A' THEN 'error' WHEN 'R' THEN 'warning' ELSE 'note' END AS level,
+count(*) AS n, min(l_partkey) AS first_line, max('"' || l_linestatus || '"') AS snippet
+FROM lineitem WHERE l_linenumber IN (1, 3) AND 'f' || lpad((l_suppkey % 1000)::VARCHAR, 3, '0') BETWEEN 'f003' AND 'f090' GROUP BY ALL"""
+)
+def report_results(spark, tables):
+    """Order lines as findings, written as one report by many tasks; some rules' results on a range of paths read from it."""
+    severity = F.when(F.col("l_returnflag") == "A", "HIGH").when(F.col("l_returnflag") == "R", "MEDIUM").otherwise("LOW")
+    path = F.concat(F.lit("f"), F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0"))
+    rows = tables("lineitem").select(F.concat(F.lit("R"), "l_linenumber").alias("rule_id"), severity.alias("severity"), path.alias("path"), F.col("l_partkey").alias("line"), F.concat(F.lit('"'), "l_linestatus", F.lit('"')).alias("snippet"))
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    reports.save(rows, folder)
+    got = reports.load(spark, folder, rules=["R1", "R3"], first="f003", last="f090")
+    return got.groupBy("rule_id", "path", "level").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("snippet").alias("snippet"))
