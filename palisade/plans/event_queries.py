@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from palisade.functions.scalars import ratio
-from palisade.operators import governance, logs, matching, shapes
+from palisade.operators import governance, logs, matching, shapes, summaries
 from palisade.plans.registry import query
 
 _KIND = "CASE event_type WHEN 'error' THEN 'revoke' WHEN 'purchase' THEN 'forget' ELSE 'approve' END"
@@ -222,3 +222,31 @@ def event_shapes(spark, tables):
         shapes.expect("$.props[*].unit", "string", "props.unit", True),
     ]
     return shapes.problems(shapes.flatten(docs, "event_id", "text"), shapes.spec(spark, wanted)).withColumnRenamed("id", "event_id")
+
+
+_INDICATORS = (
+    summaries.Indicator("median", "value", 34.0, 38.0, 0.5), summaries.Indicator("tail", "value", 108.0, 125.0, 0.9), summaries.Indicator("users", "user_id", 100, 135),
+)
+
+
+@query(
+    """WITH s AS (SELECT event_type, ts::DATE AS day, value, user_id FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+d AS (SELECT DISTINCT event_type, day FROM s),
+w AS (SELECT d.event_type, d.day, count(value) AS n, avg((value <= 34)::INT) AS m1, avg((value <= 38)::INT) AS m2, avg((value <= 108)::INT) AS t1, avg((value <= 125)::INT) AS t2, count(DISTINCT user_id) AS u
+FROM d JOIN s ON s.event_type = d.event_type AND s.day BETWEEN d.day - 6 AND d.day GROUP BY ALL),
+i AS (SELECT event_type, day, CASE WHEN n = 0 THEN 'unknown' WHEN m2 < 0.5 THEN 'bad' WHEN m1 < 0.5 THEN 'warn' ELSE 'ok' END AS median,
+CASE WHEN n = 0 THEN 'unknown' WHEN t2 < 0.9 THEN 'bad' WHEN t1 < 0.9 THEN 'warn' ELSE 'ok' END AS tail,
+CASE WHEN u = 0 THEN 'unknown' WHEN u > 135 THEN 'bad' WHEN u > 100 THEN 'warn' ELSE 'ok' END AS users FROM w),
+l AS (SELECT *, [median, tail, users] AS all_ FROM i),
+b AS (SELECT event_type, day, median, tail, users, CASE WHEN len(list_filter(all_, lambda x: x <> 'unknown')) = 0 THEN 'unknown' WHEN len(list_filter(all_, lambda x: x = 'bad')) >= 2 THEN 'bad'
+WHEN len(list_filter(all_, lambda x: x = 'bad')) > 0 OR len(list_filter(all_, lambda x: x = 'warn')) >= 2 THEN 'warn' ELSE 'ok' END AS band FROM l),
+r AS (SELECT *, CASE band WHEN 'ok' THEN 0 WHEN 'warn' THEN 1 WHEN 'bad' THEN 2 END AS k FROM b),
+p AS (SELECT *, lag(k) OVER (PARTITION BY event_type ORDER BY day) AS k0 FROM r)
+SELECT event_type, day, median, tail, users, band, CASE WHEN k > k0 THEN 'worse' WHEN k < k0 THEN 'better' WHEN k = k0 THEN 'same' END AS change FROM p"""
+)
+def series_bands(spark, tables):
+    """Bands of each event type's last seven days, day by day, from merged sketches."""
+    rows = tables("events").select("event_type", F.to_date("ts").alias("day"), "value", "user_id")
+    found = summaries.states(rows, ["event_type"], "day", _INDICATORS, 7)
+    each = found.groupBy("event_type", "day").agg(*(F.max(F.when(F.col("indicator") == i.name, F.col("state"))).alias(i.name) for i in _INDICATORS))
+    return each.join(summaries.bands(found, ["event_type"], "day"), ["event_type", "day"])
