@@ -1,4 +1,4 @@
-"""Similar functions and names: token shingles, bottom-k sketches, exact Jaccard, clusters, look-alike names."""
+"""Similar functions and names: token shingles, exact Jaccard by rarest shingles, clusters, look-alike names."""
 
 from __future__ import annotations
 
@@ -7,34 +7,45 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.functions import scalars
 from palisade.operators.graphs import _cut
 
-SHINGLE, BOTTOM, SIMILAR, LEAST_TOKENS, BUCKET = 5, 8, 0.9, 40, 60
+SHINGLE, SIMILAR, LEAST_TOKENS, BUCKET = 5, 0.9, 40, 60
 
 
 def shingles(tokens: Column, n: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of the runs of n tokens, as whole numbers of 48 bits."""
+    """Sorted distinct hashes of the runs of n tokens, as whole numbers of 64 bits."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.array_sort(F.array_distinct(F.transform(runs, lambda r: F.conv(F.substring(F.sha2(r, 256), 1, 12), 16, 10).cast("long"))))
+    return F.array_sort(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r))))
 
 
-def similar_pairs(units: DataFrame, key: str = "key", tokens: str = "tokens", least: int = LEAST_TOKENS, bottom: int = BOTTOM, similar: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity) of units whose bottom sketches share a hash and whose shingle sets reach the similarity.
+def similar_pairs(units: DataFrame, key: str = "key", tokens: str = "tokens", least: int = LEAST_TOKENS, similar: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity) of all units whose shingle sets reach the similarity.
 
     Units with the same set are one representative while pairs are made (`copies`), so a large group of copies makes
-    no pairs inside. Pairs meet in the buckets of a hash. In a bucket of more than `BUCKET` sets they also have to share
-    a hash of their prefixes: without the bucket's hash, two sets that reach the similarity share one of the smallest
-    n - ceil(similar * n) + 1 hashes of either, n being the set's size. So no pair is lost, and a hot bucket is spread
-    over many keys.
+    no pairs inside. Two sets that reach the similarity share one of the n - ceil(similar * n) + 1 rarest shingles of
+    either, n being the set's size, so pairs meet in the buckets of these. Shingles that one set alone has come first in
+    that order and meet nothing: a set with enough of them is done, and only shingles of several sets are moved.
+    In a bucket of many sets, more than `BUCKET` and than the longest list of rarest shingles in it, pairs have to share
+    two: without the bucket's shingle the same holds for the rest. So no pair is lost, and a hot bucket is spread over
+    many keys. The similarity is above 0.5, as two different sets that share one shingle alone never reach it then.
     """
+    if not 0.5 < similar <= 1:
+        raise ValueError("the similarity has to be above 0.5 and at most 1")
     sets = units.where(F.size(tokens) >= least).select(F.col(key).alias("key"), shingles(F.col(tokens)).alias("set"))
-    sets = _cut(sets.withColumn("d", F.sha2(F.concat_ws(",", F.transform("set", lambda x: x.cast("string"))), 256)))
+    sets = _cut(sets.withColumn("d", F.struct(F.size("set").alias("n"), F.xxhash64("set").alias("x"), F.xxhash64(F.reverse("set")).alias("y"))))
     reps = _cut(sets.groupBy("d").agg(F.min("key").alias("rep"), F.first("set").alias("set")).withColumn("n", F.size("set")))
-    posted = reps.select("rep", "n", F.explode(F.slice("set", 1, bottom)).alias("h"))
-    buckets = posted.groupBy("h").count().where("count > 1").withColumnRenamed("count", "in_bucket")
+    held = reps.select("rep", "n", F.explode("set").alias("h"))
+    common = held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
+    ranked = held.join(common, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("order"))
+    need = (F.size("order") - F.ceil(similar * F.col("n") - 1e-9) + 1).cast("int")
+    ranked = ranked.withColumn("need", need).where("need > 0")
+    ranked = _cut(ranked.select("rep", "n", "need", F.transform(F.slice("order", 1, F.col("need") + 1), lambda o: o["h"]).alias("rare")))
+    posted = ranked.select("rep", "n", "need", F.explode(F.slice("rare", 1, F.col("need"))).alias("h"))
+    buckets = posted.groupBy("h").agg(F.count("*").alias("in_bucket"), F.max("need").alias("longest")).where("in_bucket > 1")
     posted = posted.join(buckets, "h")
-    small = posted.where(F.col("in_bucket") <= BUCKET).select("rep", "n", "h", F.lit(-1).cast("long").alias("h2"))
-    prefix = F.slice(F.array_remove("set", F.col("h")), 1, (F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1).cast("int"))
-    large = posted.where(F.col("in_bucket") > BUCKET).join(reps.select("rep", "set"), "rep").select("rep", "n", "h", F.explode(prefix).alias("h2"))
-    posted = small.unionByName(large)
+    many = (F.col("in_bucket") > BUCKET) & (F.col("in_bucket") > F.col("longest"))
+    small = posted.where(~many).select("rep", "n", "h", F.lit(None).cast("long").alias("h2"))
+    rest = F.slice(F.array_remove("rare", F.col("h")), 1, F.col("need"))
+    large = posted.where(many).select("rep", "n", "h").join(ranked.select("rep", "need", "rare"), "rep").select("rep", "n", "h", F.explode(rest).alias("h2"))
+    posted = small.unionByName(large).withColumn("h2", F.coalesce("h2", "h"))
     a, b = posted.alias("a"), posted.alias("b")
     fits = (F.col("a.n") >= similar * F.col("b.n") - 1e-9) & (F.col("b.n") >= similar * F.col("a.n") - 1e-9)
     near = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.h2") == F.col("b.h2")) & (F.col("a.rep") < F.col("b.rep")) & fits)

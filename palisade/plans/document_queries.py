@@ -290,18 +290,19 @@ def repeated_literals(spark, tables):
 
 _SETS = """
 t AS (SELECT doc_id AS key, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT key, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: substr(sha256(array_to_string(w[i:i+4], ' ')), 1, 12)))) AS g FROM t WHERE len(w) >= 40)"""
+s AS (SELECT key, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM t WHERE len(w) >= 40)"""
 
 
 @query(
-    f"""WITH {_SETS}, p AS (SELECT key, g, unnest(g[1:8]) AS h FROM s), c AS (SELECT DISTINCT a.key AS a, b.key AS b FROM p a JOIN p b ON a.h = b.h AND a.key < b.key AND len(a.g) <= 2 * len(b.g) AND len(b.g) <= 2 * len(a.g)),
-l AS (SELECT c.a, c.b FROM c JOIN s x ON x.key = c.a JOIN s y ON y.key = c.b WHERE len(list_intersect(x.g, y.g)) >= 0.9 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
+    f"""WITH {_SETS}, u AS (SELECT g, min(key) AS key, len(g) AS n FROM (SELECT key, list_sort(g) AS g FROM s) GROUP BY g), i AS (SELECT key, n, unnest(g) AS h FROM u),
+c AS (SELECT a.key AS a, b.key AS b, any_value(a.n) + any_value(b.n) - count(*) AS together, count(*) AS shared FROM i a JOIN i b ON a.h = b.h AND a.key < b.key GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE shared >= 0.9 * together UNION ALL SELECT u.key, s.key FROM s JOIN u ON list_sort(s.g) = u.g WHERE s.key <> u.key),
 e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
 r AS (WITH RECURSIVE w(x, y) AS (SELECT x, y FROM e UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x) SELECT * FROM w)
 SELECT x AS node, least(x, min(y)) AS cluster FROM r GROUP BY x"""
 )
 def duplicate_clusters(spark, tables):
-    """Bottom-eight sketches of five-token shingles, exact similarity of 0.9, connected components."""
+    """Sets of five-token shingles with a similarity of 0.9, as connected components."""
     tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
     units = tables("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), tokens.alias("tokens"))
     return similarity.clusters(similarity.similar_pairs(units))

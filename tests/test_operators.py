@@ -91,15 +91,17 @@ def test_similarity_splits_large_buckets(spark):
 
 
 def test_similarity_loses_no_pair_of_a_large_bucket(spark):
-    """Every pair that shares a bottom hash and reaches the similarity, in buckets far above the size that is split."""
+    """Every pair that reaches the similarity, in buckets far above the size that is split, and of long and short sets."""
     rng = random.Random(4)
     units = [(i, [f"t{k}" if rng.random() > 0.012 else f"x{i}_{k}" for k in range(120)]) for i in range(150)]
+    units += [(1000 + i, [f"v{k}" if rng.random() > 0.006 else f"y{i}_{k}" for k in range(900)]) for i in range(12)]
+    units += [(2000 + i, [f"w{rng.randrange(4)}" for _ in range(45)]) for i in range(80)]
     made = similarity.shingles(F.col("tokens"))
     df = spark.createDataFrame(units, "key long, tokens array<string>")
     sets = {r.key: r.s for r in df.select("key", made.alias("s")).collect()}
     want = {
         (a, b) for a in sets for b in sets
-        if a < b and set(sets[a][:8]) & set(sets[b][:8]) and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+        if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     }
     got = {tuple(sorted((r.a, r.b))) for r in similarity.similar_pairs(df, similar=0.8).collect()}
     copies = {k: min(j for j in sets if sets[j] == sets[k]) for k in sets}
