@@ -16,6 +16,8 @@ TOKEN_FORMATS = (
     r"glpat-[A-Za-z0-9_-]{16,}",
     r"npm_[A-Za-z0-9]{30,}",
 )
+#: Quoted right sides of secret names, in either case and with either quote.
+NAMED_SECRET = r"(?i)(?:secret|token|passw(?:or)?d|api_?key|credential)\w*\s*[:=]\s*[\"']([^\"']{8,})[\"']"
 MASK = "****"
 
 
@@ -42,11 +44,12 @@ def mask_secrets(text: Column) -> Column:
     return F.regexp_replace(out, r"[A-Za-z0-9_+/-]{20,}", MASK)
 
 
-def secret_values(line: Column) -> Column:
-    """Candidate secret values of a line: quoted right sides of secret names, and known token formats."""
-    named = F.regexp_extract_all(line, F.lit(r"(?i)(?:secret|token|passw(?:or)?d|api_?key|credential)\w*\s*[:=]\s*[\"']([^\"']{8,})[\"']"), F.lit(1))
-    formats = F.regexp_extract_all(line, F.lit("(" + "|".join(TOKEN_FORMATS) + ")"), F.lit(1))
-    return F.array_distinct(F.concat(named, formats))
+def secret_values(line: Column, named: str = NAMED_SECRET, formats: tuple = TOKEN_FORMATS) -> Column:
+    """Candidate secret values of a line: the first group of `named`, and what has one of the token formats."""
+    found = F.regexp_extract_all(line, F.lit(named), F.lit(1))
+    if formats:
+        found = F.concat(found, F.regexp_extract_all(line, F.lit("(" + "|".join(formats) + ")"), F.lit(1)))
+    return F.array_distinct(found)
 
 
 def redact(text: Column, secrets: Column) -> Column:
