@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palisade.operators.graphs import _cut
+
 #: Sizes of the sketches: the quantile sketch's k and the logarithm of the distinct sketch's registers.
 QUANTILE_K, DISTINCT_LG = 800, 14
 
@@ -107,7 +109,8 @@ def states(rows: DataFrame, by: Sequence[str], at: str, indicators: Sequence[Ind
         )
         for i in indicators
     ]
-    told = spans.select(*keys, F.inline(F.array(*each)))
+    # a sketch made twice isn't the same twice: who is in doubt and who was counted have to come from one
+    told = _cut(spans.select(*keys, F.inline(F.array(*each))))
     doubt = told.where("n > 0 AND (warn IS NULL OR bad IS NULL)")
     aggs = []
     for i in indicators:

@@ -62,6 +62,15 @@ def test_errors_are_within_what_is_stated(spark):
     assert abs(row.who / 30_011 - 1) <= 4 * sm.distinct_error()
 
 
+def test_one_sketch_says_who_is_counted(spark):
+    """Shares that lie at the edge of a rough sketch's doubt: made twice, a sketch told it once this way and once that."""
+    k, n = 64, 1000
+    least = round(n * (0.5 + 2 * sm.rank_error(k)))
+    df = spark.range(200 * n).select((F.col("id") % 200).cast("string").alias("series"), F.lit(DAY).alias("day"), (((F.col("id") / 200).cast("long") + n / 2 - (n - least)) / n).alias("x"), F.lit(1).alias("who"))
+    got = {(r.series, r.state) for r in sm.states(df, ["series"], "day", (sm.Indicator("median", "x", 0.5, 2.0, 0.5),), 1, k).collect()}
+    assert got == {(str(s), "warn") for s in range(200)}
+
+
 def test_bands_and_changes(spark):
     at = [DAY + dt.timedelta(i) for i in range(6)]
     table = [["ok", "ok"], ["warn", "warn"], ["bad", "bad"], ["unknown", "unknown"], ["unknown", "bad"], ["ok", "warn"]]
