@@ -72,3 +72,29 @@ def test_baseline_with_a_shape_that_most_rows_share(spark):
     status = {(r.finding_id, r.entry_id): r.status for r in out}
     assert status["m", "em"] == "moved" and status["r", "er"] == "review" and status["n1", None] == "new" and status[None, "e1"] == "resolved" and status[None, "e2"] == "unobserved"
     assert len(out) == 802
+
+
+def test_reach_gives_a_tile_s_pairs_once(spark):
+    """Tiles of any size give the fewest steps; a dense step makes no row for each node in between."""
+    rng = random.Random(11)
+    for name in (lambda n: n, lambda n: f"n{n}"):
+        kind = "long" if name(1) == 1 else "string"
+        pairs = [(name(rng.randrange(40)), name(rng.randrange(40))) for _ in range(90)]
+        want = {}
+        for s in {a for a, _ in pairs}:
+            front = {s}
+            for d in range(1, 5):
+                front = {b for a, b in pairs if a in front}
+                for b in front:
+                    want.setdefault((s, b), d)
+        edges = spark.createDataFrame([*pairs, (None, name(1)), (name(1), None)], f"src {kind}, dst {kind}")
+        for block in (3, 1024):
+            rows = graphs.reach(edges, edges.select(edges.src.alias("node")), 4, block).collect()
+            assert len(rows) == len(want) and {(r.start, r.node): r.depth for r in rows} == want
+    import numpy as np
+
+    start, node = graphs._onward(np.array([1, 1, 2, 3]), np.array([7, 8, 8, 9]), np.array([7, 7, 8]), np.array([4, 5, 5]))
+    assert list(zip(start.tolist(), node.tolist())) == [(1, 4), (1, 5), (2, 5)]
+    full = [(a, b) for a in range(60) for b in range(60)]
+    edges = spark.createDataFrame(full, "src long, dst long")
+    assert graphs.reach(edges, edges.select(edges.src.alias("node")), 3, 16).where("depth = 1").count() == 3600
