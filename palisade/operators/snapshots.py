@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palisade.operators.graphs import _cut
+
 BUCKET = 64
 
 
@@ -50,8 +52,10 @@ def tree(files: DataFrame, depth: int) -> DataFrame:
 def difference(old: DataFrame, new: DataFrame, old_tree: DataFrame, new_tree: DataFrame, depth: int) -> DataFrame:
     """(path, change): added, removed or changed files of two snapshots, found below differing nodes only.
 
-    old_tree and new_tree are both of `depth`; a level joins the children of the nodes that differed on the one above.
+    old_tree and new_tree are both of `depth`; a level joins the children of the nodes that differed on the one above. Trees and
+    levels are written once: a level names the one above twice, so an uncut plan doubles with each level.
     """
+    old_tree, new_tree = _cut(old_tree), _cut(new_tree)
     side = lambda nodes, name, d: nodes.where(F.col("level") == d).select("prefix", F.col("digest").alias(name))
     open_ = None
     for d in range(depth + 1):
@@ -60,6 +64,7 @@ def difference(old: DataFrame, new: DataFrame, old_tree: DataFrame, new_tree: Da
             parent = open_.withColumnRenamed("prefix", "parent")
             a, b = (x.join(parent, F.substring("prefix", 1, d - 1) == F.col("parent"), "left_semi") for x in (a, b))
         open_ = a.join(b, "prefix", "full").where(~F.col("old").eqNullSafe(F.col("new"))).select("prefix")
+        open_ = _cut(open_)
     below = lambda files, name: _entries(files).join(open_, F.substring("place", 1, depth) == F.col("prefix"), "left_semi").select("path", F.col("digest").alias(name))
     both = below(old, "old").join(below(new, "new"), "path", "full").where(~F.col("old").eqNullSafe(F.col("new")))
     return both.select("path", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("change"))

@@ -74,3 +74,14 @@ def test_code_digest_is_the_root(spark):
     assert one.files == 40 and one == other and one.digest == plain(dict(rows), 1)[0, ""][:16]
     assert sources.code_digest(frame(spark, rows[1:])).first().digest != one.digest
     assert snapshots.depth_for(0) == snapshots.depth_for(1024) == 1 and snapshots.depth_for(1025) == 2 and snapshots.depth_for(10**9) == 6
+
+
+def test_plan_of_a_difference_grows_with_levels_and_no_faster(spark):
+    rows = [(f"p{i}", f"t{i}") for i in range(50)]
+    old, new = spark.createDataFrame(rows, "path string, text string"), spark.createDataFrame([*rows[1:], ("q", "t")], "path string, text string")
+    sizes = []
+    for depth in (2, 6):
+        out = snapshots.difference(old, new, snapshots.tree(old, depth), snapshots.tree(new, depth), depth)
+        sizes.append(len(out._jdf.queryExecution().analyzed().toString()))
+        assert {(r.path, r.change) for r in out.collect()} == {("p0", "removed"), ("q", "added")}
+    assert sizes[1] < 2 * sizes[0]
