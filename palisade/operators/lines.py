@@ -15,6 +15,8 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from palisade.operators.graphs import _cut
+
 
 def _rising(values: list[int]) -> list[int]:
     """Places of a longest strictly rising subsequence, by patience sorting."""
@@ -99,14 +101,15 @@ def renames(old: DataFrame, new: DataFrame, share: float = 0.5, shortest: int =
     one file of either side holds speaks for a pair; a pair stands if each is the other's best (most lines, then the least
     path) and shares `share` or more of the larger one's distinct such lines. Null texts have no lines.
     """
-    before, after = (side.where("path IS NOT NULL").select("path", "text").dropDuplicates(["path"]) for side in (old, new))
-    gone, came = before.join(after, "path", "left_anti"), after.join(before, "path", "left_anti")
-    line = lambda side: side.select("path", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line")).where(F.length("line") >= shortest)
-    a, b = line(gone), line(came)
-    only = lambda side, name: side.groupBy("line").agg(F.count("*").alias("n"), F.min("path").alias(name)).where("n = 1").select("line", name)
-    size = lambda side, name: side.groupBy(F.col("path").alias(f"{name}_path")).agg(F.count("*").alias(f"{name}_lines"))
-    votes = only(a, "old_path").join(only(b, "new_path"), "line").groupBy("old_path", "new_path").agg(F.count("*").alias("shared"))
+    # a file is its distinct lines' digests, 128 bits of SHA-256 each, before anything is moved
+    trimmed = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= shortest)
+    digests = F.transform(F.array_distinct(trimmed), lambda x: F.substring(F.unhex(F.sha2(x, 256)), 1, 16))
+    before, after = (side.where("path IS NOT NULL").select("path", digests.alias("lines")).dropDuplicates(["path"]) for side in (old, new))
+    gone, came = before.join(after.select("path"), "path", "left_anti"), after.join(before.select("path"), "path", "left_anti")
+    only = lambda side, name: side.select("path", F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n"), F.min("path").alias(name)).where("n = 1").select("line", name)
+    size = lambda side, name: side.select(F.col("path").alias(f"{name}_path"), F.size("lines").cast("long").alias(f"{name}_lines"))
+    votes = _cut(only(gone, "old_path").join(only(came, "new_path"), "line").groupBy("old_path", "new_path").agg(F.count("*").alias("shared")))
     best = lambda key, other: votes.groupBy(key).agg(F.min_by(other, F.struct(-F.col("shared"), other)).alias(other))
     pairs = votes.join(best("old_path", "new_path"), ["old_path", "new_path"], "left_semi").join(best("new_path", "old_path"), ["old_path", "new_path"], "left_semi")
-    out = pairs.join(size(a, "old"), "old_path").join(size(b, "new"), "new_path").withColumn("similarity", F.col("shared") / F.greatest("old_lines", "new_lines"))
+    out = pairs.join(size(gone, "old"), "old_path").join(size(came, "new"), "new_path").withColumn("similarity", F.col("shared") / F.greatest("old_lines", "new_lines"))
     return out.where(F.col("similarity") >= share).select("old_path", "new_path", "shared", "similarity")

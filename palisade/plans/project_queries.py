@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from palisade.operators import fragments, lines, reachability, resolve, snapshots
+from palisade.operators.graphs import _cut
 from palisade.plans.registry import query
 
 
@@ -83,7 +84,8 @@ FROM r JOIN documents d ON CAST(d.doc_id AS VARCHAR) = r.new_path"""
 def patched_documents(spark, tables):
     """The patch from each renamed document's lines, applied to its old text; SQL hashes the new text itself."""
     old, new = _sides(tables)
-    pairs = lines.renames(old, new).select(F.struct("old_path", "new_path").alias("pair"), "old_path", "new_path")
+    # named on both sides, and each side's lines four times: found once
+    pairs = _cut(lines.renames(old, new)).select(F.struct("old_path", "new_path").alias("pair"), "old_path", "new_path")
     numbered = lambda side, name: side.join(pairs, F.col("path") == F.col(name)).select("pair", F.lit(name[:3]).alias("side"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     both = numbered(old, "old_path").union(numbered(new, "new_path")).withColumn("line", F.col("line") + 1)
     rebuilt = lines.apply_patch(both.where("side = 'old'"), lines.patch(both)).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))

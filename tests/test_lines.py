@@ -75,3 +75,11 @@ def test_renames(spark):
     got = {(r.old_path, r.new_path, r.shared) for r in lines.renames(frame(old), frame(new)).collect()}
     assert got == {("a.py", "lib/a.py", 8), ("b.py", "copy1.py", 8)}  # two of b's lines stand in c.py as well
     assert lines.renames(frame(old[:0]), frame(new)).count() == 0
+
+
+def test_renames_are_found_once_for_a_patch(spark):
+    """Each use of the renamed pairs ran the search for them again, and moved every line's text for it."""
+    from palisade.plans.catalog import QUERIES
+
+    plan = QUERIES["patched_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "posexplode(" in plan and " explode(" not in plan
