@@ -8,38 +8,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palisade.operators.graphs import _cut
+from palisade.operators.scratch import Scratch
 
 
 def leading_to(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(scope, name): the targets and all that leads to one."""
+    scratch = Scratch(edges.sparkSession)
     back = edges.select("scope", F.col("child").alias("name"), "parent")
-    seen = delta = _cut(targets.select("scope", "name").dropna().distinct())
+    seen = delta = scratch.keep(targets.select("scope", "name").dropna().distinct())
     while not delta.isEmpty():
         step = delta.join(back, ["scope", "name"]).select("scope", F.col("parent").alias("name")).distinct()
-        delta = _cut(step.join(seen, ["scope", "name"], "left_anti"))
+        delta = scratch.keep(step.join(seen, ["scope", "name"], "left_anti"))
         seen = seen.union(delta)
     return seen
 
 
-def dependency_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
-    """(scope, root, name, depth, path): the shortest path from each root to each target it reaches, of several the least.
+def _paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
+    """(scope, root, name, k, depth, path): as `dependency_paths`, for paths of several classes in one loop.
 
-    edges: (scope, parent, child), cycles allowed; roots, targets: (scope, name); scope is a lock file or project. path holds the
-    names from the root on; a root that is a target has depth 0. Nulls join with nothing; an empty table gives an empty result.
+    edges have k, and a path has the largest of its edges'. For each k there is the shortest path of that class, unless one of
+    a lower class is shorter; so what holds for the edges up to a class is found without a loop of its own.
     """
-    edges = edges.select("scope", "parent", "child").dropna().distinct()
-    useful = _cut(leading_to(edges, targets))
-    on = _cut(edges.join(useful.withColumnRenamed("name", "child"), ["scope", "child"], "left_semi"))
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges.dropna(subset=["scope", "parent", "child"]).groupBy("scope", "parent", "child").agg(F.min("k").alias("k")))
+    targets = targets.select("scope", "name").dropna().distinct()
+    useful = leading_to(edges, targets)
+    on = scratch.keep(edges.join(useful.withColumnRenamed("name", "child"), ["scope", "child"], "left_semi").select("scope", F.col("parent").alias("name"), "child", F.col("k").alias("own")))
     start = roots.select("scope", "name").dropna().distinct().join(useful, ["scope", "name"], "left_semi")
-    front = _cut(start.select("scope", F.col("name").alias("root"), "name", F.lit(0).alias("depth"), F.array("name").alias("path")))
+    front = scratch.keep(start.select("scope", F.col("name").alias("root"), "name", F.lit(0).alias("k"), F.lit(0).alias("depth"), F.array("name").alias("path")))
     seen, key = front, ["scope", "root", "name"]
     while not front.isEmpty():
-        step = front.join(on.withColumnRenamed("parent", "name"), ["scope", "name"]).select("scope", "root", F.col("child").alias("name"), F.concat("path", F.array("child")).alias("path"))
-        best = step.groupBy(*key).agg(F.min("path").alias("path")).withColumn("depth", F.size("path") - 1)
-        front = _cut(best.join(seen, key, "left_anti").select("scope", "root", "name", "depth", "path"))
+        step = front.join(on, ["scope", "name"]).select("scope", "root", F.col("child").alias("name"), F.greatest("k", "own").alias("k"), F.concat("path", F.array("child")).alias("path"))
+        earlier = seen.groupBy(*key).agg(F.min("k").alias("least"))
+        new = step.join(earlier, key, "left").where("least IS NULL OR least > k")
+        best = new.groupBy(*key, "k").agg(F.min("path").alias("path"))
+        front = scratch.keep(best.select(*key, "k", (F.size("path") - 1).alias("depth"), "path"))
         seen = seen.unionByName(front)
-    return seen.join(targets.select("scope", "name").dropna().distinct(), ["scope", "name"], "left_semi").select("scope", "root", "name", "depth", "path")
+    return seen.join(targets, ["scope", "name"], "left_semi").select("scope", "root", "name", "k", "depth", "path")
+
+
+def dependency_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
+    """(scope, root, name, depth, path): the shortest path from each root to each target it reaches, of several the least.
+
+    edges: (scope, parent, child), cycles allowed; roots, targets: (scope, name); scope is a lock file or project. path holds the
+    names from the root on; a root that is a target has depth 0. Nulls join with nothing; an empty table gives an empty result.
+    """
+    return _paths(edges.select("scope", "parent", "child", F.lit(0).alias("k")), roots, targets).drop("k")
 
 
 def vex(affected: Column, shipped: Column) -> Column:
@@ -59,11 +73,11 @@ def vex_statements(packages: DataFrame, edges: DataFrame, roots: DataFrame) -> D
     of the shortest shipped path, else of the shortest of all (then the least root); null for a package no root reaches.
     """
     told = packages.groupBy("scope", "name").agg(F.max("affected").alias("yes"), F.count("*").alias("n"), F.count("affected").alias("known"))
-    asked = _cut(told.select("scope", "name", F.when(F.col("yes"), True).when(F.col("known") == F.col("n"), False).alias("affected")).where("affected IS NULL OR affected"))
-    sure = dependency_paths(edges.where(F.col("dev") == F.lit(False)), roots, asked)
-    maybe = dependency_paths(edges.where(F.coalesce(F.col("dev"), F.lit(False)) == F.lit(False)), roots, asked)
-    every = dependency_paths(edges, roots, asked)
-    kinds = sure.withColumn("k", F.lit(0)).unionByName(maybe.withColumn("k", F.lit(1))).unionByName(every.withColumn("k", F.lit(2)))
+    asked = Scratch(packages.sparkSession).keep(
+        told.select("scope", "name", F.when(F.col("yes"), True).when(F.col("known") == F.col("n"), False).alias("affected")).where("affected IS NULL OR affected")
+    )
+    kind = F.when(~F.col("dev"), 0).when(F.col("dev"), 2).otherwise(1)
+    kinds = _paths(edges.select("scope", "parent", "child", kind.alias("k")), roots, asked)
     best = kinds.groupBy("scope", "name").agg(F.min(F.struct("k", "depth", "root", "path")).alias("b"))
     shipped = F.when(F.col("b.k") == 0, True).when(F.coalesce(F.col("b.k"), F.lit(2)) == 2, False)
     return asked.join(best, ["scope", "name"], "left").select("scope", "name", "b.root", "b.depth", "b.path", vex(F.col("affected"), shipped).alias("status"))

@@ -92,3 +92,33 @@ def test_fragments_equal_all_substrings(spark):
             want, at = want + text[at:a] + fragments.MASK, b
         assert out[path] == (None if text is None else want + text[at:])
     assert len(got) > 10
+
+
+def test_statements_of_all_classes_come_from_one_search(spark, monkeypatch):
+    """Random graphs with edges of every kind; three searches over the edges took three times the disk of one."""
+    calls, plain = [], reachability.leading_to
+    monkeypatch.setattr(reachability, "leading_to", lambda *a: calls.append(1) or plain(*a))
+    rng = random.Random(5)
+    edges = [(s, rng.randrange(8), rng.randrange(8), rng.choice([True, False, None])) for s in range(25) for _ in range(14)]
+    edges += [e for e in edges if rng.random() < 0.1] + [(s, a, b, True) for s, a, b, _ in edges[:20]]
+    roots, packages = [(s, r) for s in range(25) for r in (0, 1)], [(s, n, rng.choice([True, None])) for s in range(25) for n in range(8)]
+    want = {}
+    for s, name, _ in packages:
+        for k, kinds in enumerate([(False,), (False, None), (False, None, True)]):
+            front, seen, best = {r: [r] for x, r in roots if x == s}, set(), []
+            for root in front:
+                at, seen = {root: [root]}, {root}
+                while at and name not in at:
+                    step = {}
+                    for n, path in at.items():
+                        for c in {c for x, p, c, d in edges if x == s and p == n and d in kinds} - seen:
+                            step[c] = min(step.get(c, path + [c]), path + [c])
+                    at, seen = step, seen | set(step)
+                best += [(len(at[name]) - 1, root, at[name])] if name in at else []
+            if best:
+                want[s, name] = min(best)
+                break
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = reachability.vex_statements(frame(packages, "scope long, name long, affected boolean"), frame(edges, "scope long, parent long, child long, dev boolean"), frame(roots, "scope long, name long")).collect()
+    assert {(r.scope, r.name): (r.depth, r.root, list(r.path)) for r in rows if r.root is not None} == want
+    assert len(rows) == len(packages) and len(calls) == 1
