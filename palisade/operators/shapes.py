@@ -55,19 +55,20 @@ def _type(v: Column) -> Column:
 
 
 def flatten(documents: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """(id, path, place, parent, type, value) for every node of every document.
+    """(id, path, place, parent, type, value, fields) for every node of every document.
 
-    path has [*] for items of arrays, place their numbers from 0; parent is the place above; value is a scalar as a string. A null
-    or unreadable document is one row of type invalid.
+    path has [*] for items of arrays, place their numbers from 0; parent is the place above; value is a scalar as a string; fields
+    are the names of an object's fields that aren't null. A null or unreadable document is one row of type invalid.
     """
     read = documents.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(json_col)).alias("v"))
+    filled = F.map_keys(F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda _, x: ~F.is_variant_null(x)))
     node = lambda df: df.withColumn("type", _type(F.col("v"))).withColumn(
         "value", F.when(F.col("type").isin("object", "array", "null"), None).otherwise(F.try_variant_get("v", "$", "string"))
-    )
-    fields = ["id", "path", "place", "parent", "type", "value"]
+    ).withColumn("fields", F.when(F.col("type") == "object", filled))
+    fields = ["id", "path", "place", "parent", "type", "value", "fields"]
     whole = read.withColumns({"path": F.lit("$"), "place": F.lit("$"), "parent": F.lit(None).cast("string")})
     level = node(whole.where("v IS NOT NULL"))
-    out = whole.where("v IS NULL").withColumns({"type": F.lit("invalid"), "value": F.lit(None).cast("string")}).select(*fields).unionByName(level.select(*fields))
+    out = whole.where("v IS NULL").withColumns({"type": F.lit("invalid"), "value": F.lit(None).cast("string"), "fields": F.lit(None).cast("array<string>")}).select(*fields).unionByName(level.select(*fields))
     while True:
         open_ = level.where(F.col("type").isin("object", "array")).select("id", "path", "place", "v")
         child = open_.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("v").outer())).withColumnRenamed("value", "item")
@@ -86,7 +87,7 @@ def problems(flat: DataFrame, expected: DataFrame) -> DataFrame:
 
     A null counts as missing where a field is required, and as nothing where it isn't. Unknown fields are no problem.
     """
-    got = flat.join(expected.withColumnRenamed("type", "wanted"), "path")
+    got = flat.join(F.broadcast(expected.withColumnRenamed("type", "wanted")), "path")
     fits = (F.col("type") == F.col("wanted")) | ((F.col("type") == "integer") & (F.col("wanted") == "number"))
     number = F.col("value").try_cast("double")
     wrong = (
@@ -97,7 +98,8 @@ def problems(flat: DataFrame, expected: DataFrame) -> DataFrame:
     # a required field below each parent that is there
     name = F.regexp_extract("path", r"\.([^.\[\]]+)$", 1)
     asked = expected.where("required").select("code", name.alias("field"), F.regexp_replace("path", r"\.[^.\[\]]+$", "").alias("path"))
-    wanted = flat.where("type = 'object'").join(asked, "path").select("id", "code", F.concat("place", F.lit("."), "field").alias("place"))
-    missing = wanted.join(flat.where("type <> 'null'").select("id", "place"), ["id", "place"], "left_anti").withColumn("problem", F.lit("missing"))
+    # an object knows its own fields, so nodes needn't be brought together with their parents
+    wanted = flat.where("type = 'object'").join(F.broadcast(asked), "path").where(~F.array_contains("fields", F.col("field")))
+    missing = wanted.select("id", "code", F.concat("place", F.lit("."), "field").alias("place"), F.lit("missing").alias("problem"))
     broken = flat.where("type = 'invalid'").select("id", F.lit("document").alias("code"), "place", F.lit("unreadable").alias("problem"))
-    return seen.unionByName(missing.select("id", "code", "place", "problem")).unionByName(broken)
+    return seen.unionByName(missing).unionByName(broken)

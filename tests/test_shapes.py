@@ -69,3 +69,12 @@ def test_edges(spark):
     spec = [shapes.expect("$", "object", "doc"), shapes.expect("$.a", "object", "a", True), shapes.expect("$.a.a.a[*][*]", "integer", "deep")]
     assert found(spark, rows, spec) == {(1, "document", "$", "unreadable"), (2, "document", "$", "unreadable"), (3, "doc", "$", "type"), (5, "a", "$.a", "missing"), (6, "deep", "$.a.a.a[0][1]", "type")}
     assert found(spark, [], spec) == set()
+
+
+def test_missing_fields_are_told_without_a_shuffle(spark):
+    """Each node was brought together with its parent by a shuffle of all nodes."""
+    df = spark.createDataFrame([(1, '{"a": {"b": null, "c": 1}, "d": [{"b": 2}, {}]}')], "key long, body string")
+    spec = [shapes.expect("$.a.b", "integer", "b", True), shapes.expect("$.a.c", "integer", "c", True), shapes.expect("$.d[*].b", "integer", "e", True)]
+    got = shapes.problems(shapes.flatten(df, "key", "body"), shapes.spec(spark, spec))
+    assert {(r.id, r.code, r.place, r.problem) for r in got.collect()} == {(1, "b", "$.a.b", "missing"), (1, "e", "$.d[1].b", "missing")}
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
