@@ -1,15 +1,69 @@
 """Data flow as relations: definitions that reach uses through loops, and values that pass functions on their way to a sink.
 
-Both are fixpoints over edge tables in which a round joins only what the round before found, and is checkpointed. Straight
-runs of nodes become blocks first, by doubling jumps, so rounds follow the branches of a unit and not its length.
+Units of a few rows, as most functions are, are one row each and solved many at a time, after one shuffle. Larger ones are
+fixpoints over edge tables in which a round joins only what the round before found, and is checkpointed. Straight runs of
+their nodes become blocks first, by doubling jumps, so rounds follow the branches of a unit and not its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from palisade.operators.graphs import _cut
 from palisade.operators.runs import blocks
+from palisade.operators.scratch import Scratch
+from palisade.sources.package import ship
+
+#: Steps, definitions and uses of a unit that is solved as one row, at most; its definitions are the bits of a word.
+SMALL, BITS = 256, 64
+
+
+def _codes(*columns) -> np.ndarray:
+    """Whole numbers that are equal where all columns are; of the size of the columns."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        each = c if isinstance(c, np.ndarray) else c.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+        out = np.unique(out * (int(each.max(initial=0)) + 1) + each, return_inverse=True)[1].astype(np.int64)
+    return out
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, node, var, def) of rows (unit, rows): the sets of definitions at all nodes of a batch's units, as words of bits."""
+    for batch in batches:
+        rows = batch.column("rows")
+        unit = rows.value_parent_indices().to_numpy().astype(np.int64)
+        kind, a, b, var, sure = (rows.flatten().field(k) for k in ("kind", "a", "b", "var", "sure"))
+        kind, sure = kind.to_numpy(zero_copy_only=False), sure.to_numpy(zero_copy_only=False).astype(bool)
+        step, made, used = (np.flatnonzero(kind == k) for k in range(3))
+        ends = pa.concat_arrays([a, b.take(pa.array(step))])
+        node = _codes(np.concatenate([unit, unit[step]]), ends)
+        src, dst = node[step], node[len(unit):]
+        name = _codes(unit, var)
+        # each definition once, in the order of units; its bit counts from its unit's first
+        _, first, again = np.unique(np.stack([unit[made], node[made], name[made]]), axis=1, return_index=True, return_inverse=True)
+        one, certain = made[first], np.zeros(len(first), bool)
+        np.logical_or.at(certain, again.reshape(-1), sure[made])
+        begin = np.searchsorted(unit[one], np.arange(len(rows)))
+        bit = np.uint64(1) << (np.arange(len(one)) - begin[unit[one]]).astype(np.uint64)
+        gen, kill, kept = np.zeros(node.max(initial=0) + 1, np.uint64), np.zeros(node.max(initial=0) + 1, np.uint64), np.zeros(name.max(initial=0) + 1, np.uint64)
+        np.bitwise_or.at(gen, node[one], bit)
+        np.bitwise_or.at(kept, name[one], bit)
+        np.bitwise_or.at(kill, node[one][certain], kept[name[one][certain]])
+        at, was = np.zeros_like(gen), None
+        while was is None or (at != was).any():
+            was = at.copy()
+            np.bitwise_or.at(at, dst, (gen | (was & ~kill))[src])
+        used = used[np.unique(np.stack([node[used], name[used]]), axis=1, return_index=True)[1]]
+        word = at[node[used]] & kept[name[used]]
+        hits = [(k, np.flatnonzero(word >> np.uint64(k) & np.uint64(1))) for k in range(BITS)]
+        use = np.concatenate([used[i] for _, i in hits])
+        of = np.concatenate([one[begin[unit[used[i]]] + k] for k, i in hits])
+        yield pa.RecordBatch.from_arrays([batch.column("unit").take(pa.array(unit[use])), a.take(pa.array(use)), var.take(pa.array(use)), a.take(pa.array(of))], ["unit", "node", "var", "def"])
 
 
 def reaching_definitions(steps: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
@@ -19,9 +73,29 @@ def reaching_definitions(steps: DataFrame, defs: DataFrame, uses: DataFrame) ->
     it and another (of a part, or on a condition) leaves them; uses: (unit, node, var). A use comes before a definition of the
     same node. Nulls in any column join with nothing; repeated rows change nothing (of a definition, sure counts).
     """
-    steps = steps.select("unit", "src", "dst").dropna().distinct()
-    defs = defs.dropna(subset=["unit", "node", "var"]).groupBy("unit", "node", "var").agg(F.max(F.coalesce("sure", F.lit(False))).alias("sure"))
-    uses = uses.select("unit", "node", "var").dropna().distinct()
+    steps, uses = steps.select("unit", "src", "dst").dropna(), uses.select("unit", "node", "var").dropna()
+    defs = defs.select("unit", "node", "var", F.coalesce("sure", F.lit(False)).alias("sure")).dropna()
+    row = lambda df, kind, a, b, var, sure: df.select("unit", F.lit(kind).cast("byte").alias("kind"), F.col(a).alias("a"), b.alias("b"), var.alias("var"), sure.alias("sure"))
+    null, no = F.lit(None), F.lit(False)
+    rows = row(steps, 0, "src", F.col("dst"), null, no).union(row(defs, 1, "node", null, F.col("var"), F.col("sure"))).union(row(uses, 2, "node", null, F.col("var"), no))
+    rows = Scratch(steps.sparkSession).keep(rows)
+    many = _cut(rows.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == 1).alias("d")).where((F.col("n") > SMALL) | (F.col("d") > BITS)).select("unit"))
+    some = not many.isEmpty()
+    few = rows.join(many, "unit", "left_anti") if some else rows
+    packed = few.groupBy("unit").agg(F.collect_list(F.struct("kind", "a", "b", "var", "sure")).alias("rows"))
+    ship(steps.sparkSession)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    found = packed.mapInArrow(_solved, StructType([StructField(n, kinds[k]) for n, k in (("unit", "unit"), ("node", "a"), ("var", "var"), ("def", "a"))]))
+    if not some:
+        return found
+    return found.union(_by_blocks(*(t.join(many, "unit", "left_semi") for t in (steps, defs, uses))))
+
+
+def _by_blocks(steps: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
+    """The same for units of any size, without nulls: runs of nodes as blocks, then deltas over the edges of blocks."""
+    steps = steps.select("unit", "src", "dst").distinct()
+    defs = defs.groupBy("unit", "node", "var").agg(F.max("sure").alias("sure"))
+    uses = uses.distinct()
     ends = steps.select("unit", F.col("src").alias("node")).union(steps.select("unit", F.col("dst").alias("node")))
     nodes = _cut(ends.union(defs.select("unit", "node")).union(uses.select("unit", "node")).distinct())
     at = _cut(blocks(steps, nodes))

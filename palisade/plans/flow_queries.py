@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from palisade.operators import flow
+from palisade.operators.scratch import Scratch
 from palisade.plans.registry import query
 
 _STEPS = """n AS (
@@ -15,14 +16,15 @@ _STEPS = """n AS (
 )"""
 
 
-def _steps(tables):
-    """The steps of each order, with the next ones and the first."""
-    n = tables("lineitem").groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("slot")).agg(
+def _steps(tables, *columns):
+    """The steps of each order, with the next ones and the first; shuffled once and written, as many inputs are made of them."""
+    n = tables("lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("slot")).agg(
         F.min("l_suppkey").alias("supp"), F.min("l_partkey").alias("part"), F.max("l_discount").alias("disc"), F.min("l_returnflag").alias("flag"),
         F.min("l_linestatus").alias("status"), F.max("l_quantity").alias("qty"),
     )
     w = Window.partitionBy("fn").orderBy("slot")
-    return n.withColumns({"nx": F.lead("slot").over(w), "nx2": F.lead("slot", 2).over(w), "fst": F.first("slot").over(w)})
+    o = n.withColumns({"nx": F.lead("slot").over(w), "nx2": F.lead("slot", 2).over(w), "fst": F.first("slot").over(w)})
+    return Scratch(n.sparkSession).keep(o.select("fn", "slot", *columns))
 
 
 @query(
@@ -39,7 +41,7 @@ SELECT n.fn AS l_orderkey, n.slot AS l_linenumber, r.var, r.def FROM n JOIN r ON
 )
 def reaching_order_lines(spark, tables):
     """Order lines as a flow graph: flag R also skips a line, flag A goes back to the first; suppliers define, parts use."""
-    o = _steps(tables)
+    o = _steps(tables, "supp", "part", "disc", "flag", "nx", "nx2", "fst")
     edge = lambda to, when: o.where(when).select(F.col("fn").alias("unit"), F.col("slot").alias("src"), F.col(to).alias("dst"))
     steps = edge("nx", "nx IS NOT NULL").union(edge("nx2", "flag = 'R' AND nx2 IS NOT NULL")).union(edge("fst", "flag = 'A'"))
     at = lambda var: (F.col("fn").alias("unit"), F.col("slot").alias("node"), (F.col(var) % 3).alias("var"))
@@ -75,7 +77,7 @@ SELECT sf AS source_fn, ss AS source, fn AS sink_fn, slot AS sink, CAST(len(path
 )
 def sink_hits_over_orders(spark, tables):
     """Orders as functions: lines hand their value on unless returned; open lines call the order with their part's number."""
-    o = _steps(tables)
+    o = _steps(tables, "part", "disc", "flag", "status", "qty", "nx", "fst")
     first = o.where("slot = fst").select(F.col("fn").alias("callee"))
     calls = o.where("status = 'O'").withColumnRenamed("part", "callee").join(first, "callee").withColumn("site", F.struct("fn", "slot"))
     found = flow.sink_hits(

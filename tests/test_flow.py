@@ -76,6 +76,30 @@ def test_rounds_follow_branches_not_length(spark, monkeypatch):
     assert len(counts) < 30
 
 
+def test_small_units_are_solved_after_one_shuffle(spark, monkeypatch):
+    """Units of a few rows need one table and no rounds; the plainer path for large ones finds the same."""
+    rng = random.Random(11)
+    steps, defs, uses = ([r for p in parts for r in p] for parts in zip(*(graph(rng, u, rng.randint(1, 14)) for u in range(40))))
+    tables, shuffles = [], []
+    keep, cut = scratch.Scratch.keep, flow._cut
+    monkeypatch.setattr(scratch.Scratch, "keep", lambda *a, **b: tables.append(1) or keep(*a, **b))
+    monkeypatch.setattr(flow, "_cut", lambda df: shuffles.append(1) or cut(df))
+    want = worklist(steps, defs, uses)
+    assert reached(spark, steps, defs, uses) == want and len(want) > 100
+    assert (len(tables), len(shuffles)) == (1, 1)
+    for small, bits in ((0, 64), (12, 64), (256, 3)):
+        monkeypatch.setattr(flow, "SMALL", small)
+        monkeypatch.setattr(flow, "BITS", bits)
+        assert reached(spark, steps, defs, uses) == want
+
+
+def test_all_bits_of_a_word(spark):
+    """64 definitions of one variable fill a word; one more makes the unit a large one."""
+    for n in (64, 65):
+        steps, defs = [(1, i, i + 1) for i in range(n)], [(1, i, "x", False) for i in range(n)]
+        assert reached(spark, steps, defs, [(1, n, "x")]) == {(1, n, "x", i) for i in range(n)}
+
+
 def walked(program, limit):
     """All hits by a search over (function, slot, path of functions entered, open calls that will return)."""
     flows, params, returns, args, results, sources, sinks = program
