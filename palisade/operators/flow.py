@@ -126,38 +126,45 @@ def _by_blocks(steps: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
 # --- values through functions --------------------------------------------------------------------------------------
 
 
-def _closed(seen: DataFrame, delta: DataFrame, edges: DataFrame) -> DataFrame:
-    """seen and all that follows from delta along the edges (fn, x, y): rows (fn, a, b)."""
-    while not delta.isEmpty():
-        seen = seen.union(delta)
-        step = delta.join(edges, (F.col("b") == F.col("x")) & (delta["fn"] == edges["fn"])).select(delta["fn"], "a", F.col("y").alias("b")).distinct()
-        delta = _cut(step.join(seen, ["fn", "a", "b"], "left_anti"))
-    return seen
+def _inside(origins: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fn, a, b): the wanted slots b that the origins (fn, slot) reach along the edges (fn, x, y), and the origins themselves."""
+    steps = edges.select(F.col("fn").alias("unit"), F.col("x").alias("src"), F.col("y").alias("dst"))
+    every = F.lit(0).alias("var")
+    at = origins.select(F.col("fn").alias("unit"), F.col("slot").alias("node"), every)
+    ends = wanted.select(F.col("fn").alias("unit"), F.col("slot").alias("node"), every)
+    met = reaching_definitions(steps, at.withColumn("sure", F.lit(False)), ends).where("node <> def")
+    return met.select(F.col("unit").alias("fn"), F.col("def").alias("a"), F.col("node").alias("b")).union(origins.select("fn", F.col("slot").alias("a"), F.col("slot").alias("b")))
 
 
-def passes(flows: DataFrame, params: DataFrame, returns: DataFrame, args: DataFrame, results: DataFrame, sources: DataFrame, limit: int = 4) -> DataFrame:
+def passes(flows: DataFrame, params: DataFrame, returns: DataFrame, args: DataFrame, results: DataFrame, sources: DataFrame, sinks: DataFrame, limit: int = 4) -> DataFrame:
     """(fn, a, b): the slots b of a function that get a value of slot a, for parameters, sources and results of calls.
 
+    Of the slots b, a itself, returns, arguments and sinks are told, as values are asked for at no others.
+
     Calls inside count by their summary: a callee that passes a parameter to its return links the argument to the result.
-    Each level adds the links of summaries that the level before found, and only these are followed; `limit` levels see
-    calls nested that deep, and recursion ends as soon as a level adds nothing.
+    Each level adds the links of summaries that the level before found, and only functions that get one are solved again;
+    `limit` levels see calls nested that deep, and recursion ends as soon as a level adds nothing.
     """
+    scratch = Scratch(flows.sparkSession)
     slots = [t.select("fn", "slot") for t in (params, sources, results)]
-    origins = slots[0].union(slots[1]).union(slots[2]).dropna().distinct()
-    edges = _cut(flows.select("fn", F.col("src").alias("x"), F.col("dst").alias("y")).dropna().distinct())
-    start = _cut(origins.select("fn", F.col("slot").alias("a"), F.col("slot").alias("b")))
-    found = _cut(_closed(start.limit(0), start, edges))
+    origins = scratch.keep(slots[0].union(slots[1]).union(slots[2]).dropna().distinct())
+    wanted = returns.select("fn", "slot").union(args.select("fn", "slot")).union(sinks.select("fn", "slot"))
+    edges = flows.select("fn", F.col("src").alias("x"), F.col("dst").alias("y")).dropna()
+    found = fresh = scratch.keep(_inside(origins, edges, wanted))
     ends = returns.select("fn", F.col("slot").alias("b")).dropna().distinct()
     enters = params.select("fn", "place", F.col("slot").alias("a")).dropna().distinct()
+    through = fresh.join(ends, ["fn", "b"]).join(enters, ["fn", "a"]).select(F.col("fn").alias("callee"), "place").distinct()
     links = args.select("site", "fn", "callee", "place", F.col("slot").alias("x")).join(results.select("site", F.col("slot").alias("y")), "site")
+    links = scratch.keep(links.select("fn", "callee", "place", "x", "y").dropna().distinct())
     for _ in range(limit):
-        through = found.join(ends, ["fn", "b"]).join(enters, ["fn", "a"]).select(F.col("fn").alias("callee"), "place").distinct()
-        new = _cut(links.join(through, ["callee", "place"]).select("fn", "x", "y").distinct().join(edges, ["fn", "x", "y"], "left_anti"))
+        new = scratch.keep(links.join(through, ["callee", "place"]).select("fn", "x", "y").distinct().join(edges, ["fn", "x", "y"], "left_anti"))
         if new.isEmpty():
             break
-        edges = _cut(edges.union(new))
-        step = found.join(new, (F.col("b") == F.col("x")) & (found["fn"] == new["fn"])).select(found["fn"], "a", F.col("y").alias("b")).distinct()
-        found = _cut(_closed(found, _cut(step.join(found, ["fn", "a", "b"], "left_anti")), edges))
+        edges, again = edges.union(new), new.select("fn").distinct()
+        own = lambda t: t.join(again, "fn", "left_semi")
+        fresh = scratch.keep(_inside(own(origins), own(edges), own(wanted)).join(own(found), ["fn", "a", "b"], "left_anti"))
+        found = found.union(fresh)
+        through = fresh.join(ends, ["fn", "b"]).join(enters, ["fn", "a"]).select(F.col("fn").alias("callee"), "place").distinct()
     return found
 
 
@@ -171,7 +178,7 @@ def sink_hits(
     that return before that count by their summary. depth is the number of functions entered so, at most `limit`; path names
     them from the source's on; of several ways the one with the least depth, then the least path. Nulls join with nothing.
     """
-    inside = passes(flows, params, returns, args, results, sources, limit)
+    inside = passes(flows, params, returns, args, results, sources, sinks, limit)
     reach = inside.select("fn", F.col("a").alias("slot"), F.col("b"))
     up = reach.join(returns.select("fn", F.col("slot").alias("b")).distinct(), ["fn", "b"]).join(
         results.select(F.col("callee").alias("fn"), F.col("fn").alias("to"), F.col("slot").alias("at")), "fn"

@@ -16,15 +16,11 @@ _STEPS = """n AS (
 )"""
 
 
-def _steps(tables, *columns):
-    """The steps of each order, with the next ones and the first; shuffled once and written, as many inputs are made of them."""
-    n = tables("lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("slot")).agg(
-        F.min("l_suppkey").alias("supp"), F.min("l_partkey").alias("part"), F.max("l_discount").alias("disc"), F.min("l_returnflag").alias("flag"),
-        F.min("l_linestatus").alias("status"), F.max("l_quantity").alias("qty"),
-    )
+def _steps(lines, **columns):
+    """The steps of each order with these columns, the next steps and the first; shuffled once and written, as many inputs are made of them."""
+    n = lines.repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("slot")).agg(*(c.alias(k) for k, c in columns.items()))
     w = Window.partitionBy("fn").orderBy("slot")
-    o = n.withColumns({"nx": F.lead("slot").over(w), "nx2": F.lead("slot", 2).over(w), "fst": F.first("slot").over(w)})
-    return Scratch(n.sparkSession).keep(o.select("fn", "slot", *columns))
+    return Scratch(n.sparkSession).keep(n.withColumns({"nx": F.lead("slot").over(w), "nx2": F.lead("slot", 2).over(w), "fst": F.first("slot").over(w)}))
 
 
 @query(
@@ -41,11 +37,11 @@ SELECT n.fn AS l_orderkey, n.slot AS l_linenumber, r.var, r.def FROM n JOIN r ON
 )
 def reaching_order_lines(spark, tables):
     """Order lines as a flow graph: flag R also skips a line, flag A goes back to the first; suppliers define, parts use."""
-    o = _steps(tables, "supp", "part", "disc", "flag", "nx", "nx2", "fst")
+    o = _steps(tables("lineitem"), supp=F.min("l_suppkey"), part=F.min("l_partkey"), sure=F.max("l_discount") <= 0.05, flag=F.min("l_returnflag"))
     edge = lambda to, when: o.where(when).select(F.col("fn").alias("unit"), F.col("slot").alias("src"), F.col(to).alias("dst"))
     steps = edge("nx", "nx IS NOT NULL").union(edge("nx2", "flag = 'R' AND nx2 IS NOT NULL")).union(edge("fst", "flag = 'A'"))
     at = lambda var: (F.col("fn").alias("unit"), F.col("slot").alias("node"), (F.col(var) % 3).alias("var"))
-    found = flow.reaching_definitions(steps, o.select(*at("supp"), (F.col("disc") <= 0.05).alias("sure")), o.select(*at("part")))
+    found = flow.reaching_definitions(steps, o.select(*at("supp"), "sure"), o.select(*at("part")))
     return found.select(F.col("unit").alias("l_orderkey"), F.col("node").alias("l_linenumber"), "var", "def")
 
 
@@ -77,15 +73,20 @@ SELECT sf AS source_fn, ss AS source, fn AS sink_fn, slot AS sink, CAST(len(path
 )
 def sink_hits_over_orders(spark, tables):
     """Orders as functions: lines hand their value on unless returned; open lines call the order with their part's number."""
-    o = _steps(tables, "part", "disc", "flag", "status", "qty", "nx", "fst")
+    # source and sink are the same of the greatest value as of any, so the values themselves aren't moved
+    lines = tables("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", (F.col("l_discount") >= 0.1).alias("source"), (F.col("l_quantity") > 45).alias("sink"))
+    o = _steps(
+        lines, part=F.min("l_partkey"), flag=F.min("l_returnflag"), status=F.min("l_linestatus"), source=F.bool_or("source"), sink=F.bool_or("sink"),
+    )
     first = o.where("slot = fst").select(F.col("fn").alias("callee"))
-    calls = o.where("status = 'O'").withColumnRenamed("part", "callee").join(first, "callee").withColumn("site", F.struct("fn", "slot"))
+    calls = o.where("status = 'O'").withColumnRenamed("part", "callee").select("fn", "slot", "nx", "callee").join(first, "callee").withColumn("site", F.struct("fn", "slot"))
+    calls = Scratch(spark).keep(calls)
     found = flow.sink_hits(
         flows=o.where("flag <> 'R' AND nx IS NOT NULL").select("fn", F.col("slot").alias("src"), F.col("nx").alias("dst")),
         params=o.where("slot = fst").select("fn", F.lit(0).alias("place"), "slot"),
         returns=o.where("nx IS NULL").select("fn", "slot"),
         args=calls.select("site", "fn", "callee", F.lit(0).alias("place"), "slot"),
         results=calls.where("nx IS NOT NULL").select("site", "fn", "callee", F.col("nx").alias("slot")),
-        sources=o.where("disc >= 0.1").select("fn", "slot"), sinks=o.where("qty > 45").select("fn", "slot"), limit=3,
+        sources=o.where("source").select("fn", "slot"), sinks=o.where("sink").select("fn", "slot"), limit=3,
     )
     return found.withColumn("path", F.array_join("path", ">"))

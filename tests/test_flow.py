@@ -180,3 +180,14 @@ def test_hits_edges(spark):
     # a source that is the sink; a value returned by a callee; a callee that passes its argument on; nulls
     made = [[(2, 0, 9), (None, 1, 2)], [(2, 0, 0), (3, None, 0)], [(2, 9), (5, 1)], [(7, 1, 2, 0, 4)], [(7, 1, 2, 6), (8, 1, 5, 3)], [(1, 4), (5, 1), (5, None)], [(1, 6), (1, 4), (1, 3), (2, 9)]]
     assert hits(spark, made, 2) == {(1, 4, 1, 4, 0, (1,)), (1, 4, 1, 6, 0, (1,)), (1, 4, 2, 9, 1, (1, 2)), (5, 1, 1, 3, 1, (5, 1))}
+
+
+def test_a_long_function_takes_no_rounds(spark, monkeypatch):
+    """A value that passes 40 slots inside a function costs as many intermediate tables as one that passes none."""
+    cuts, cut = [], flow._cut
+    monkeypatch.setattr(flow, "_cut", lambda df: cuts.append(1) or cut(df))
+    chain = [(1, i, i + 1) for i in range(40)]
+    # the call of itself is a link that a level adds, so the function is solved again
+    made = (chain, [(1, 0, 0)], [(1, 40)], [(7, 1, 1, 0, 20)], [(7, 1, 1, 20)], [(1, 0)], [(1, 40)])
+    assert hits(spark, made, 1) == walked(made, 1) == {(1, 0, 1, 40, 0, (1,))}
+    assert len(cuts) <= 8
