@@ -69,3 +69,16 @@ def test_rules_fire_on_the_lines_of_their_own_files(spark):
     found = by_line.unionByName(syntax.python_findings(files).select("path", "rule_id", "line")).distinct()
     got = found.join(corpus.selectExpr("path", "wanted AS rule_id"), ["path", "rule_id"])
     assert {(r.rule_id, r.path, r.line) for r in got.collect()} == {(rule, path, line) for rule, path, _, lines in cases() for line in lines}
+
+
+def test_needed_strings_are_in_every_hit(spark):
+    """A line that a rule hits holds one of the strings looked for first, and a pattern that isn't understood names none."""
+    assert fd.needed(r"(?i)api_?key\s*=|PASSW(?:or)?d") == ("api_key", "apikey", "passwd", "password")
+    assert fd.needed(r"\b(?:x(?:it|test)|go)\(") == ("go(", "xit(", "xtest(")
+    assert fd.needed(r"a|b*") == fd.needed(r"[a[bc]]") == fd.needed(r"\x{202A}") == fd.needed(r"a|(?i)b") == fd.needed("(?iu)k") == ()
+    assert fd.needed(r"(?:ab)?c+dd") == ("dd",) and fd.needed(r"(ab){2,}z|q") == ("ab", "q")
+    # most rules are told by strings, so prose meets hardly any pattern
+    assert sum(not fd.needed(r.pattern) for r in rules.LINE_RULES) <= 3
+    lines = spark.createDataFrame([("a.x", 1, "API_KEY = 1"), ("a.x", 2, "PassWord"), ("a.x", 3, "nothing")], "path string, line int, text string")
+    one = [fd.LineRule("R", "LOW", r"(?i)api_?key\s*=|PASSW(?:or)?d")]
+    assert sorted(r.line for r in fd.scan(lines, one).collect()) == [1, 2]
