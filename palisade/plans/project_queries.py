@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from palisade.operators import fragments, lines, reachability, resolve, snapshots
 from palisade.operators.graphs import _cut
+from palisade.operators.scratch import Scratch
 from palisade.plans.registry import query
 
 
@@ -40,13 +41,14 @@ SELECT path, callee, argc, CASE WHEN state = 'found' THEN target END AS target,
 def resolved_part_calls(spark, tables):
     """Parts as files below brand and type; each order line imports its supplier's part by one to three parts of the name and calls it."""
     p = _part_paths(tables)
-    read = tables("lineitem").select("l_partkey", "l_suppkey", (1 + F.col("l_linenumber") % 3).alias("k"), (F.col("l_quantity").cast("int") % 3).alias("argc")).distinct()
-    a, b = p.select(F.col("p_partkey").alias("l_partkey"), "path"), p.select(F.col("p_partkey").alias("l_suppkey"), F.col("path").alias("other"))
-    dotted = F.split(F.regexp_replace("other", r"\.py$", ""), "/")
+    read = tables("lineitem").select("l_partkey", "l_suppkey", (1 + F.col("l_linenumber") % 3).alias("k"), (F.col("l_quantity").cast("int") % 3).alias("argc"))
+    a, b = p.select(F.col("p_partkey").alias("l_partkey"), "path"), p.select(F.col("p_partkey").alias("l_suppkey"), F.regexp_replace("path", r"\.py$", "").alias("other"))
+    module = F.replace(F.expr("substring_index(other, '/', -k)"), F.lit("/"), F.lit("."))
     c = read.join(a, "l_partkey").join(b, "l_suppkey").select(
-        "path", F.concat(F.lit("m"), "l_suppkey", F.lit("_"), "k").alias("local"), F.array_join(F.slice(dotted, -F.col("k"), F.col("k")), ".").alias("module"), "argc"
+        "path", F.concat(F.lit("m"), "l_suppkey", F.lit("_"), "k").alias("local"), module.alias("module"), "argc"
     )
-    imports = c.select("path", F.lit(1).alias("line"), "local", "module", F.lit(None).cast("string").alias("member")).distinct()
+    c = Scratch(spark).keep(c)  # read as imports and as calls, which are made distinct there
+    imports = c.select("path", F.lit(1).alias("line"), "local", "module", F.lit(None).cast("string").alias("member"))
     calls = c.select("path", F.concat("local", F.lit(".run")).alias("callee"), "argc")
     return resolve.resolve_calls(calls, imports, p.select("path"), p.select("path", F.lit("run").alias("name"), (F.col("p_size") % 3).alias("argc")))
 

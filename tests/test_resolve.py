@@ -71,6 +71,23 @@ def test_many_files_of_one_name_make_no_pairs(spark):
     assert out == {("p7/main.py", "util"): ("p7/util.py", "found"), ("q/main.py", "util"): (None, "ambiguous"), ("q/main.py", "p9.util"): ("p9/util.py", "found")}
 
 
+def test_calls_of_plain_imports_are_dealt_once(spark):
+    """Binding deals each side out once and makes no row for each part of a name; without dotted imports nothing follows."""
+    calls = spark.createDataFrame([(f"p{i % 7}.py", f"m{i % 5}.a.b.run", i % 2) for i in range(200)], "path string, callee string, argc int")
+    imports = spark.createDataFrame([(f"p{i}.py", 1, f"m{k}", "x.y", None) for i in range(7) for k in range(4)], "path string, line int, local string, module string, member string")
+    began = max([-1, *spark.sparkContext.statusTracker().getJobIdsForGroup("bound")])
+    spark.sparkContext.setJobGroup("bound", "bound")
+    out = resolve.bound(calls, imports)
+    rows = {tuple(r) for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows == {(f"p{i % 7}.py", f"m{i % 5}.a.b.run", i % 2, "x.y.a.b" if i % 5 < 4 else None, "run" if i % 5 < 4 else None) for i in range(200)}
+    assert "Exchange" not in plan and "Generate" not in plan
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("bound") if j > began for s in tracker.getJobInfo(j).stageIds if (info := tracker.getStageInfo(s)) and info.numCompletedTasks}
+    assert len(stages) <= 6  # each side dealt, joined and written, looked at for dotted ones, and read
+
+
 def test_empty_tables(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     calls = spark.createDataFrame([("a.py", "x.f", 1)], "path string, callee string, argc int")
