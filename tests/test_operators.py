@@ -109,6 +109,21 @@ def test_similarity_loses_no_pair_of_a_large_bucket(spark):
     assert got == linked and len(got) > 200
 
 
+def test_rare_shingles_follow_one_order_and_read_a_fifth(spark):
+    """Plain sets are read by a fifth; sets of mostly common shingles whole, with these last and the rest by hash."""
+    rng = random.Random(9)
+    hashes = lambda n: [rng.getrandbits(63) - 2**62 for _ in range(n)]
+    boiler = hashes(400)
+    sets = {i: sorted(hashes(200)) for i in range(40)} | {100 + i: sorted(boiler + hashes(60)) for i in range(40)}
+    df = spark.createDataFrame([(k, s, len(s)) for k, s in sets.items()], "rep long, set array<long>, n int")
+    rare = {r.rep: r for r in similarity._rarest(df, 0.9).collect()}
+    assert {k: (r.n, r.need) for k, r in rare.items()} == {k: (len(s), len(s) - -(-9 * len(s) // 10) + 1) for k, s in sets.items()}
+    common = set(boiler)
+    for k, s in sets.items():
+        own = [h for h in s if h not in common]
+        assert rare[k].rare == (own + [h for h in s if h in common])[: rare[k].need + 1]
+
+
 def test_versions_and_ranges(spark):
     order = ["0.9", "1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.0.1", "1.2", "1.10", "2.0.0-beta.2", "2.0.0"]
     df = spark.createDataFrame([(v,) for v in order], "v string").withColumn("k", packages.version_key(F.col("v")))
