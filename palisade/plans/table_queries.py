@@ -48,8 +48,7 @@ SELECT start, node, min(depth) AS depth FROM r GROUP BY start, node"""
 )
 def reach_depth3(spark, tables):
     """What every supplier reaches in three steps."""
-    e = _edges(tables)
-    return graphs.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
+    return graphs.reach(_edges(tables), depth=3)
 
 
 @query(f"WITH {_NEXT} SELECT src, dst, CAST(src % 4 AS INTEGER) AS src_rank, CAST(dst % 4 AS INTEGER) AS dst_rank, CASE WHEN src % 4 > dst % 4 THEN 'upward' ELSE 'skips' END AS kind FROM e WHERE src % 4 > dst % 4 OR dst % 4 - src % 4 > 1")

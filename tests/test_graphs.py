@@ -98,3 +98,39 @@ def test_reach_gives_a_tile_s_pairs_once(spark):
     full = [(a, b) for a in range(60) for b in range(60)]
     edges = spark.createDataFrame(full, "src long, dst long")
     assert graphs.reach(edges, edges.select(edges.src.alias("node")), 3, 16).where("depth = 1").count() == 3600
+
+
+def test_reach_keeps_bits_not_rows(spark):
+    """What is written on the way is far below a byte for each reached pair, in tiles of any size; each source is a start."""
+    import os
+
+    from palisade.operators.scratch import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{n}") for d, _, names in os.walk(folder) for n in names)
+    n, jumps = 700, (1, 5, 23, 101, 149, 260)
+    steps = {(a, b): 1 for a in range(n) for b in ((a + j) % n for j in jumps)}
+    ways = {a: [b for b in ((a + j) % n for j in jumps)] for a in range(n)}
+    front = list(steps)
+    for d in (2, 3):
+        front = [p for p in {(a, c) for a, b in front for c in ways[b]} if p not in steps]
+        steps |= dict.fromkeys(front, d)
+    edges = spark.createDataFrame([(a, b) for a, out in ways.items() for b in out], "src long, dst long")
+    before = size()
+    out = graphs.reach(edges, edges.select(edges.src.alias("node")).distinct())
+    got = {(r.start, r.node): r.depth for r in out.collect()}
+    assert got == steps and len(got) > 40_000
+    assert size() - before < 2 * len(got)
+    rows = graphs.reach(edges, block=300).collect()
+    assert len(rows) == len(steps) and {(r.start, r.node): r.depth for r in rows} == steps
+
+
+def test_tiles_keep_their_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for block in (3, 64, 100):
+        wide = -(-block // 8)
+        for part in (0, 0.001, 0.03, 0.5, 1):
+            bits = np.packbits(rng.random((8 * wide, 8 * wide)) < part, axis=1, bitorder="little")
+            assert (graphs._bits(graphs._coded(bits), block) == bits).all()
