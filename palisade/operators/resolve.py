@@ -13,6 +13,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palisade.operators.scratch import Scratch
 
 
+#: Rows of a table of functions that every task may hold; more are dealt out like the calls.
+FEW = 100_000
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: written tables are far smaller on disk than in the memory of a driver that
+    would broadcast them, so their files' size says nothing."""
+    return df.hint("merge")
+
+
 def _parts(path: Column) -> Column:
     return F.split(path, "/")
 
@@ -45,9 +55,9 @@ def resolve_modules(asked: DataFrame, files: DataFrame) -> DataFrame:
     each = asked.select("path", "module", F.explode(F.sequence(F.lit(0), F.size(_parts(F.col("path"))))).alias("shared"))
     index = module_index(files).select(F.col("name").alias("module"), "head", F.struct("files", "target").alias("b"))
     # the longest prefix first, as a number alone; what lies below it is looked up once
-    best = each.withColumn("head", head).join(index.drop("b"), ["module", "head"]).groupBy("path", "module").agg(F.max("shared").alias("shared"))
-    met = best.withColumn("head", head).join(index, ["module", "head"]).select("path", "module", "b")
-    out = asked.join(met, ["path", "module"], "left")
+    best = each.withColumn("head", head).join(_large(index.drop("b")), ["module", "head"]).groupBy("path", "module").agg(F.max("shared").alias("shared"))
+    met = best.withColumn("head", head).join(_large(index), ["module", "head"]).select("path", "module", "b")
+    out = asked.join(_large(met), ["path", "module"], "left")
     state = F.when(F.col("b").isNull(), "missing").when(F.col("b.files") > 1, "ambiguous").otherwise("found")
     return out.select("path", "module", F.when(state == "found", F.col("b.target")).alias("target"), state.alias("state"))
 
@@ -86,15 +96,15 @@ def bound(calls: DataFrame, imports: DataFrame) -> DataFrame:
     meant, order, plain = F.struct("module", "member"), F.struct(-F.coalesce("line", F.lit(0)), "module", "member"), F.col("local") == F.col("root")
     firsts = known.groupBy(*same).agg(F.min_by(meant, F.when(plain, order)).alias("i"), F.max(~plain).alias("dotted"))
     dotted = F.coalesce("dotted", F.lit(False)) & F.contains("callee", F.lit("."))
-    met = scratch.keep(dealt.join(firsts, same, "left").select("path", "callee", "argc", *_meant(F.when(F.col("i").isNotNull(), 1), F.col("i")), dotted.alias("dotted")))
+    met = scratch.keep(dealt.join(_large(firsts), same, "left").select("path", "callee", "argc", *_meant(F.when(F.col("i").isNotNull(), 1), F.col("i")), dotted.alias("dotted")))
     again = met.where("dotted").select("path", "callee", "argc")
     if again.isEmpty():
         return met.drop("dotted")
     parts = F.split("callee", r"\.")
     heads = again.select("path", "callee").distinct().select("path", "callee", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("k", "local"))
     last = imports.groupBy("path", "local").agg(F.min_by(meant, order).alias("i"))
-    found = heads.join(last, ["path", "local"]).groupBy("path", "callee").agg(F.max_by(F.struct(F.col("k"), F.col("i")), "k").alias("b"))
-    joined = again.join(found, ["path", "callee"], "left").select("path", "callee", "argc", *_meant(F.col("b.k") + 1, F.col("b.i")))
+    found = heads.join(_large(last), ["path", "local"]).groupBy("path", "callee").agg(F.max_by(F.struct(F.col("k"), F.col("i")), "k").alias("b"))
+    joined = again.join(_large(found), ["path", "callee"], "left").select("path", "callee", "argc", *_meant(F.col("b.k") + 1, F.col("b.i")))
     return met.where("NOT dotted").drop("dotted").unionByName(scratch.keep(joined))
 
 
@@ -107,9 +117,11 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, files: DataFrame, functi
     named = bound(calls, imports)
     modules = resolve_modules(named.where("module IS NOT NULL").select("path", "module"), files)
     own = functions.select(F.col("path").alias("at"), F.col("name").alias("function"), "argc").distinct().withColumn("has", F.lit(True))
+    own = Scratch(calls.sparkSession).keep(own)
+    own = F.broadcast(own) if own.count() <= FEW else _large(own)
     # calls without a target are spread over the files that make them; their state is told before a function is looked at
     keyed = lambda df: df.withColumn("key", F.xxhash64("path", "module"))
-    out = keyed(named).join(keyed(modules), ["key", "path", "module"], "left").withColumn("at", F.coalesce("target", "path")).join(own, ["at", "function", "argc"], "left")
+    out = keyed(named).join(_large(keyed(modules)), ["key", "path", "module"], "left").withColumn("at", F.coalesce("target", "path")).join(own, ["at", "function", "argc"], "left")
     state = F.when(F.col("module").isNull(), "unbound").when(F.col("state") != "found", F.col("state")).when(F.col("has").isNull(), "no_function").otherwise("found")
     hit = state == "found"
     return out.select("path", "callee", "argc", F.when(hit, F.col("target")).alias("target"), F.when(hit, F.col("function")).alias("function"), state.alias("state"))

@@ -44,7 +44,8 @@ def resolved_part_calls(spark, tables):
     read = tables("lineitem").select("l_partkey", "l_suppkey", (1 + F.col("l_linenumber") % 3).alias("k"), (F.col("l_quantity").cast("int") % 3).alias("argc"))
     a, b = p.select(F.col("p_partkey").alias("l_partkey"), "path"), p.select(F.col("p_partkey").alias("l_suppkey"), F.regexp_replace("path", r"\.py$", "").alias("other"))
     module = F.replace(F.expr("substring_index(other, '/', -k)"), F.lit("/"), F.lit("."))
-    c = read.join(a, "l_partkey").join(b, "l_suppkey").select(
+    # parts grow with the lines, and their texts are far larger than the file: no side for a driver to broadcast
+    c = read.join(a.hint("merge"), "l_partkey").join(b.hint("merge"), "l_suppkey").select(
         "path", F.concat(F.lit("m"), "l_suppkey", F.lit("_"), "k").alias("local"), module.alias("module"), "argc"
     )
     c = Scratch(spark).keep(c)  # read as imports and as calls, which are made distinct there

@@ -94,3 +94,20 @@ def test_empty_tables(spark):
     imports, files, functions = none("path string, line int, local string, module string, member string"), none("path string"), none("path string, name string, argc int")
     assert [r.state for r in resolve.resolve_calls(calls, imports, files, functions).collect()] == ["unbound"]
     assert resolve.resolve_calls(calls.limit(0), imports, files, functions).count() == 0
+
+
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    """A driver would have to hold it: only functions of a counted number of rows are, and the result is the same with many."""
+    from palisade.operators import scratch
+    from palisade.plans.catalog import QUERIES
+
+    plans, keep = [], scratch.Scratch.keep
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(scratch.Scratch, "keep", lambda self, df, *a, **b: plans.append(plan(df)) or keep(self, df, *a, **b))
+    few = QUERIES["resolved_part_calls"](spark, "/root/testdata/sf0.001")
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert plan(few).count("BroadcastHashJoin") == 1
+    monkeypatch.setattr(resolve, "FEW", 0)
+    many = QUERIES["resolved_part_calls"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in plan(many) and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) != []
